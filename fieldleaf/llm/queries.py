@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldleaf.llm import bpe, lines, simhash, toxicity
+from fieldleaf.llm import bpe, language, lines, media, secrets, simhash, toxicity
 from fieldleaf.llm.common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The public tokenizer file, which is installed beside the library and never copied."""
     import public_tokenizers
@@ -21,6 +25,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_media(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.fit(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +46,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe, op8_toxicity, op9_lines, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op3_bpe, op4_media, op7_secrets, op8_toxicity, op9_lines, op10_simhash)}
 
 ORACLES: dict[str, str] = {"op9_lines": lines.SQL}
