@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldleaf.llm import bpe, decontaminate, language, lines, media, secrets, simhash, toxicity
+from fieldleaf.llm import bpe, decontaminate, language, lines, media, secrets, simhash, substrings, toxicity
 from fieldleaf.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_media(table(spark, sf_dir, "documents"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op3_bpe, op4_media, op6_decontaminate, op7_secrets, op8_toxicity, op9_lines, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op3_bpe, op4_media, op5_substrings, op6_decontaminate, op7_secrets, op8_toxicity, op9_lines, op10_simhash)}
 
 ORACLES: dict[str, str] = {"op9_lines": lines.SQL}
