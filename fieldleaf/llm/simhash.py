@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, blocks:
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, max_bits: int = 6, blocks: int = 9) -> DataFrame:
     """The documents with one of each near-duplicate group: that with the smallest doc_id. Rows without a doc_id stay; repeated rows of the kept doc_id stay."""
-    kept = near_duplicates(docs.where("doc_id is not null"), width, max_bits).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_duplicates(docs.where("doc_id is not null"), width, max_bits, blocks).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

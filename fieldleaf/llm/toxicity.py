@@ -169,6 +169,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, n_segments int, evidence double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores under ``threshold``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([model.probability(scan(t.as_py(), model)[2]) < threshold for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def passages(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
     """Every significant passage: (doc_id, start, end, passage, segment_score, evidence), offsets in code points of the text, end exclusive."""
 
