@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldleaf.llm import bpe, decontaminate, language, lines, media, secrets, simhash, substrings, toxicity
+from fieldleaf.llm import bpe, decontaminate, language, lines, media, passages, secrets, simhash, substrings, toxicity
 from fieldleaf.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def vocabulary() -> str:
     """The public tokenizer file, which is installed beside the library and never copied."""
     import public_tokenizers
@@ -54,6 +58,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op3_bpe, op4_media, op5_substrings, op6_decontaminate, op7_secrets, op8_toxicity, op9_lines, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_passages, op3_bpe, op4_media, op5_substrings, op6_decontaminate, op7_secrets, op8_toxicity, op9_lines, op10_simhash)}
 
 ORACLES: dict[str, str] = {"op9_lines": lines.SQL}
