@@ -49,7 +49,7 @@ def later_copies(docs: DataFrame, min_run: int = 2) -> DataFrame:
 
 
 def kept_lines(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    """``docs`` with kept_text, n_lines, n_deleted and n_runs.
+    """(row, kept_text, n_lines, n_deleted, n_runs): row holds all of a document's columns, whatever their names.
 
     A line goes if it lies in a run of at least ``min_run`` lines, not all of them blank, that
     also starts at a smaller (doc_id, line). Runs are judged on the input; lines are split at
@@ -57,33 +57,34 @@ def kept_lines(docs: DataFrame, min_run: int = 2) -> DataFrame:
     deleted, and are no source of copies. Rows that repeat a doc_id and text are equally
     early, so none is the later copy of the other. An empty table gives an empty result.
     """
-    own = docs.withColumn("text_hash", F.xxhash64("text"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
     marks = later_copies(docs, min_run).groupBy(*KEY).agg(F.first("later").alias("later"))
-    read = own.join(marks, KEY, "left").withColumn("lines", F.split("text", "\n"))
+    read = own.join(marks, KEY, "left").select("row", "later", F.split("row.text", "\n").alias("lines"))
     later = F.coalesce("later", F.array().cast("array<boolean>"))
     moved = [F.concat(F.array_repeat(F.lit(False), k), later) for k in range(min_run)]
     gone = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: F.coalesce(p, F.lit(False)) | F.coalesce(q, F.lit(False))), moved)
-    pairs = read.withColumn("pairs", F.zip_with("lines", gone, lambda x, g: F.struct(x.alias("line"), F.coalesce(g, F.lit(False)).alias("gone"))))
-    pairs = pairs.withColumn("pairs", F.filter("pairs", lambda x: x["line"].isNotNull()))
-    before = F.concat(F.array(F.lit(False)), F.col("pairs.gone"))
-    begun = F.zip_with("pairs.gone", before, lambda g, b: g & ~b)
-    count = lambda x: F.coalesce(F.size(F.filter(x, lambda v: v)), F.lit(0))
-    out = pairs.select(*docs.columns, F.array_join(F.transform(F.filter("pairs", lambda x: ~x["gone"]), lambda x: x["line"]), "\n").alias("kept_text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), count(F.col("pairs.gone")).alias("n_deleted"), count(begun).alias("n_runs"))
-    return out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")), "n_deleted": F.when(F.col("text").isNull(), 0).otherwise(F.col("n_deleted")), "n_runs": F.when(F.col("text").isNull(), 0).otherwise(F.col("n_runs"))})
+    pairs = F.filter(F.zip_with("lines", gone, lambda x, g: F.struct(x.alias("line"), F.coalesce(g, F.lit(False)).alias("gone"))), lambda x: x["line"].isNotNull())
+    told = read.select("row", pairs.alias("pairs"))
+    begun = F.zip_with("pairs.gone", F.concat(F.array(F.lit(False)), F.col("pairs.gone")), lambda g, b: g & ~b)
+    count = lambda x: F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.filter(x, lambda v: v)))
+    kept = F.array_join(F.transform(F.filter("pairs", lambda x: ~x["gone"]), lambda x: x["line"]), "\n")
+    return told.select("row", kept.alias("kept_text"), F.when(F.col("row.text").isNull(), 0).otherwise(F.size("pairs")).alias("n_lines"), count(F.col("pairs.gone")).alias("n_deleted"), count(begun).alias("n_runs"))
 
 
 def dedup(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    """``docs`` without the later copies of repeated runs; a text of which nothing is left goes as a whole."""
+    """``docs``, all columns, without the later copies of repeated runs; a text of which nothing is left goes as a whole."""
     found = kept_lines(docs, min_run)
     rest = found.where("n_deleted = 0 or n_deleted < n_lines and trim(kept_text) <> ''")
-    cols = {"text": F.when(F.col("n_deleted") > 0, F.col("kept_text")).otherwise(F.col("text"))}
+    cut = F.col("n_deleted") > 0
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("n_deleted") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return rest.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return rest.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    return kept_lines(docs.select("doc_id", "text"), min_run).select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    """(doc_id, n_lines, n_deleted, n_runs, kept_sha256) for every document."""
+    return kept_lines(docs.select("doc_id", "text"), min_run).select("row.doc_id", "n_lines", "n_deleted", "n_runs", F.sha2(F.coalesce(F.col("kept_text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 #: The same for min_run 2, from the definition: pairs of lines, first copies by grouping.
