@@ -189,6 +189,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     outside the vocabulary and a null list give no piece.
     """
     listed = F.broadcast(encoded.sparkSession.createDataFrame(list(enumerate(pieces(path))), "id int, piece string"))  # bounded: the vocabulary
-    keyed = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
+    keyed = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids").select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
     joined = keyed.join(listed, "id", "left").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece")))).alias("found"))
     return joined.select("doc_id", F.array_join("found.piece", " ").alias("text"))

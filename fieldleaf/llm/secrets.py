@@ -48,8 +48,8 @@ def pairs(token: str) -> np.ndarray:
     return b[:-1] * SIZE + b[1:]
 
 
-def fit(docs: DataFrame, rows: int = 20_000, smooth: float = 0.5) -> np.ndarray:
-    """The log-likelihood ratio of each character pair, from about ``rows`` texts chosen by a hash of doc_id (twice that at most)."""
+def fit(docs: DataFrame, rows: int = 20_000, weight: float = 5.0) -> np.ndarray:
+    """The log-likelihood ratio of each character pair, from about ``rows`` texts chosen by a hash of doc_id (twice that at most). A pair's share is smoothed towards its second character's, by ``weight`` pairs."""
     n = max(1, docs.count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +77,11 @@ def fit(docs: DataFrame, rows: int = 20_000, smooth: float = 0.5) -> np.ndarray:
         seen[r["kind"]].flat[r["pair"]] = r["n"]
     alphabet = np.zeros(SIZE)
     alphabet[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = 1
-    smoothed = seen + smooth * alphabet[None, None, :]
-    model = np.log(np.maximum(smoothed, 1e-12) / np.maximum(smoothed.sum(axis=2, keepdims=True), 1e-12))
-    return (model[1] - model[0]).ravel()
+    model = []
+    for own, prior in zip(seen, (0.5, 1000.0), strict=True):  # random strings use the whole alphabet, whatever the sample has
+        single = own.sum(axis=0) + prior * alphabet / alphabet.sum() + 1e-9
+        model.append((own + weight * single / single.sum()) / (own.sum(axis=1, keepdims=True) + weight))
+    return np.log(model[1] / model[0]).ravel()
 
 
 def scan(text: str | None, ratio: np.ndarray, total: float = 10.0, each: float = 0.5) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int, str, int]]]:

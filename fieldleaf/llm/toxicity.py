@@ -77,9 +77,13 @@ def scan(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, floa
     return len(words), segments, sum(max(0.0, model.lam * s - floor) for _, _, s in segments)
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(text, toxic) of at most ``rows`` labelled documents, half of them toxic at most, chosen by a hash of doc_id."""
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = known_labels(labels)
     chosen = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for v in (0, 1)]
     return docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "toxic")  # bounded by rows
 
@@ -123,7 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 20_000, prior: float = 1
     k = len(clean) / max(1e-12, float((clean["n"].clip(lower=1).to_numpy() * np.exp(-model.lam * best)).sum()))
     floors = np.log(k * seen["n"].clip(lower=1).to_numpy())
     evidence = np.array([sum(max(0.0, model.lam * x - f) for x in s) for s, f in zip(seen["scores"], floors, strict=True)])
-    intercept, slope = logistic(evidence, seen["toxic"].to_numpy(float))
+    toxic = seen["toxic"].to_numpy()
+    of = {r["toxic"]: r["count"] for r in known_labels(labels).groupBy("toxic").count().collect()}
+    weight = np.array([of[c] / max(1, (toxic == c).sum()) for c in (0, 1)])  # the sample has more toxic texts than the labels
+    intercept, slope = logistic(evidence, toxic.astype(float), (weight / weight.min())[toxic])
     return Model(model.terms, drift, model.lam, k, intercept, slope)
 
 
@@ -139,14 +146,14 @@ def positive_root(steps: np.ndarray, share: np.ndarray) -> float:
     return low
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Intercept and slope of a one-variable logistic regression, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Intercept and slope of a weighted one-variable logistic regression, by Newton's method."""
     scale = max(float(x.std()), 1e-9)
     z = np.stack([np.ones_like(x), np.minimum(x / scale, 5)], 1)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
