@@ -4,9 +4,10 @@ A match of ``length`` bytes always holds an anchor: the smallest of its ``length
 hashed runs of GRAM bytes. So it is enough to sort the suffixes that start at anchors which
 occur in two documents at least.
 
-1. Tasks cut their texts into blocks and list each block's anchor hashes, packed by hash
-   range; where the ranges meet, hashes of two or more documents are marked, and the marks go
-   back to the blocks.
+1. Tasks cut their texts into blocks. Texts that equal a smaller doc_id's are found by their
+   digest; they repeat as a whole and take no further part. Each block lists the anchor
+   hashes of the others, packed by hash range; where the ranges meet, hashes of two or more
+   documents are marked, and the marks go back to the blocks.
 2. Each block gives the suffixes at its marked anchors: ``length`` bytes to the right and
    what a match may have to the left.
 3. Suffixes are dealt out by anchor and sorted: a suffix array in parts, none of which cuts
@@ -31,6 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldleaf.llm.common import stored
+
 GRAM = 24
 SLICE = 1 << 20
 U = np.uint64
@@ -139,11 +142,33 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def hash_lists(docs: DataFrame, length: int, buckets: int, block_bytes: int) -> DataFrame:
-    """(block, bucket, hashes, seen): a block's distinct anchor hashes of a bucket, as gaps, and how often each occurs, its top bit set if in two documents."""
+def later_copies(docs: DataFrame, length: int, block_bytes: int) -> DataFrame:
+    """(block, row, start, end): texts that equal one of a smaller doc_id, with the span that goes: all of it, or nothing under ``length`` bytes."""
 
     def emit(block: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h, text, _ = anchors([t if i is not None else b"" for i, t in zip(ids, texts, strict=True)], length)
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in texts), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(t) for t in texts], pa.int64())], ["block", "row", "doc_id", "h1", "h2", "n"])
+
+    read = docs.mapInArrow(lambda it: block_stream(it, block_bytes, emit), "block long, row int, doc_id long, h1 long, h2 long, n long").where("doc_id is not null")
+    first = read.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last").repartition("h1", "h2")
+    later = read.join(first, ["h1", "h2"]).where("doc_id > first")
+    return later.select("block", "row", F.lit(0).cast("long").alias("start"), F.when(F.col("n") >= length, F.col("n")).otherwise(0).alias("end"))
+
+
+def taking_part(ids: list, texts: list[bytes], copies: list[int]) -> list[bytes]:
+    """The block's texts, empty for rows that take no part."""
+    out = [t if i is not None else b"" for i, t in zip(ids, texts, strict=True)]
+    for k in copies:
+        out[k] = b""
+    return out
+
+
+def hash_lists(texts: DataFrame, copies: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(block, bucket, hashes, seen): a block's distinct anchor hashes of a bucket, as gaps, and how often each occurs, its top bit set if in two documents."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, own = opened(left)
+        h, text, _ = anchors(taking_part(ids, own, right["row"].to_pylist()), length)
         u, bucket, place, n = by_bucket(h, buckets)
         doc = np.array([-1 if i is None else i for i in ids], np.int64)[text] if len(h) else np.zeros(0, np.int64)
         low, high = np.full(len(u), np.iinfo(np.int64).max), np.full(len(u), np.iinfo(np.int64).min)
@@ -152,10 +177,10 @@ def hash_lists(docs: DataFrame, length: int, buckets: int, block_bytes: int) ->
         seen = (np.minimum(n, 0x7FFF) | np.where(low < high, 0x8000, 0)).astype(np.uint16)
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(u) else np.zeros(0, int)
         stops = np.r_[edges[1:], len(u)]
-        rows = [(int(bucket[s]), pack(np.diff(u[s:e], prepend=U(0))), pack(seen[s:e])) for s, e in zip(edges, stops, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), *[pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]], ["block", "bucket", "hashes", "seen"])
+        rows = [(left["block"][0].as_py(), int(bucket[s]), pack(np.diff(u[s:e], prepend=U(0))), pack(seen[s:e])) for s, e in zip(edges, stops if len(edges) else edges, strict=True)]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "bucket", "hashes", "seen"])
 
-    return docs.mapInArrow(lambda it: block_stream(it, block_bytes, emit), "block long, bucket long, hashes binary, seen binary")
+    return texts.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(run, "block long, bucket long, hashes binary, seen binary")
 
 
 def shared_marks(lists: DataFrame, hot_rows: int) -> DataFrame:
@@ -199,7 +224,7 @@ def pieces(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, step: int
 SUFFIX = pa.schema([("anchor", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("block", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("pos", pa.int64()), ("back", pa.int32()), ("ahead", pa.int32())])
 
 
-def suffixes(texts: DataFrame, marks: DataFrame, length: int, buckets: int) -> DataFrame:
+def suffixes(texts: DataFrame, marks: DataFrame, copies: DataFrame, length: int, buckets: int) -> DataFrame:
     """The suffixes at marked anchors: anchor, bytes to the right, bytes to the left read backwards, and where they are.
 
     Rows with ``ahead`` set are decided already: a block's later copies of a hot window.
@@ -207,9 +232,10 @@ def suffixes(texts: DataFrame, marks: DataFrame, length: int, buckets: int) -> D
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, own = opened(left)
-        h, text, pos = anchors([t if i is not None else b"" for i, t in zip(ids, own, strict=True)], length)
+        told = right["bucket"].is_valid().to_numpy()
+        h, text, pos = anchors(taking_part(ids, own, right["row"].filter(pa.array(~told)).to_pylist()), length)
         u, _, place, _ = by_bucket(h, buckets)
-        listed = right.sort_by("bucket")
+        listed = right.filter(pa.array(told)).sort_by("bucket")
         mark = np.concatenate([np.zeros(0, np.uint8), *[np.frombuffer(zstandard.decompress(x.as_py()), np.uint8) for x in listed["marks"]]])
         if len(mark) != len(u):
             raise RuntimeError("a block's anchors don't match its marks: docs gave other rows when read again")
@@ -247,7 +273,8 @@ def suffixes(texts: DataFrame, marks: DataFrame, length: int, buckets: int) -> D
         return pa.concat_tables(out)
 
     schema = "anchor long, right binary, left binary, block long, row int, doc_id long, pos long, back int, ahead int"
-    return texts.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(run, schema)
+    both = marks.select("block", "bucket", "marks", F.lit(None).cast("int").alias("row")).unionByName(copies.select("block", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("marks"), "row"))
+    return texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, schema)
 
 
 def intervals(lcp: list[int], floor: int) -> Iterator[tuple[int, int, int]]:
@@ -349,6 +376,8 @@ def cut_out(texts: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
         for k, t in enumerate(own):
             kept, removed, spans, at = [], 0, 0, 0
             for s, e in zip(start[low[k] : high[k]].tolist(), end[low[k] : high[k]].tolist(), strict=True):
+                if s == e:
+                    continue
                 if s > at or not spans:
                     kept.append(t[at:s])
                     spans, removed, at = spans + 1, removed + e - s, e
@@ -384,5 +413,7 @@ def dedup(docs: DataFrame, length: int = 50, hot_rows: int = 200_000, block_byte
         buckets = 8 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("long"), "text")
     texts = packed_texts(own, block_bytes)
-    marks = shared_marks(hash_lists(own, length, buckets, block_bytes), hot_rows)
-    return cut_out(texts, repeated_spans(suffixes(texts, marks, length, buckets), length), with_text)
+    copies = stored(later_copies(own, length, block_bytes))
+    marks = shared_marks(hash_lists(texts, copies, length, buckets), hot_rows)
+    spans = repeated_spans(suffixes(texts, marks, copies, length, buckets), length)
+    return cut_out(texts, spans.unionByName(copies), with_text)
