@@ -30,7 +30,9 @@ def fold(field: Column, text: Column) -> Column:
     plain = F.translate(text, "".join(defs.FOLDS), "".join(defs.FOLDS.values()))
     single = {k: v for k, v in defs.RINGED_DIGITS.items() if len(v) == 1}
     ringed = F.translate(plain, "".join(single), "".join(single.values()))
-    ringed = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), [kv for kv in defs.RINGED_DIGITS.items() if len(kv[1]) > 1], ringed)
+    double = {k: v for k, v in defs.RINGED_DIGITS.items() if len(v) > 1}
+    replaced = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), double.items(), ringed)
+    ringed = F.when(plain.rlike(f"[{''.join(double)}]"), replaced).otherwise(ringed)  # few values need the fourteen replacements
     return F.when(field.isin(defs.NUMBER_FIELDS), plain).otherwise(ringed)
 
 

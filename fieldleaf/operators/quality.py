@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +33,44 @@ def rows(cells: DataFrame) -> DataFrame:
     """
     pick = lambda f, c: F.max(F.when(F.col("ord") == f, F.col(c)))
     wide = cells.groupBy("page_id", "row_no").agg(*[pick(i + 1, "value").alias(f) for i, f in enumerate(defs.FIELDS)], F.array_sort(F.collect_list(F.struct("ord", "field", "raw", "candidate", "value", "reason", "problem"))).alias("cells"))
+    return told(wide)
+
+
+def told(wide: DataFrame) -> DataFrame:
+    """Rows with their printed number, both pairs' disagreements and the gaps."""
     wide = wide.withColumns({"no": F.col("row_no").cast("string"), **{f"{a}_reads_like": checks.disagreement(a, F.col(a), F.col(f"`{b}`")) for a, b in defs.PAIRS}})
     filled = F.exists("cells", lambda c: c["raw"] != "")
     return wide.withColumn("gaps", F.when(filled, F.transform(F.filter("cells", lambda c: c["raw"] == ""), lambda c: c["field"])).otherwise(F.array().cast("array<string>")))
 
 
+def page_rows(placed: DataFrame) -> DataFrame:
+    """All rows of every page from numbered entries: (page_id, row_no, position, the eleven raw columns), nulls where a row never came.
+
+    The first entry to claim a number is its row. One shuffle by page, whose partitioning
+    later page totals use again; what comes together is one page's answer.
+    """
+    own = F.struct("row_no", "position", *[F.col(f"`{f}`") for f in defs.FIELDS])
+    listed = placed.groupBy("page_id").agg(F.collect_list(F.when(F.col("row_no").isNotNull(), own)).alias("x"))
+    each = F.transform(F.sequence(F.lit(1), F.lit(defs.ROWS)), lambda r: F.struct(r.alias("row_no"), F.array_min(F.filter("x", lambda e: e["row_no"] == r)).alias("e")))
+    return listed.select("page_id", F.explode(each).alias("c")).select("page_id", "c.row_no", "c.e.position", *[F.col("c.e")[f].alias(f) for f in defs.FIELDS])
+
+
+def checked_rows(read: DataFrame, unsure: Callable[[int], Column]) -> DataFrame:
+    """The same as ``rows``, from whole rows: each column is checked by its own expressions, so nothing is exploded or shuffled.
+
+    ``unsure`` gives the flag of a column by its place, counted from 1.
+    """
+    col = lambda prefix, k: F.col(f"{prefix}{k}")
+    numbered = list(enumerate(defs.FIELDS, 1))
+    t = read.select("page_id", "row_no", *[checks.strip(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit(""))).alias(f"raw{k}") for k, f in numbered], *[F.coalesce(unsure(k), F.lit(False)).alias(f"unsure{k}") for k, _ in numbered])
+    t = t.withColumns({f"candidate{k}": checks.fold(F.lit(f), col("raw", k)) for k, f in numbered})
+    t = t.withColumns({f"reason{k}": checks.reason(F.lit(f), col("candidate", k)) for k, f in numbered})
+    t = t.withColumns({f"value{k}": F.when(col("reason", k) == "", col("candidate", k)).otherwise("") for k, _ in numbered})
+    problem = lambda k: F.when((col("raw", k) != "") & (col("value", k) == ""), "rejected").when((col("value", k) != "") & col("unsure", k), "unsure").otherwise("")
+    cells = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(f).alias("field"), col("raw", k).alias("raw"), col("candidate", k).alias("candidate"), col("value", k).alias("value"), col("reason", k).alias("reason"), problem(k).alias("problem")) for k, f in numbered])
+    return told(t.select("page_id", "row_no", *[col("value", k).alias(f) for k, f in numbered], cells.alias("cells")))
+
+
 def finished_problems(wide: DataFrame) -> DataFrame:
     """(page_id, row_no, ord, field, problem) visible in finished rows: missing where a filled row has an empty value, disagreement on both columns of a pair, which wins."""
     filled = F.exists("cells", lambda c: c["value"] != "")

@@ -40,14 +40,9 @@ def kept(spark: SparkSession, d: str) -> DataFrame:
     return flatten.first_wins(flatten.numbered(entries(spark, d))).where("kept")
 
 
-def cells(spark: SparkSession, d: str) -> DataFrame:
-    long = flatten.long_cells(kept(spark, d))
-    flagged = long.select("page_id", "row_no", "ord", F.col("text").alias("raw"), ((F.col("page_id") + F.col("ord") + F.col("position")) % 9 == 0).alias("unsure"))
-    return quality.page_cells(entries(spark, d).select("page_id").distinct(), flagged)
-
-
 def wide(spark: SparkSession, d: str) -> DataFrame:
-    return quality.rows(quality.checked(cells(spark, d)))
+    rows = quality.page_rows(flatten.numbered(entries(spark, d)))
+    return quality.checked_rows(rows, lambda k: (F.col("page_id") + k + F.col("position")) % 9 == 0)
 
 
 def raw_values(spark: SparkSession, d: str) -> DataFrame:
