@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldleaf.llm import bpe, decontaminate, lines, simhash, toxicity
-from fieldleaf.llm.common import stored, table
+from fieldleaf.llm.common import small_batches, stored, table
 from fieldleaf.llm.queries import vocabulary
 
 
@@ -21,8 +21,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: shingles of five words, fingerprints within six bits."""
-    return simhash.keep_one(docs, width=5, max_bits=6, blocks=9)
+    """Keeps one document of each group of near-duplicates: shingles of five words, fingerprints within four bits."""
+    small_batches(spark)
+    return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document's text, and digests of the ids and of what they decode to."""
-    return bpe.encode(docs, vocabulary()).drop("decoded")
+    small_batches(spark)
+    return bpe.encode(docs, vocabulary(), also=("ids",))
 
 
 STAGES = [

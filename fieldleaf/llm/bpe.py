@@ -121,12 +121,12 @@ def encoded_words(lists: DataFrame, path: str) -> DataFrame:
     return lists.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "block long, bucket long, ids binary, lengths binary")
 
 
-def encode(docs: DataFrame, path: str, block_words: int = 4_000_000, buckets: int | None = None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, block_words: int = 4_000_000, buckets: int | None = None, also: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Encodes every whole text and decodes it again.
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space),
-    decoded_sha256 (of the decoded text) and, unless ``with_ids`` is false, ids
-    (array<int>) and decoded (string). Equal to encoding the text in one piece for
+    decoded_sha256 (of the decoded text) and what ``also`` names of ids (array<int>) and
+    decoded (string). Equal to encoding the text in one piece for
     tokenizers that drop white space and have ids below 65,536. A null or empty text has no
     ids and decodes to the empty string. Repeated rows and rows without doc_id each give
     their row; an empty table gives an empty result; other columns are ignored. ``docs``
@@ -138,7 +138,7 @@ def encode(docs: DataFrame, path: str, block_words: int = 4_000_000, buckets: in
     made = blocks(docs, block_words, buckets)
     words = encoded_words(made.where("bucket is not null").select("block", "bucket", "words"), path)
     texts = made.where("bucket is null").select("block", "doc_id", "codes")
-    extra = ", ids array<int>, decoded string" if with_ids else ""
+    extra = "".join(f", {name} {kind}" for name, kind in (("ids", "array<int>"), ("decoded", "string")) if name in also)
 
     def run(lists: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:
@@ -174,10 +174,11 @@ def encode(docs: DataFrame, path: str, block_words: int = 4_000_000, buckets: in
             text = " ".join([decoded[k] for k in listed])
             out["ids_sha256"].append(hashlib.sha256(" ".join([numbers[k] for k in listed]).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            if with_ids:
+            if "ids" in also:
                 out["ids"].append(np.concatenate([as_ids[k] for k in listed]).astype(np.int32) if listed else np.zeros(0, np.int32))
+            if "decoded" in also:
                 out["decoded"].append(text)
-        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64")} | {k: v for k, v in out.items() if v or k not in ("ids", "decoded")})
+        return pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64")} | {k: v for k, v in out.items() if k in also or k not in ("ids", "decoded")})
 
     return words.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)
 

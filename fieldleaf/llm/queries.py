@@ -26,7 +26,7 @@ def vocabulary() -> str:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), also=())
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
