@@ -43,7 +43,8 @@ def runs(docs: DataFrame, min_run: int = 2) -> DataFrame:
 def later_copies(docs: DataFrame, min_run: int = 2) -> DataFrame:
     """(doc_id, text_hash, later): for each text whether each of its lines starts a run that began earlier elsewhere or in itself."""
     starts = runs(docs, min_run)
-    first = starts.where("name_a is not null").groupBy("name_a", "name_b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n").repartition("name_a", "name_b")  # dealt anew, so that the rows of a frequent line can be split in the join
+    first = starts.where("name_a is not null").groupBy("name_a", "name_b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = first.withColumn("name_a", F.col("name_a").bitwiseXOR(F.lit(0)))  # same values, but dealt anew: only then are a frequent line's rows split in the join
     told = starts.join(first, ["name_a", "name_b"], "left").select(*KEY, "line", F.coalesce(F.struct("doc_id", "line") > F.col("first"), F.lit(False)).alias("later"))
     return told.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("line", "later"))).alias("x")).select(*KEY, F.col("x.later").alias("later"))
 
