@@ -115,7 +115,7 @@ def bucket_forest(fp: np.ndarray, max_bits: int, pivots: int = 16, rows: int = 2
     return forest
 
 
-def links(reps: DataFrame, max_bits: int = 4, blocks: int = 8, pivots: int = 16, bucket_rows: int = 20_000) -> DataFrame:
+def links(reps: DataFrame, max_bits: int = 4, blocks: int = 7, pivots: int = 16, bucket_rows: int = 20_000) -> DataFrame:
     """Edges (a, b) between the ``rep`` of fingerprints in ``reps(fp, rep)``: the same components as all links.
 
     A bucket of more than ``bucket_rows`` fingerprints is cut into that many sub-blocks and
@@ -152,7 +152,7 @@ def links(reps: DataFrame, max_bits: int = 4, blocks: int = 8, pivots: int = 16,
     return met.repartition("choice", "bits", "cell").sortWithinPartitions("choice", "bits", "cell").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, blocks: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, blocks: int = 7) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document.
 
     Documents whose fingerprints differ in at most ``max_bits`` bits are linked;
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, blocks:
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, max_bits: int = 4, blocks: int = 8) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, max_bits: int = 4, blocks: int = 7) -> DataFrame:
     """The documents with one of each near-duplicate group: that with the smallest doc_id. Rows without a doc_id stay; repeated rows of the kept doc_id stay."""
     kept = near_duplicates(docs.where("doc_id is not null"), width, max_bits, blocks).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
