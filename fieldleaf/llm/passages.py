@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldleaf.llm.common import components, stored
-from fieldleaf.llm.toxicity import maximal_segments
 
 WIDTH = 5
 U = np.uint64
@@ -88,36 +87,133 @@ def windows(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
     return docs.select("text_hash", "text").mapInArrow(run, "key long, text_hash long, span long")
 
 
-def shared_segments(a: np.ndarray, b: np.ndarray, drift: float) -> list[tuple[int, int]]:
-    """(start, end) in a of the maximal stretches whose tokens are in b as well, a token that isn't counting -drift."""
-    hits = np.flatnonzero(np.isin(a, b))
-    return [(s, e) for s, e, _ in maximal_segments(hits.tolist(), [1.0] * len(hits), drift)]
+def neighbours(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the last one before it and the first one after it with the same value; -1 and len(x) if there is none."""
+    before, after = np.full(len(x), -1), np.full(len(x), len(x))
+    order = np.argsort(x, kind="stable")
+    same = x[order[1:]] == x[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    after[order[:-1][same]] = order[1:][same]
+    return before, after
+
+
+def dense(x: np.ndarray, hit: np.ndarray, least: int, similarity: float) -> bool:
+    """False only if no stretch of ``least`` places or more, of whatever length, has the share ``similarity`` of its distinct values among the hits."""
+    score = np.where(hit, 1 - similarity, np.where(neighbours(x)[0] < 0, -similarity, 0.0))  # a miss seen before might not count in a stretch
+    total = np.r_[0, score.cumsum()]
+    return len(x) >= least and bool((total[least:] - np.minimum.accumulate(total)[: len(total) - least] > -1e-6).any())
+
+
+def ends_of_runs(x: np.ndarray, y: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a stretch of x may begin and, exclusively, end: at a value of y that follows, or is followed by, another value there at least once."""
+    n = np.bincount(y, minlength=top)
+    pairs, times = np.unique(y[:-1] * top + y[1:], return_counts=True)
+    own = x[:-1] * top + x[1:]
+    at = np.searchsorted(pairs, own)
+    at[at == len(pairs)] = 0
+    together = np.where(pairs[at] == own, times[at], 0) if len(pairs) else np.zeros(len(own), int)
+    return np.flatnonzero((n[x] > 0) & (n[x] > np.r_[0, together])), np.flatnonzero((n[x] > 0) & (n[x] > np.r_[together, 0])) + 1
+
+
+def stretches(x: np.ndarray, y: np.ndarray, top: int, least: int, similarity: float) -> np.ndarray:
+    """(start, end, distinct values, those of them in y) of the stretches of x that can be most similar to one of y.
+
+    A value at the border that both sides have next to each other never lowers the Jaccard
+    similarity, nor does one that the stretch holds already, so only stretches that can't be
+    widened by such a value count. Shorter ones than ``least`` are filled up on either side.
+    """
+    starts, ends = ends_of_runs(x, y, top)
+    before, after = neighbours(x)
+    hit = np.isin(x, y)
+    out = [np.zeros((0, 4), np.int64)]
+
+    def add(s: int, e: np.ndarray) -> None:
+        new = before[s:] < s
+        values, shared = new.cumsum()[e - 1 - s], (new & hit[s:]).cumsum()[e - 1 - s]
+        some = shared >= similarity * values - 1e-9
+        out.append(np.stack([np.full(some.sum(), s), e[some], values[some], shared[some]], axis=1))
+
+    short: set[tuple[int, int]] = set()
+    previous = np.r_[before, -1]
+    widened = np.r_[hit & (before >= 0), False]  # a shared value that a stretch before it may hold already
+    for s in starts.tolist():
+        limit = after[s - 1] if s and hit[s - 1] else len(x)
+        e = ends[np.searchsorted(ends, s, side="right") : np.searchsorted(ends, limit, side="right")]
+        e = e[~widened[e] | (previous[e] < s)]
+        brief = e[e - s < least]
+        for t in {s, *(np.maximum(brief, least) - least).tolist()} if len(brief) else ():
+            t = min(t, len(x) - least)
+            short.add((t, t + least))
+        e = e[e - s >= least]
+        if len(e):
+            add(s, e)
+    for s, e in sorted(short):
+        add(s, np.array([e]))
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def verified(a: np.ndarray, b: np.ndarray, min_words: int, similarity: float) -> tuple[int, int, int, int, float] | None:
-    """The longest passage of a that b repeats: (start, end) in words of both and the Jaccard similarity of their tokens.
+    """A long passage of a that b repeats: (start, end) in words of both and the Jaccard similarity of their tokens.
 
-    Stretches are cut ever more strictly, at last into runs without any other token, until one is similar enough.
+    Both have at least ``min_words`` words. It is the longest of those that lie in b as their
+    borders do; only if there is none are all stretches of both held against each other, so
+    that a pair is refused only if no two stretches are similar enough.
     """
     least = min_words - WIDTH + 1
-    among = np.r_[0, np.isin(a, b).cumsum()]
-    if len(a) < least or (among[least:] - among[:-least]).max() < similarity * least:
-        return None  # no stretch of that length has enough of b's tokens: most candidates end here
-    best = None
-    lenient = 2 * similarity / max(1 - similarity, 1e-9)  # the share of hits at which two such stretches are just similar enough
-    for drift in (lenient, 4 * lenient, 1e9):
-        for s, e in shared_segments(a, b, drift):
-            if e - s + WIDTH - 1 < min_words or best and e - s <= best[1] - best[0]:
-                continue
-            own = a[s:e]
-            for t, u in shared_segments(b, own, drift):
-                both = len(np.intersect1d(own, b[t:u]))
-                j = both / (len(np.unique(own)) + len(np.unique(b[t:u])) - both)
-                if j >= similarity and (best is None or e - s > best[1] - best[0]):
-                    best = (s, e, t, u, j)
+    if not dense(a, np.isin(a, b), least, similarity) or not dense(b, np.isin(b, a), least, similarity):
+        return None  # most candidates end here
+    values, both = np.unique(np.r_[a, b], return_inverse=True)
+    x, y, top = both[: len(a)], both[len(a) :], len(values)
+
+    def jaccard(s: int, e: int, t: int, u: int) -> float:
+        own, other = np.unique(x[s:e]), np.unique(y[t:u])
+        n = len(np.intersect1d(own, other, assume_unique=True))
+        return n / (len(own) + len(other) - n)
+
+    def told(s: int, e: int, t: int, u: int, j: float) -> tuple[int, int, int, int, float]:
+        return int(s), int(e) + WIDTH - 1, int(t), int(u) + WIDTH - 1, float(j)
+
+    mine = stretches(x, y, top, least, similarity)
+    theirs = stretches(y, x, top, least, similarity) if len(mine) else mine
+    if not len(theirs):
+        return None
+    mine = mine[np.argsort(mine[:, 0] - mine[:, 1], kind="stable")]
+    first, last = np.full(top, len(y)), np.full(top, -1)
+    first[y[::-1]] = np.arange(len(y))[::-1]
+    last[y] = np.arange(len(y))
+    fresh = np.r_[0, (neighbours(y)[0] < 0).cumsum()]
+    t, u = first[x[mine[:, 0]]], last[x[mine[:, 1] - 1]] + 1
+    u = np.where(t < len(y), u, 0)
+    t = np.minimum(t, len(y))
+    whole = u - t >= least
+    fewest = np.where(whole, fresh[np.maximum(u, 0)] - fresh[t], 0)
+    for k in np.flatnonzero(whole & (mine[:, 3] >= similarity * (mine[:, 2] + fewest - mine[:, 3]) - 1e-9)).tolist():
+        j = jaccard(mine[k, 0], mine[k, 1], t[k], u[k])
+        if j >= similarity:
+            return told(mine[k, 0], mine[k, 1], t[k], u[k], j)
+    share, other = mine[:, 3] / mine[:, 2], theirs[:, 3] / theirs[:, 2]
+    bound = 1 + 1 / similarity + 1e-9  # with shares p and q of shared values the similarity is at most 1 / (1/p + 1/q - 1)
+    mine, theirs = mine[1 / share + 1 / other.max() <= bound], theirs[1 / other + 1 / share.max() <= bound]
+    before = neighbours(y)[0]
+    for s, e, n, _ in mine.tolist():
+        near = theirs[(theirs[:, 2] >= similarity * n - 1e-9) & (theirs[:, 2] * similarity <= n + 1e-9)]
+        among = np.zeros(top, bool)
+        among[x[s:e]] = True
+        hit = among[y]
+        total = np.r_[0, hit.cumsum()]
+        most = np.minimum(np.minimum(total[near[:, 1]] - total[near[:, 0]], near[:, 3]), n)
+        best = None
+        near = near[most >= similarity * (n + near[:, 2] - most) - 1e-9]
+        for t in np.unique(near[:, 0]).tolist():
+            own = near[near[:, 0] == t]
+            shared = ((before[t:] < t) & hit[t:]).cumsum()[own[:, 1] - 1 - t]
+            j = shared / (n + own[:, 2] - shared)
+            k = int(j.argmax())
+            if j[k] >= similarity and (best is None or j[k] > best[4]):
+                best = told(s, e, t, own[k, 1], j[k])
         if best:
-            break
-    return best and (best[0], best[1] + WIDTH - 1, best[2], best[3] + WIDTH - 1, best[4])
+            return best
+    return None
 
 
 def verify(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:

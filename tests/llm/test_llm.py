@@ -126,6 +126,57 @@ def test_near_passage(spark):
     assert got[3]["n_links"] == 0
 
 
+def brute_passage(a, b, least, similarity):
+    """Whether any two stretches of at least ``least`` tokens are similar enough, all of them tried."""
+    at = {v: i for i, v in enumerate(sorted({*a.tolist(), *b.tolist()}))}
+    masks = []
+    for x in (a, b):
+        own = set()
+        for s in range(len(x) - least + 1):
+            mask = 0
+            for e in range(s, len(x)):
+                mask |= 1 << at[int(x[e])]
+                if e - s + 1 >= least:
+                    own.add(mask)
+        masks.append(own)
+    return any((p & q).bit_count() >= similarity * (p | q).bit_count() - 1e-12 for p in masks[0] for q in masks[1])
+
+
+def test_short_near_passages():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    wanted = []
+    for size in range(50, 91, 10):
+        for edits in (1, 2):
+            shared = [word() for _ in range(size)]
+            edited = list(shared)
+            for i in [size // 2] if edits == 1 else rng.sample(range(size), 2):
+                edited[i] = word()
+            a, b = (passages.tokens(" ".join([word() for _ in range(6)] + x + [word() for _ in range(6)])) for x in (shared, edited))
+            found = passages.verified(a, b, 50, 0.8)
+            wanted.append(brute_passage(a, b, 46, 0.8))
+            assert (found is not None) == wanted[-1]
+            assert found is None or found[4] >= 0.8 and found[1] - found[0] >= 50 and found[3] - found[2] >= 50
+    assert sum(wanted) >= 5
+
+
+def test_passages_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(400):
+        kinds = rng.choice([4, 8, 20, 1000])
+        base = [rng.randrange(kinds) for _ in range(rng.randint(4, 14))]
+        sides = []
+        for _ in range(2):
+            x = list(base)
+            for _ in range(rng.randint(0, 4)):
+                i = rng.randrange(len(x))
+                x[i : i + 1] = rng.choice([[rng.randrange(kinds)], [x[i], rng.randrange(kinds)], [] if len(x) > 1 else [x[i]]])
+                x = x[i:] + x[:i] if rng.random() < 0.2 else x
+            sides.append(np.array([rng.randrange(kinds) for _ in range(rng.randint(0, 4))] + x + [rng.randrange(kinds) for _ in range(rng.randint(0, 4))], np.uint64))
+        least, similarity = rng.choice([3, 4, 6]), rng.choice([0.6, 0.8])
+        assert (passages.verified(*sides, least + passages.WIDTH - 1, similarity) is not None) == brute_passage(*sides, least, similarity)
+
+
 def test_bpe(spark, sf):
     coder = bpe.tokenizer(vocabulary())
     df = odd(spark).select("doc_id", "text").unionByName(documents(spark, sf).select("doc_id", "text"))
