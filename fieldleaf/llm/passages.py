@@ -7,7 +7,8 @@ and only nodes of at least ``min_words`` words are made, about 2 / min_words for
 Windows of equal min-hash are joined with the group's hub (its smallest text), never all
 with each other; pairs whose intervals are backed by at least ``enough`` functions go on to
 verification on the texts themselves. Members that no hub is linked to give the next hubs,
-which are held against the whole group, until a round brings no candidate.
+which are held against the whole group, until no member is left that was neither linked
+nor a hub.
 """
 
 from __future__ import annotations
@@ -239,28 +240,35 @@ def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: flo
     """Verified links between texts, each with its passage.
 
     A round holds every member of a group against the group's hubs: one at first, then up to
-    ``next_hubs`` of those members that no hub was linked to. A member leaves the search
-    once it is linked or was a hub itself; the rounds end when no pair is left to verify.
+    ``next_hubs`` of those members that no hub was linked to. A member is no later hub of a
+    group in which it was linked to a hub or was one itself; the rounds end when no group
+    has a member left. What agrees in two texts counts whichever rounds it was seen in.
     """
     made = windows(docs, min_words, hashes)
     hubs = made.groupBy("key").agg(F.min("text_hash").alias("hub"), F.max("text_hash").alias("last")).where("hub < last").select("key", "hub").repartition("key")
-    first = stored(made.join(hubs, "key").select("key", "text_hash", "hub").distinct())
-    members = first.select("key", "text_hash")
-    now, left, tried, found = first, members, None, None
+    now = stored(made.join(hubs, "key").select("key", "text_hash", "hub").distinct())
+    members = left = now.select("key", "text_hash")
+    pair = ["a", "b"]
+    seen = tried = found = None
+    add = lambda x, y: y if x is None else x.unionByName(y)
     while True:
-        apart = now.where("hub <> text_hash")
-        told = apart.groupBy("hub", "text_hash").agg(F.countDistinct(F.col("key").bitwiseAND(F.lit(255))).alias("n")).where(F.col("n") >= enough).select("hub", "text_hash")
-        fresh = stored(told if tried is None else told.join(tried, ["hub", "text_hash"], "left_anti"))
-        if fresh.isEmpty():
-            return found if found is not None else verify(fresh, docs.select("text_hash", "text").limit(0), min_words, similarity)
-        need = fresh.select(F.col("hub").alias("text_hash")).unionByName(fresh.select("text_hash")).distinct().join(reps, "text_hash")
-        texts = docs.join(need, ["text_hash", "doc_id"]).select("text_hash", "text").dropDuplicates(["text_hash"])
-        passed = stored(verify(fresh, texts, min_words, similarity))
-        found = passed if found is None else found.unionByName(passed)
-        both = fresh.unionByName(fresh.select(F.col("text_hash").alias("hub"), F.col("hub").alias("text_hash")))
-        tried = both if tried is None else tried.unionByName(both)
-        done = apart.join(passed.select("hub", "text_hash"), ["hub", "text_hash"], "left_semi").select("key", "text_hash").unionByName(now.select("key", F.col("hub").alias("text_hash")))
+        apart = now.where("hub <> text_hash").withColumns({"a": F.least("hub", "text_hash"), "b": F.greatest("hub", "text_hash")})
+        agreed = apart.select(*pair, F.col("key").bitwiseAND(F.lit(255)).alias("function")).distinct()
+        new = stored(agreed if tried is None else agreed.join(tried, pair, "left_anti"))
+        grown = new if seen is None else new.unionByName(seen.join(new.select(pair).distinct(), pair, "left_semi"))
+        seen = add(seen, new)
+        fresh = stored(grown.groupBy(pair).agg(F.countDistinct("function").alias("n")).where(F.col("n") >= enough).select(pair))
+        if not fresh.isEmpty():
+            need = fresh.select(F.col("a").alias("text_hash")).unionByName(fresh.select(F.col("b").alias("text_hash"))).distinct().join(reps, "text_hash")
+            texts = docs.join(need, ["text_hash", "doc_id"]).select("text_hash", "text").dropDuplicates(["text_hash"])
+            found = add(found, stored(verify(fresh.toDF("hub", "text_hash"), texts, min_words, similarity)))
+            tried = add(tried, fresh)
+        done = now.select("key", F.col("hub").alias("text_hash"))
+        if found is not None:
+            done = done.unionByName(apart.join(found.select(F.col("hub").alias("a"), F.col("text_hash").alias("b")), pair, "left_semi").select("key", "text_hash"))
         left = stored(left.join(done, ["key", "text_hash"], "left_anti"))
+        if left.isEmpty():
+            return found if found is not None else verify(fresh.toDF("hub", "text_hash"), docs.select("text_hash", "text").limit(0), min_words, similarity)
         hubs = left.groupBy("key", F.pmod(F.xxhash64("text_hash"), F.lit(next_hubs)).alias("j")).agg(F.min("text_hash").alias("hub")).select("key", "hub")
         now = stored(members.join(hubs, "key"))
 

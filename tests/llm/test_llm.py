@@ -177,6 +177,21 @@ def test_passages_against_brute_force():
         assert (passages.verified(*sides, least + passages.WIDTH - 1, similarity) is not None) == brute_passage(*sides, least, similarity)
 
 
+@pytest.mark.parametrize("groups", [{256: [1, 3, 4], 513: [2, 3, 4]}, {256: [8, 9], 513: [1, 2, 3, 4, 5, 6, 7, 8, 9]}])
+def test_evidence_of_all_rounds(spark, monkeypatch, groups):
+    """The last two texts are near-duplicates; no round shows both of their keys with the same hub, or the first brings no candidate."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    members = sorted({m for g in groups.values() for m in g})
+    shared = [word() for _ in range(120)]
+    rows = [(m, m, " ".join([word() for _ in range(60)] + (shared if m in members[-2:] else []))) for m in members]
+    docs = spark.createDataFrame(rows, "doc_id long, text_hash long, text string")
+    made = spark.createDataFrame([(k, m, 0) for k, g in groups.items() for m in g], "key long, text_hash long, span long")
+    monkeypatch.setattr(passages, "windows", lambda *_: made)
+    found = passages.links(docs, docs.select("text_hash", "doc_id"), next_hubs=1).collect()
+    assert [{r["hub"], r["text_hash"]} for r in found] == [set(members[-2:])]
+
+
 def test_bpe(spark, sf):
     coder = bpe.tokenizer(vocabulary())
     df = odd(spark).select("doc_id", "text").unionByName(documents(spark, sf).select("doc_id", "text"))
