@@ -35,7 +35,8 @@ def runs(docs: DataFrame, min_run: int = 2) -> DataFrame:
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
     ids = lines.select(*KEY, F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(F.lit("line"), x)).alias("b"), F.transform("lines", lambda x: F.when(F.trim(x) != "", 1).otherwise(0)).alias("said"))
     said = reduce(lambda x, k: F.zip_with(x, F.slice("said", k + 1, F.greatest(F.size("said") - k, F.lit(0))), lambda p, q: F.greatest(p, q)), range(1, min_run), F.col("said"))
-    named = ids.select(*KEY, F.posexplode(F.arrays_zip(doubled(F.col("a"), min_run).alias("a"), doubled(F.col("b"), min_run).alias("b"), said.alias("said"))).alias("line", "x"))
+    once = ids.select(*KEY, F.arrays_zip(doubled(F.col("a"), min_run).alias("a"), doubled(F.col("b"), min_run).alias("b"), said.alias("said")).alias("x")).dropDuplicates(KEY)
+    named = once.select(*KEY, F.posexplode("x").alias("line", "x"))
     shown = (F.col("x.said") > 0) & F.col("x.a").isNotNull()
     return named.select(*KEY, "line", F.when(shown, F.col("x.a")).alias("name_a"), F.when(shown, F.col("x.b")).alias("name_b"))
 
@@ -59,8 +60,7 @@ def kept_lines(docs: DataFrame, min_run: int = 2) -> DataFrame:
     early, so none is the later copy of the other. An empty table gives an empty result.
     """
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
-    marks = later_copies(docs, min_run).groupBy(*KEY).agg(F.first("later").alias("later"))
-    read = own.join(marks, KEY, "left").select("row", "later", F.split("row.text", "\n").alias("lines"))
+    read = own.join(later_copies(docs, min_run), KEY, "left").select("row", "later", F.split("row.text", "\n").alias("lines"))
     later = F.coalesce("later", F.array().cast("array<boolean>"))
     moved = [F.concat(F.array_repeat(F.lit(False), k), later) for k in range(min_run)]
     gone = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: F.coalesce(p, F.lit(False)) | F.coalesce(q, F.lit(False))), moved)

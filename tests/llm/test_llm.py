@@ -378,6 +378,16 @@ def test_runs_of_lines(spark, min_run):
     assert {r[0]: tuple(r)[1:] for r in got} == want
 
 
+def test_repeated_rows_of_lines(spark):
+    """Rows that repeat a document are judged line by line like a single one; lines 10 to 12 are a later copy."""
+    x, y = [f"first {k}" for k in range(30)], [f"second {k}" for k in range(30)]
+    y[10:13] = x[4:7]
+    rows = [(1, "\n".join(x)), (2, "\n".join(y)), (2, "\n".join(y)), (2, "\n".join(y))]
+    got = lines.kept_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_lines", "n_deleted", "n_runs", "kept_text").collect()
+    whole, cut = (1, 30, 0, 0, "\n".join(x)), (2, 30, 3, 1, "\n".join(y[:10] + y[13:]))
+    assert sorted(map(tuple, got)) == [whole, cut, cut, cut]
+
+
 def test_simhash(spark, sf):
     got = simhash.near_duplicates(documents(spark, sf)).collect()
     own = texts(spark, sf)
