@@ -16,8 +16,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated runs of lines, and documents of which nothing is left."""
-    return lines.dedup(docs)
+    """Deletes later copies of every line that isn't blank, runs of one line too, and documents of which nothing is left."""
+    return lines.dedup(docs, min_run=1)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fieldleaf.llm import bpe, decontaminate, language, lines, media, passages, secrets, simhash, substrings, toxicity
 from fieldleaf.llm.common import components
 from fieldleaf.llm.queries import QUERIES, vocabulary
@@ -388,6 +389,14 @@ def test_repeated_rows_of_lines(spark):
     assert sorted(map(tuple, got)) == [whole, cut, cut, cut]
 
 
+def test_line_stage_deletes_single_lines(spark, sf):
+    """A line between other lines goes where it was said before; so does a document of nothing else."""
+    notice = " ".join(f"notice{k}" for k in range(60))
+    rows = [(1, f"one\n{notice}\ntwo"), (2, f"three\n{notice}\nfour"), (3, notice), (4, f"five\n\n{notice}\n\nsix")]
+    got = corpus_pipeline.line_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "three\nfour", 4: "five\n\n\nsix"}
+
+
 def test_simhash(spark, sf):
     got = simhash.near_duplicates(documents(spark, sf)).collect()
     own = texts(spark, sf)
