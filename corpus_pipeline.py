@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldleaf.llm import bpe, decontaminate, lines, simhash, toxicity
+from fieldleaf.llm import bpe, decontaminate, lines, similar, toxicity
 from fieldleaf.llm.common import small_batches, stored, table
 from fieldleaf.llm.queries import vocabulary
 
@@ -21,9 +21,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: shingles of five words, fingerprints within four bits."""
+    """Keeps one document of each group of near-duplicates: a Jaccard similarity of 0.8 or more of their five-word shingles."""
     small_batches(spark)
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", toxicity_stage),
     ("line dedup", line_stage),
-    ("SimHash near-dedup", near_duplicate_stage),
+    ("near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("BPE encoding and decoding", encoding_stage),
 ]

@@ -13,7 +13,7 @@ nor a hub.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -244,7 +244,12 @@ def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: flo
     group in which it was linked to a hub or was one itself; the rounds end when no group
     has a member left. What agrees in two texts counts whichever rounds it was seen in.
     """
-    made = windows(docs, min_words, hashes)
+    check = lambda pairs, own: verify(pairs, own, min_words, similarity)
+    return hub_links(windows(docs, min_words, hashes), docs, reps, check, enough, next_hubs)
+
+
+def hub_links(made: DataFrame, docs: DataFrame, reps: DataFrame, check: Callable[[DataFrame, DataFrame], DataFrame], enough: int, next_hubs: int) -> DataFrame:
+    """What ``check(pairs, texts)`` leaves of the pairs that meet in ``made(key, text_hash)`` by ``enough`` functions, in rounds as told in links()."""
     hubs = made.groupBy("key").agg(F.min("text_hash").alias("hub"), F.max("text_hash").alias("last")).where("hub < last").select("key", "hub").repartition("key")
     now = stored(made.join(hubs, "key").select("key", "text_hash", "hub").distinct())
     members = left = now.select("key", "text_hash")
@@ -261,14 +266,14 @@ def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: flo
         if not fresh.isEmpty():
             need = fresh.select(F.col("a").alias("text_hash")).unionByName(fresh.select(F.col("b").alias("text_hash"))).distinct().join(reps, "text_hash")
             texts = docs.join(need, ["text_hash", "doc_id"]).select("text_hash", "text").dropDuplicates(["text_hash"])
-            found = add(found, stored(verify(fresh.toDF("hub", "text_hash"), texts, min_words, similarity)))
+            found = add(found, stored(check(fresh.toDF("hub", "text_hash"), texts)))
             tried = add(tried, fresh)
         done = now.select("key", F.col("hub").alias("text_hash"))
         if found is not None:
             done = done.unionByName(apart.join(found.select(F.col("hub").alias("a"), F.col("text_hash").alias("b")), pair, "left_semi").select("key", "text_hash"))
         left = stored(left.join(done, ["key", "text_hash"], "left_anti"))
         if left.isEmpty():
-            return found if found is not None else verify(fresh.toDF("hub", "text_hash"), docs.select("text_hash", "text").limit(0), min_words, similarity)
+            return found if found is not None else check(fresh.toDF("hub", "text_hash"), docs.select("text_hash", "text").limit(0))
         hubs = left.groupBy("key", F.pmod(F.xxhash64("text_hash"), F.lit(next_hubs)).alias("j")).agg(F.min("text_hash").alias("hub")).select("key", "hub")
         now = stored(members.join(hubs, "key"))
 

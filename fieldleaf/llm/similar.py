@@ -1,0 +1,87 @@
+"""Near-duplicate documents by the exact Jaccard similarity of their five-word shingles.
+
+Candidates share a band: ``rows`` min-hashes of the shingles that are all equal. Two texts
+of similarity j share none of ``bands`` bands with probability (1 - j ** rows) ** bands,
+0.0004 at 0.8. They are held against hubs in rounds, as passages are, and a pair counts
+only if its similarity, counted on the texts themselves, is high enough.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldleaf.llm.common import components, stored
+from fieldleaf.llm.passages import U, hub_links, min_hash, tokens
+
+CHUNK = 1024
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's runs of five words; a shorter text is one shingle."""
+    x = np.unique(tokens(text))
+    return x if len(x) else np.array([xxhash.xxh64_intdigest(b" ".join((text or "").lower().encode().split()))], U)
+
+
+def bands_of(text: str | None, bands: int, rows: int) -> np.ndarray:
+    """A key for each band, with the band's number in the low byte."""
+    x = shingles(text)
+    seeds = min_hash(np.arange(1, bands * rows + 1, dtype=U), 0)[:, None]
+    least = np.full(bands * rows, ~U(0))
+    for at in range(0, len(x), CHUNK):
+        v = (x[None, at : at + CHUNK] ^ seeds) * U(0xBF58476D1CE4E5B9)
+        v ^= v >> U(32)
+        v *= U(0x94D049BB133111EB)
+        least = np.minimum(least, v.min(axis=1))
+    out = np.zeros(bands, U)
+    for own in least.reshape(bands, rows).T:
+        out = min_hash(out ^ own, 0)
+    return (out & U(0xFFFFFFFFFFFFFF00) | np.arange(bands, dtype=U)).view(np.int64)
+
+
+def keys(texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [bands_of(t.as_py(), bands, rows) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.array(np.repeat(b.column(0).to_numpy(), bands), pa.int64())], ["key", "text_hash"])
+
+    return texts.select("text_hash", "text").mapInArrow(run, "key long, text_hash long")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (hub, text_hash) whose shingles are similar enough."""
+    both = pairs.join(texts.select(F.col("text_hash").alias("hub"), F.col("text").alias("hub_text")), "hub").join(texts.select("text_hash", "text"), "text_hash")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            near = []
+            for x, y in zip(f["hub_text"], f["text"], strict=True):
+                a, b = shingles(x), shingles(y)
+                n = len(np.intersect1d(a, b, assume_unique=True))
+                near.append(n >= similarity * (len(a) + len(b) - n) - 1e-9)
+            yield f.loc[np.array(near, bool), ["hub", "text_hash"]]
+
+    return both.select("hub", "text_hash", "hub_text", "text").mapInPandas(run, "hub long, text_hash long")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, bands: int = 20, rows: int = 5, next_hubs: int = 64) -> DataFrame:
+    """``docs`` with one of each group of near-duplicates: that with the smallest doc_id.
+
+    Null and wordless texts are alike. Rows without a doc_id stay; repeated rows of a kept
+    doc_id stay, and a doc_id stays if one of its texts does.
+    """
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    reps = stored(own.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")))
+    once = own.join(reps, ["text_hash", "doc_id"])
+    found = hub_links(keys(once, bands, rows), own, reps, lambda pairs, texts: verify(pairs, texts, similarity), 1, next_hubs)
+    name = lambda h, d: reps.select(F.col("text_hash").alias(h), F.col("doc_id").alias(d))
+    edges = found.join(name("hub", "a"), "hub").join(name("text_hash", "b"), "text_hash").select("a", "b")
+    later = components(edges).where("node <> component").select(F.col("node").alias("doc_id"))
+    kept = reps.select("doc_id").distinct().join(later, "doc_id", "left_anti")
+    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))

@@ -397,6 +397,25 @@ def test_line_stage_deletes_single_lines(spark, sf):
     assert {r["doc_id"]: r["text"] for r in got} == {1: rows[0][1], 2: "three\nfour", 4: "five\n\n\nsix"}
 
 
+def test_near_duplicate_stage(spark, sf):
+    """Pairs with some edits: those of Jaccard 0.8 or more lose their later text, the others keep both."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows, similarities = [], {}
+    for k in range(120):
+        x = [word() for _ in range(rng.randint(60, 400))]
+        y = list(x)
+        for i in rng.sample(range(len(y)), rng.randint(1, 2 + len(y) // 30)):
+            y[i] = word()
+        rows += [(2 * k, " ".join(x)), (2 * k + 1, " ".join(y))]
+        a, b = (set(zip(*(v[i:] for i in range(5)), strict=False)) for v in (x, y))
+        similarities[2 * k + 1] = len(a & b) / len(a | b)
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([*rows, (1000, None), (1001, " "), (1001, " "), (None, None)], "doc_id long, text string"), sf).collect()}
+    near = {i for i, j in similarities.items() if j >= 0.8}
+    assert min(len(near), 120 - len(near)) > 20
+    assert got == {i for i, _ in rows} - near | {1000, None}
+
+
 def test_simhash(spark, sf):
     got = simhash.near_duplicates(documents(spark, sf)).collect()
     own = texts(spark, sf)
