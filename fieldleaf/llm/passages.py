@@ -2,30 +2,35 @@
 
 Tokens are hashed runs of five words. For each of ``hashes`` min-hash functions the
 Cartesian tree over a text's token hashes groups its subsequences: a node with minimum at c
-and extent [l, r) stands for all subsequences around c inside it, which share that min-hash,
+and extent [a, b) stands for all subsequences around c inside it, which share that min-hash,
 and only nodes of at least ``min_words`` words are made, about 2 / min_words for each word.
-Windows of equal min-hash are joined with the group's hub (its smallest text), never all
-with each other; pairs whose intervals are backed by at least ``enough`` functions go on to
-verification on the texts themselves. Members that no hub is linked to give the next hubs,
-which are held against the whole group, until no member is left that was neither linked
-nor a hub.
+
+Windows whose min-hash no other text has are dropped. The others of a text are joined by
+interval: windows of two functions whose extents have a subsequence of ``min_words`` words
+around both minima in common give a signature of two min-hashes, which only texts with such
+a subsequence share. Texts of one signature are linked in two passes (linking.py), and each
+link is verified on the texts by the Jaccard similarity of two stretches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldleaf.llm.common import components, stored
+from fieldleaf.llm import linking
+from fieldleaf.llm.common import components, stored, whole_groups
 
 WIDTH = 5
+PART = 1 << 20  # tokens that are worked on at a time, one whole text at least
 U = np.uint64
+AGREE = 2  # functions whose windows meet in a signature
 
 
 def tokens(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -49,43 +54,76 @@ def min_hash(x: np.ndarray, function: int) -> np.ndarray:
     return v * U(0x94D049BB133111EB)
 
 
-def compact_windows(v: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start, minimum's place, end) of the Cartesian tree's nodes of at least ``least`` values; of equal minima the middle one is the node, which keeps the tree of a repetitive text flat."""
-    out, waiting = [], [(0, len(v))] if len(v) >= least else []
-    while waiting:
-        a, b = waiting.pop()
-        part = v[a:b]
-        c = int(part.argmin())
-        same = np.flatnonzero(part[c:] == part[c])
-        c = a + c + int(same[len(same) // 2])
-        out.append((a, c, b))
-        if c - a >= least:
-            waiting.append((a, c))
-        if b - c - 1 >= least:
-            waiting.append((c + 1, b))
-    return out
+def compact_windows(v: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+    """(start, minimum's place, end) of the nodes of at least ``least`` values in the Cartesian trees over v[start:end], all trees at once, level by level.
+
+    Places fill the low bits of the values, so that a minimum tells where it is; they are
+    scattered by an odd factor, so that equal values make no deep tree.
+    """
+    bits = max(20, len(v).bit_length())
+    mask, factor = U((1 << bits) - 1), 0x9E3779B97F4A7C15 & (1 << bits) - 1
+    back = U(pow(factor, -1, 1 << bits))
+    packed = np.append(v & ~mask | np.arange(len(v), dtype=U) * U(factor) & mask, ~U(0))
+    out = [np.zeros((3, 0), np.int64)]
+    long = ends - starts >= least
+    a, b = starts[long], ends[long]
+    while len(a):
+        low = np.minimum.reduceat(packed, np.stack([a, b], axis=1).ravel())[::2]
+        c = ((low & mask) * back & mask).astype(np.int64)
+        out.append(np.stack([a, c, b]))
+        left, right = c - a >= least, b - c - 1 >= least
+        a, b = np.concatenate([a[left], c[right] + 1]), np.concatenate([c[left], b[right]])
+        order = np.argsort(a)
+        a, b = a[order], b[order]
+    return np.concatenate(out, axis=1)
 
 
 def windows(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
-    """(key, text_hash, span): key is a min-hash with its function in the low byte, span is start << 32 | end in tokens."""
+    """(key, node, start, middle, end) of all compact windows in tokens: key is a min-hash with its function in the low byte, node the text's hash."""
+    least = min_words - WIDTH + 1
+    names = ["key", "node", "start", "middle", "end"]
+
+    def told(part: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        ends = sizes.cumsum()
+        x, owner = np.concatenate(part), np.repeat(np.arange(len(part)), sizes)
+        cols = []
+        for f in range(hashes):
+            v = min_hash(x, f)
+            w = compact_windows(v, ends - sizes, ends, least)
+            i = owner[w[1]]
+            key = (v[w[1]] & U(0xFFFFFFFFFFFFFF00) | U(f)).view(np.int64)
+            cols.append((key, np.array(nodes)[i], *(w - (ends - sizes)[i]).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nodes, size = [], [], 0
         for b in batches:
-            keys, texts, spans = [], [], []
             for at, h in enumerate(b.column(0).to_pylist()):
                 x = tokens(b.column(1)[at].as_py())
-                if len(x) < min_words - WIDTH + 1:
-                    continue
-                for f in range(hashes):
-                    v = min_hash(x, f)
-                    found = np.array(compact_windows(v, min_words - WIDTH + 1), np.int64)
-                    keys.append((v[found[:, 1]] & U(0xFFFFFFFFFFFFFF00) | U(f)).view(np.int64))
-                    spans.append(found[:, 0] << 32 | found[:, 2])
-                    texts.append(np.full(len(found), h, np.int64))
-            cat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
-            yield pa.RecordBatch.from_arrays([cat(keys), cat(texts), cat(spans)], ["key", "text_hash", "span"])
-
-    return docs.select("text_hash", "text").mapInArrow(run, "key long, text_hash long, span long")
+                if len(x) >= least:
+                    part.append(x)
+                    nodes.append(h)
+                    size += len(x)
+                if size >= PART:
+                    yield told(part, nodes)
+                    part, nodes, size = [], [], 0
+        if part:
+            yield told(part, nodes)
+
+    return docs.select("text_hash", "text").mapInArrow(run, "key long, node long, start int, middle int, end int")
+
+
+def signatures(found: DataFrame, least: int) -> DataFrame:
+    """(key, node, at) for each two windows of a text that have a stretch of ``least`` tokens around both minima in common, minima less than that apart; at is the first minimum."""
+    cut = lambda c: F.floor(F.col(c) / least).cast("int")
+    one = found.select("node", cut("middle").alias("bin"), *[F.col(c).alias(f"{c}_1") for c in ("key", "start", "middle", "end")])
+    two = found.select("node", F.explode(F.array(*[cut("middle") + k for k in (-1, 0, 1)])).alias("bin"), *[F.col(c).alias(f"{c}_2") for c in ("key", "start", "middle", "end")])
+    function = lambda c: F.col(c).bitwiseAND(F.lit(255))
+    low, high = F.greatest("start_1", "start_2"), F.least("end_1", "end_2")
+    first, last = F.least("middle_1", "middle_2"), F.greatest("middle_1", "middle_2")
+    meet = (function("key_1") < function("key_2")) & (last - first < least) & (low <= first) & (last < high) & (high - low >= least)
+    return one.join(two, ["node", "bin"]).where(meet).select(F.xxhash64("key_1", "key_2").alias("key"), "node", first.alias("at"))
 
 
 def neighbours(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +191,41 @@ def stretches(x: np.ndarray, y: np.ndarray, top: int, least: int, similarity: fl
     return np.unique(np.concatenate(out), axis=0)
 
 
+def likely(a: np.ndarray, b: np.ndarray, place: np.ndarray, least: int, similarity: float) -> tuple[int, int, int, int, float] | None:
+    """A passage as in verified() among some likely stretches: the whole texts, and the best scoring stretches of a with what b has at about the same distance. ``place`` tells where a's tokens are in b."""
+
+    def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+        x, y = np.unique(x), np.unique(y)
+        n = len(np.intersect1d(x, y, assume_unique=True))
+        return n / (len(x) + len(y) - n)
+
+    if (j := jaccard(a, b)) >= similarity:
+        return 0, len(a) + WIDTH - 1, 0, len(b) + WIDTH - 1, j
+    hit = place >= 0
+    for gain in (0.11, 0.05, 0.2):
+        total = np.r_[0, np.where(hit, gain, gain - 1).cumsum()]
+        e = int((total - np.minimum.accumulate(total)).argmax())
+        s = int(total[: e + 1].argmin())
+        if e - s < least:
+            s = max(0, s - (least - e + s) // 2)
+            e = min(len(a), s + least)
+            s = max(0, e - least)
+        at = s + np.flatnonzero(hit[s:e])
+        if not len(at):
+            continue
+        far = place[at] - at
+        near = place[at][np.abs(far - np.median(far)) <= least]
+        if not len(near):
+            continue
+        t, u = int(near.min()), int(near.max()) + 1
+        if u - t < least:
+            t = max(0, min(t, len(b) - least))
+            u = min(len(b), max(u, t + least))
+        if u - t >= least and (j := jaccard(a[s:e], b[t:u])) >= similarity:
+            return s, e + WIDTH - 1, t, u + WIDTH - 1, j
+    return None
+
+
 def verified(a: np.ndarray, b: np.ndarray, min_words: int, similarity: float) -> tuple[int, int, int, int, float] | None:
     """A long passage of a that b repeats: (start, end) in words of both and the Jaccard similarity of their tokens.
 
@@ -161,8 +234,16 @@ def verified(a: np.ndarray, b: np.ndarray, min_words: int, similarity: float) ->
     that a pair is refused only if no two stretches are similar enough.
     """
     least = min_words - WIDTH + 1
-    if not dense(a, np.isin(a, b), least, similarity) or not dense(b, np.isin(b, a), least, similarity):
-        return None  # most candidates end here
+    if min(len(a), len(b)) < least:
+        return None
+    order = np.argsort(b, kind="stable")
+    place = np.searchsorted(b[order], a)
+    place[place == len(b)] = 0
+    hit = b[order[place]] == a
+    if hit.sum() < similarity * similarity * least or not dense(a, hit, least, similarity) or not dense(b, np.isin(b, a), least, similarity):
+        return None  # many candidates end here
+    if found := likely(a, b, np.where(hit, order[place], -1), least, similarity):
+        return found  # and most others here
     values, both = np.unique(np.r_[a, b], return_inverse=True)
     x, y, top = both[: len(a)], both[len(a) :], len(values)
 
@@ -217,88 +298,132 @@ def verified(a: np.ndarray, b: np.ndarray, min_words: int, similarity: float) ->
     return None
 
 
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(text_hash, doc_id, packed): texts as small binaries for the shuffles to come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t.as_py().encode()) for t in b.column(2)], pa.binary())], ["text_hash", "doc_id", "packed"])
+
+    return docs.select("text_hash", "doc_id", "text").mapInArrow(run, "text_hash long, doc_id long, packed binary")
+
+
+def unpacked(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode()
+
+
 def verify(pairs: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """The pairs (hub, text_hash) that share a passage, with its place in both and the similarity."""
-    own = texts.select(F.col("text_hash").alias("hub"), F.col("text").alias("hub_text"))
-    both = pairs.join(own, "hub").join(texts.select("text_hash", "text"), "text_hash")
+    """The pairs (a, b) that share a passage, with its place in both and the similarity."""
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen = None, np.zeros(0, U)
+        known, own = None, np.zeros(0, U)
         for f in frames:
             out = []
-            for hub, h, x, y in zip(f["hub"], f["text_hash"], f["hub_text"], f["text"], strict=True):
-                if hub != known:
-                    known, seen = hub, tokens(x)
-                if found := verified(seen, tokens(y), min_words, similarity):
-                    out.append((hub, h, *found))
-            yield pd.DataFrame(out, columns=["hub", "text_hash", "hub_start", "hub_end", "start", "end", "similarity"])
+            for a, b, x, y in zip(f["a"], f["b"], f["packed_a"], f["packed_b"], strict=True):
+                if a != known:
+                    known, own = a, tokens(unpacked(x))
+                if found := verified(own, tokens(unpacked(y)), min_words, similarity):
+                    out.append((a, b, *found))
+            yield pd.DataFrame(out, columns=["a", "b", "start_a", "end_a", "start_b", "end_b", "similarity"])
+
+    return both.select("a", "b", "packed_a", "packed_b").mapInPandas(run, "a long, b long, start_a long, end_a long, start_b long, end_b long, similarity double")
+
+
+def overlaps(sets: list[np.ndarray], often: int = 32) -> np.ndarray:
+    """How many values each two of ``sets`` (of distinct values) have in common: values of up to ``often`` sets by their pairs, others by a matrix product."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((m, m), np.float32)
+    columns = np.flatnonzero(times > often)
+    for at in range(0, len(columns), 2048):
+        some = np.full(len(times), -1)
+        some[columns[at : at + 2048]] = np.arange(len(columns[at : at + 2048]))
+        own = some[value] >= 0
+        table = np.zeros((m, 2048), np.float32)
+        table[owner[own], some[value[own]]] = 1
+        out += table @ table.T
+    few = (times[value] > 1) & (times[value] <= often)
+    order = np.lexsort((owner[few], value[few]))
+    who, what = owner[few][order], value[few][order]
+    pairs = [np.zeros(0, np.int64)]
+    for off in range(1, min(often, len(who))):
+        i = np.flatnonzero(what[:-off] == what[off:])
+        if not len(i):
+            break
+        pairs.append(who[i] * m + who[i + off])
+    half = np.bincount(np.concatenate(pairs), minlength=m * m).reshape(m, m)
+    return out + half + half.T
+
+
+def close_stretches(rest: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of members with different labels whose texts have enough tokens in common around the minima that they share: about two thirds of a shortest passage."""
+    need = 0.65 * least
+    at = rest.groupBy("node").agg(F.collect_list(F.struct("key", "at", "label", "cuts")).alias("at"))  # bounded by the text's own windows
+
+    def stretches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for node, places, packed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                x = (tokens(unpacked(packed)) & U(0xFFFFFFFF)).astype(np.uint32)
+                rows += [(p["key"], node, p["label"], p["cuts"], np.unique(x[max(0, p["at"] - least + 1) : p["at"] + least]).tobytes()) for p in places]
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()
+            for k in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + 10_000]], kind) for i, kind in enumerate(kinds)], ["key", "node", "label", "cuts", "tokens"])
+
+    carried = at.join(texts, "node").select("node", "at", "packed").mapInArrow(stretches_of, "key long, node long, label long, cuts int, tokens binary")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["key", "cell"]):
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+            for _, f in frame.groupby(["key", "cell"], sort=False):
+                node, label = f["node"].to_numpy(), f["label"].to_numpy()
+                if (label == label[0]).all():
+                    continue
+                n = overlaps([np.frombuffer(t, np.uint32) for t in f["tokens"]])
+                i, j = np.nonzero(np.triu(n, 1) >= need)
+                keep = label[i] != label[j]
+                i, j = i[keep], j[keep]
+                out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
+            yield pd.DataFrame({k: np.concatenate([np.zeros(0, np.int64), *(x[n] for x in out)]) for n, k in enumerate("ab")}).drop_duplicates()
 
-    return both.select("hub", "text_hash", "hub_text", "text").mapInPandas(run, "hub long, text_hash long, hub_start long, hub_end long, start long, end long, similarity double")
+    return linking.cells(carried).drop("cuts").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInPandas(compare, "a long, b long")
 
 
-def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 4, enough: int = 2, next_hubs: int = 64) -> DataFrame:
-    """Verified links between texts, each with its passage.
+def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 4) -> DataFrame:
+    """Verified links (a, b) between texts ``docs(doc_id, text_hash, text)``, each with its passage; ``reps(text_hash, doc_id)`` names one document of each text."""
+    least = min_words - WIDTH + 1
+    near = stored(linking.shared(windows(docs, min_words, hashes)))
+    members = stored(linking.shared(signatures(near, least).groupBy("key", "node").agg(F.min("at").alias("at"))))
+    need = members.select(F.col("node").alias("text_hash")).distinct().join(reps, "text_hash")
+    texts = stored(packed_texts(docs).join(need, ["text_hash", "doc_id"]).dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("node"), "packed"))
+    return linking.links(members, lambda pairs: verify(pairs, texts, min_words, similarity), lambda rest: close_stretches(rest, texts, least))
 
-    A round holds every member of a group against the group's hubs: one at first, then up to
-    ``next_hubs`` of those members that no hub was linked to. A member is no later hub of a
-    group in which it was linked to a hub or was one itself; the rounds end when no group
-    has a member left. What agrees in two texts counts whichever rounds it was seen in.
-    """
-    check = lambda pairs, own: verify(pairs, own, min_words, similarity)
-    return hub_links(windows(docs, min_words, hashes), docs, reps, check, enough, next_hubs)
-
-
-def hub_links(made: DataFrame, docs: DataFrame, reps: DataFrame, check: Callable[[DataFrame, DataFrame], DataFrame], enough: int, next_hubs: int) -> DataFrame:
-    """What ``check(pairs, texts)`` leaves of the pairs that meet in ``made(key, text_hash)`` by ``enough`` functions, in rounds as told in links()."""
-    hubs = made.groupBy("key").agg(F.min("text_hash").alias("hub"), F.max("text_hash").alias("last")).where("hub < last").select("key", "hub").repartition("key")
-    now = stored(made.join(hubs, "key").select("key", "text_hash", "hub").distinct())
-    members = left = now.select("key", "text_hash")
-    pair = ["a", "b"]
-    seen = tried = found = None
-    add = lambda x, y: y if x is None else x.unionByName(y)
-    while True:
-        apart = now.where("hub <> text_hash").withColumns({"a": F.least("hub", "text_hash"), "b": F.greatest("hub", "text_hash")})
-        agreed = apart.select(*pair, F.col("key").bitwiseAND(F.lit(255)).alias("function")).distinct()
-        new = stored(agreed if tried is None else agreed.join(tried, pair, "left_anti"))
-        grown = new if seen is None else new.unionByName(seen.join(new.select(pair).distinct(), pair, "left_semi"))
-        seen = add(seen, new)
-        fresh = stored(grown.groupBy(pair).agg(F.countDistinct("function").alias("n")).where(F.col("n") >= enough).select(pair))
-        if not fresh.isEmpty():
-            need = fresh.select(F.col("a").alias("text_hash")).unionByName(fresh.select(F.col("b").alias("text_hash"))).distinct().join(reps, "text_hash")
-            texts = docs.join(need, ["text_hash", "doc_id"]).select("text_hash", "text").dropDuplicates(["text_hash"])
-            found = add(found, stored(check(fresh.toDF("hub", "text_hash"), texts)))
-            tried = add(tried, fresh)
-        done = now.select("key", F.col("hub").alias("text_hash"))
-        if found is not None:
-            done = done.unionByName(apart.join(found.select(F.col("hub").alias("a"), F.col("text_hash").alias("b")), pair, "left_semi").select("key", "text_hash"))
-        left = stored(left.join(done, ["key", "text_hash"], "left_anti"))
-        if left.isEmpty():
-            return found if found is not None else check(fresh.toDF("hub", "text_hash"), docs.select("text_hash", "text").limit(0))
-        hubs = left.groupBy("key", F.pmod(F.xxhash64("text_hash"), F.lit(next_hubs)).alias("j")).agg(F.min("text_hash").alias("hub")).select("key", "hub")
-        now = stored(members.join(hubs, "key"))
-
-
-def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 4, enough: int = 2) -> DataFrame:
-    """(doc_id, class_id, n_links, passage_start, passage_end, similarity) for every document.
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 4) -> DataFrame:
+    """(doc_id, class_id, passage_start, passage_end, similarity) for every document.
 
     Documents are linked if they hold the same text or share a passage of at least
     ``min_words`` words whose runs of five words have a Jaccard similarity of ``similarity``
-    or more. class_id is the smallest doc_id that links lead to; n_links counts the links
-    kept between this text and other texts (hub links, not all pairs); passage_start and
-    passage_end are the words of its longest linked passage, end exclusive, null if it has
-    none. Null texts and rows without doc_id stand alone (class_id is their doc_id). Equal
-    texts share a class and its figures; an empty table gives an empty result; other columns
-    are ignored.
+    or more. class_id is the smallest doc_id that links lead to; passage_start and
+    passage_end are the words of the longest passage by which the text was linked (of equally
+    long ones the last, then the most similar), end exclusive, null if it has none. A passage
+    at that similarity is a candidate with probability 0.97 with four functions, and more
+    surely where it is longer or more similar; exact passages always are. Null texts and rows
+    without doc_id stand alone (class_id is their doc_id). Equal texts and repeated rows share
+    a class and its figures; an empty table gives an empty result; other columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_hash", F.xxhash64("text"))
     known = own.where("doc_id is not null and text is not null")
-    reps = known.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
-    found = stored(links(known, reps, min_words, similarity, hashes, enough))
-    ends = found.select("text_hash", F.struct((F.col("end") - F.col("start")).alias("n"), "start", "end", "similarity").alias("p")).unionByName(found.select(F.col("hub").alias("text_hash"), F.struct((F.col("hub_end") - F.col("hub_start")).alias("n"), F.col("hub_start").alias("start"), F.col("hub_end").alias("end"), "similarity").alias("p")))
-    figures = ends.groupBy("text_hash").agg(F.count("*").alias("n_links"), F.max("p").alias("p"))
-    rep = lambda name: reps.select(F.col("text_hash").alias(name), F.col("doc_id").alias(f"{name}_doc"))
-    edges = found.select("hub", "text_hash").distinct().join(rep("hub"), "hub").join(rep("text_hash"), "text_hash").select(F.col("hub_doc").alias("a"), F.col("text_hash_doc").alias("b"))
+    reps = stored(known.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id")))
+    found = stored(links(known, reps, min_words, similarity, hashes))
+    side = lambda k: found.select(F.col(k).alias("text_hash"), F.struct((F.col(f"end_{k}") - F.col(f"start_{k}")).alias("n"), F.col(f"start_{k}").alias("start"), F.col(f"end_{k}").alias("end"), "similarity").alias("p"))
+    figures = side("a").unionByName(side("b")).groupBy("text_hash").agg(F.max("p").alias("p"))
+    rep = lambda k: reps.select(F.col("text_hash").alias(k), F.col("doc_id").alias(f"{k}_doc"))
+    edges = found.select("a", "b").join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
     top = components(edges).withColumnRenamed("node", "rep")
-    label = reps.withColumnRenamed("doc_id", "rep").join(top, "rep", "left").join(figures, "text_hash", "left").select("text_hash", F.coalesce("component", "rep").alias("class_id"), "n_links", "p")
+    label = reps.withColumnRenamed("doc_id", "rep").join(top, "rep", "left").join(figures, "text_hash", "left").select("text_hash", F.coalesce("component", "rep").alias("class_id"), "p")
     told = own.select("doc_id", F.when(F.col("text").isNotNull() & F.col("doc_id").isNotNull(), F.col("text_hash")).alias("text_hash")).join(label, "text_hash", "left")
-    return told.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("p.start").alias("passage_start"), F.col("p.end").alias("passage_end"), F.col("p.similarity").alias("similarity"))
+    return told.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.col("p.start").alias("passage_start"), F.col("p.end").alias("passage_end"), F.col("p.similarity").alias("similarity"))

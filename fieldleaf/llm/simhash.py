@@ -3,15 +3,20 @@
 Two fingerprints of 64 bits that differ in at most ``max_bits`` bits agree on at least
 ``blocks - max_bits`` of ``blocks`` blocks, so each such pair meets in a bucket keyed by
 that many blocks. (A pivot table alone keeps more than half of all random pairs for each
-pivot, so without an equality key it would need a cross join.) In a bucket every
-fingerprint gets its Hamming distances to reference fingerprints; a pair whose distances to
-any one of them differ by more than ``max_bits`` is discarded by the triangle inequality,
-what lies within ``max_bits`` of a reference is linked to it at once, and only the
-survivors are compared bit by bit. A bucket gives a spanning forest, never all its pairs.
+pivot, so without an equality key it would need a cross join.) Every fingerprint gets its
+Hamming distances to reference fingerprints; a pair of a bucket whose distances to any one
+of them differ by more than ``max_bits`` is discarded by the triangle inequality, and only
+the survivors are compared bit by bit. In large buckets the references are members, and
+what lies within ``max_bits`` of one is linked to it at once: a large bucket gives a
+spanning forest, never all its pairs.
+
+For similarities instead of bits (``keep_one``) the fingerprints are wider, buckets come
+from sampled bits, and the survivors are verified by the texts' own Jaccard similarity.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,13 +24,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldleaf.llm.common import components, stored, whole_groups
+from fieldleaf.llm.linking import cells
+from fieldleaf.llm.passages import min_hash, tokens, unpacked
 
 SEED = 42
 CHUNK = 8192
+WIDE = 128  # bits of the fingerprints for similarities
+PIVOTS = 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -128,9 +138,12 @@ def links(reps: DataFrame, max_bits: int = 4, blocks: int = 7, pivots: int = 16,
     part = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
     met = keyed.join(sizes, ["choice", "bits"]).select("choice", "bits", "fp", "rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.least(o, part) * F.col("cuts") + F.greatest(o, part))).alias("cell"))
 
+    references = np.random.default_rng(13).integers(0, 1 << 63, pivots, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.arange(pivots, dtype=np.uint64) % np.uint64(2)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["choice", "bits", "cell"]):
             fp, rep = frame["fp"].to_numpy().view(np.uint64), frame["rep"].to_numpy()
+            table = np.stack([np.bitwise_count(fp ^ r).astype(np.int8) for r in references])  # distances of the frame's fingerprints to every reference
             key = frame[["choice", "bits", "cell"]]
             group = (key != key.shift()).any(axis=1).to_numpy().cumsum()
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -141,6 +154,8 @@ def links(reps: DataFrame, max_bits: int = 4, blocks: int = 7, pivots: int = 16,
                 i = np.flatnonzero((group[:-off] == group[off:]) & small[:-off])
                 if not len(i):
                     break
+                for row in table:  # what one reference tells apart needs no comparison
+                    i = i[np.abs(row[i] - row[i + off]) <= max_bits]
                 i = i[np.bitwise_count(fp[i] ^ fp[i + off]) <= max_bits]
                 out.append((rep[i], rep[i + off]))
             for s, m in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
@@ -170,7 +185,162 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, blocks:
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, max_bits: int = 4, blocks: int = 7) -> DataFrame:
-    """The documents with one of each near-duplicate group: that with the smallest doc_id. Rows without a doc_id stay; repeated rows of the kept doc_id stay."""
-    kept = near_duplicates(docs.where("doc_id is not null"), width, max_bits, blocks).where("doc_id = component_id").select("doc_id").distinct()
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of ``WIDE`` bits of distinct shingle hashes, as 64-bit words."""
+    out = np.empty(WIDE // 64, np.uint64)
+    for k in range(len(out)):
+        h = min_hash(shingles, 100 + k)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), CHUNK):
+            ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's runs of ``width`` words; a shorter text is one shingle."""
+    x = np.unique(tokens(text, width))
+    return x if len(x) else np.array([xxhash.xxh64_intdigest(b" ".join((text or "").lower().encode().split()))], np.uint64)
+
+
+def differing(similarity: float) -> float:
+    """The share of SimHash bits in which two sets of this Jaccard similarity and like size are expected to differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_keys(fps: DataFrame, texts: int, similarity: float, recall: float, seed: int = 11) -> DataFrame:
+    """``fps(node, f0, f1, ...)`` once for each of the keys of sampled bits: as many bits as make buckets of about one chance member, as many keys as find a pair at ``similarity`` with probability ``recall``."""
+    bits = max(12, math.ceil(math.log2(max(2, texts))))
+    keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** bits))
+    rng = np.random.default_rng(seed)
+    places = np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(keys)])
+    names = [n for n in fps.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                words = np.stack([b.column(names.index(f"f{k}")).to_numpy() for k in range(WIDE // 64)], axis=1)
+                ones = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+                key = ones[:, places] @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(keys, dtype=np.int64) << bits)
+                rows = pa.array(np.repeat(np.arange(b.num_rows), keys))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *[c.take(rows) for c in b.columns]], ["key", *names])
+
+    return fps.mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names))
+
+
+def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, bucket_rows: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of ``fps(node, label, f0, f1, ...)`` that meet in a bucket and have different labels and near fingerprints.
+
+    In a bucket a member is only told of with the first one near it that none was told of
+    with, so that a bucket gives fewer pairs than it has members; where labels are given
+    (not the node itself) every near pair of different labels is told.
+    """
+    expected = differing(similarity) * WIDE
+    radius = int(expected + 2.5 * math.sqrt(expected * (1 - differing(similarity))))
+    pivots = np.random.default_rng(12).integers(0, 1 << 63, (PIVOTS, WIDE // 64), dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    keyed = sampled_keys(fps, texts, similarity, recall)
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts"))
+    rest = cells(keyed.join(hot, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))).drop("cuts")
+
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["key", "cell"]):
+            node, label = frame["node"].to_numpy(), frame["label"].to_numpy()
+            fp = frame[[f"f{k}" for k in range(WIDE // 64)]].to_numpy().view(np.uint64)
+            table = np.stack([apart(fp, p) for p in pivots], axis=1)
+            key = frame[["key", "cell"]].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
+            sizes = np.diff(edges)
+            out: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def near(i: np.ndarray, j: np.ndarray) -> None:
+                keep = (label[i] != label[j]) & (np.abs(table[i] - table[j]).max(axis=1, initial=0) <= radius)
+                i, j = i[keep], j[keep]
+                keep = apart(fp[i], fp[j]) <= radius
+                out.append((node[i[keep]], node[j[keep]]))
+
+            twos = edges[:-1][sizes == 2]
+            near(twos, twos + 1)
+            for s, e in zip(edges[:-1][sizes > 2].tolist(), edges[1:][sizes > 2].tolist(), strict=True):
+                if (label[s:e] != node[s:e]).any():
+                    for i in range(s, e - 1):
+                        near(np.full(e - i - 1, i), np.arange(i + 1, e))
+                    continue
+                left = np.arange(s, e)
+                while len(left) > 1:
+                    hub, left = left[0], left[1:]
+                    i = left[np.abs(table[left] - table[hub]).max(axis=1) <= radius]
+                    i = i[apart(fp[i], fp[hub]) <= radius]
+                    out.append((np.full(len(i), node[hub]), node[i]))
+                    left = np.setdiff1d(left, i, assume_unique=True)
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in (0, 1))
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return rest.repartition("key", "cell").sortWithinPartitions("key", "cell", "node").mapInPandas(run, "a long, b long").distinct()
+
+
+def similar_enough(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingles have the Jaccard similarity, counted on the texts."""
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, own = None, np.zeros(0, np.uint64)
+        for f in frames:
+            keep = []
+            for a, x, y in zip(f["a"], f["packed_a"], f["packed_b"], strict=True):
+                if a != known:
+                    known, own = a, shingles(unpacked(x), width)
+                other = shingles(unpacked(y), width)
+                n = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(n >= similarity * (len(own) + len(other) - n) - 1e-9)
+            yield f.loc[np.array(keep, bool), ["a", "b"]]
+
+    return both.select("a", "b", "packed_a", "packed_b").mapInPandas(run, "a long, b long")
+
+
+def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95, bucket_rows: int = 2000) -> DataFrame:
+    """(node, component) of the texts ``texts(node, text)`` that have a near-duplicate: Jaccard similarity of their shingles of ``similarity`` or more.
+
+    Fingerprints of ``WIDE`` bits meet in buckets of sampled bits, pivots and the Hamming
+    distance choose pairs there, and the texts decide. A second pass looks for links between
+    the components of the first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            said = [t.as_py() for t in b.column(1)]
+            fps = np.array([wide_fingerprint(shingles(t, width)) for t in said], np.uint64).reshape(-1, WIDE // 64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in np.ascontiguousarray(fps.T)], pa.array([pack(t.encode()) for t in said], pa.binary())], ["node", *[f"f{k}" for k in range(WIDE // 64)], "packed"])
+
+    words = [f"f{k}" for k in range(WIDE // 64)]
+    made = stored(texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"{w} long" for w in words) + ", packed binary"))
+    n = made.count()
+    fps = made.select("node", F.col("node").alias("label"), *words)
+    first = stored(bucket_pairs(fps, n, similarity, recall, bucket_rows))
+    held = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+    kept = stored(made.select("node", "packed").join(held, "node"))
+    found = stored(similar_enough(first, kept, width, similarity))
+    label = components(found)
+    again = made.select("node", *words).join(held, "node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *words)
+    second = stored(bucket_pairs(again, n, similarity, recall, bucket_rows).join(first, ["a", "b"], "left_anti"))
+    return components(found.unionByName(stored(similar_enough(second, kept, width, similarity))))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs``, all columns, with one of each group of near-duplicates: that with the smallest doc_id.
+
+    Near-duplicates have a Jaccard similarity of ``similarity`` or more of their shingles of
+    ``width`` words; a shorter text is one shingle, and null and wordless texts are alike.
+    Rows without a doc_id stay; repeated rows of a kept doc_id stay, and a doc_id stays if
+    one of its texts does. An empty table stays empty.
+    """
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    reps = stored(own.groupBy("text_hash").agg(F.min("doc_id").alias("rep")))
+    once = own.join(reps.select("text_hash", F.col("rep").alias("doc_id")), ["text_hash", "doc_id"]).dropDuplicates(["text_hash"]).select(F.col("doc_id").alias("node"), "text")
+    later = similar_texts(once, width, similarity).where("node <> component").select(F.col("node").alias("rep"))
+    kept = reps.select("rep").distinct().join(later, "rep", "left_anti").select(F.col("rep").alias("doc_id"))
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
