@@ -16,8 +16,9 @@ def compare(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def agreement(compared: DataFrame, *by: str) -> DataFrame:
-    """Cells and equal cells by key."""
-    return compared.groupBy(*by).agg(F.count("*").alias("cells"), F.count_if(F.col("outcome") == "equal").alias("equal_cells"), F.count_if(F.col("outcome") == "differing").alias("differing"))
+    """Cells of each outcome by key, and the share of equal ones."""
+    n = lambda outcome: F.count_if(F.col("outcome") == outcome)
+    return compared.groupBy(*by).agg(F.count("*").alias("cells"), n("equal").alias("equal_cells"), n("differing").alias("differing"), n("only_left").alias("only_left"), n("only_right").alias("only_right"), (n("equal") / F.count("*")).alias("rate"))
 
 
 def models(log: DataFrame) -> DataFrame:

@@ -33,25 +33,73 @@ def unfence(text: Column) -> Column:
     return F.when(F.startswith(said, F.lit("```")), strip(inner)).otherwise(said)
 
 
+def completions(answers: DataFrame) -> DataFrame:
+    """``answers`` (page_id, answer) of a chat service, answer being its whole JSON: body is the first choice's text, failed says why there is none, finish_reason what the service said of it.
+
+    failed is no_completion (no object, or no choices in it), malformed_choice, no_text or
+    null; a choice without text says its reason, other answers an empty one.
+    """
+    whole = F.try_parse_json("answer")
+    choices, first = (F.try_variant_get(whole, path, "variant") for path in ("$.choices", "$.choices[0]"))
+    message = F.try_variant_get(first, "$.message.content", "variant")
+    is_a = lambda x, kind: F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
+    text = F.when(is_a(message, "STRING"), F.try_variant_get(message, "$", "string"))
+    failed = F.when(~is_a(whole, "OBJECT") | ~is_a(choices, "ARRAY") | first.isNull(), "no_completion").when(~is_a(first, "OBJECT"), "malformed_choice").when(F.coalesce(strip(text), F.lit("")) == "", "no_text")
+    reason = F.coalesce(F.nullif(F.try_variant_get(first, "$.finish_reason", "string"), F.lit("")), F.lit("no reason given"))
+    return answers.withColumns({"body": text, "failed": failed, "finish_reason": F.when(failed == "no_text", reason).otherwise("")}).drop("answer")
+
+
 def envelopes(responses: DataFrame) -> DataFrame:
-    """``responses`` (page_id, body) with status and rows: the list of row objects as a VARIANT where there is one.
+    """``responses`` (page_id, body) with status, page and rows: the object that came, and the list of row objects as a VARIANT and as its own text.
 
-    Status is ok, no_text, not_json or no_rows; a bare list and an object with a list under
-    rows are both answers. A page's status never raises.
+    Status is ok, no_text, not_json or no_rows, or what ``failed`` says already where
+    ``completions`` read a chat service's answers. A bare list is a page with an empty strip
+    and no marks; an object has its list under rows. A page's status never raises.
     """
     said = responses.withColumn("content", unfence(F.col("body"))).withColumn("json", F.try_parse_json("content"))
     kind = F.schema_of_variant("json")
-    listed = F.when(kind.startswith("ARRAY"), F.col("json")).when(kind.startswith("OBJECT"), F.try_variant_get("json", "$.rows", "variant"))
+    bare = kind.startswith("ARRAY")
+    listed = F.when(bare, F.col("json")).when(kind.startswith("OBJECT"), F.try_variant_get("json", "$.rows", "variant"))
     read = said.withColumn("rows", listed).withColumn("is_list", F.coalesce(F.schema_of_variant("rows").startswith("ARRAY"), F.lit(False)))
     status = F.when(F.coalesce(F.col("content"), F.lit("")) == "", "no_text").when(F.col("json").isNull(), "not_json").when(~F.col("is_list"), "no_rows").otherwise("ok")
-    return read.select(*responses.columns, status.alias("status"), F.when(F.col("is_list"), F.col("rows")).alias("rows"))
+    if "failed" in responses.columns:
+        status = F.coalesce("failed", status)
+    text = F.when(bare, F.col("content")).otherwise(F.get_json_object("content", "$.rows"))
+    ok = F.col("status") == "ok"
+    told = read.select(*[c for c in responses.columns if c != "failed"], status.alias("status"), F.when(kind.startswith("OBJECT"), F.col("json")).alias("page"), "rows", text.alias("rows_text"))
+    return told.withColumns({c: F.when(ok, F.col(c)) for c in ("page", "rows", "rows_text")})
+
+
+def entries_of(read: DataFrame) -> DataFrame:
+    """(page_id, position, kind, text, value) for each entry of ``envelopes``'s rows: what kind of JSON it is, its text as it was written and its VARIANT; position counts from 1."""
+    values = F.col("rows").cast("array<variant>")
+    both = F.arrays_zip(F.from_json("rows_text", "array<string>").alias("text"), values.alias("value"), F.transform(values, F.schema_of_variant).alias("kind"))
+    return read.where("status = 'ok'").select("page_id", F.posexplode(both).alias("pos", "e")).select("page_id", (F.col("pos") + 1).alias("position"), "e.kind", "e.text", "e.value")
 
 
 def answer_rows(read: DataFrame) -> DataFrame:
-    """(page_id, position, no_raw, the eleven columns) for each row object of ``envelopes``'s rows; position counts from 1."""
-    spark = read.sparkSession
-    fields = ", ".join(f"try_variant_get(value, '$.{f}', 'string') AS `{f}`" for f in defs.FIELDS)
-    return spark.sql(f"SELECT page_id, pos + 1 AS position, try_variant_get(value, '$.no', 'string') AS no_raw, {fields} FROM {{read}}, LATERAL variant_explode(rows)", read=read.where("status = 'ok'").select("page_id", "rows"))
+    """(page_id, position, no_raw, the eleven columns, unsure) for each row object of ``envelopes``'s rows.
+
+    Values that aren't strings keep the text that they were written in (7.0 stays 7.0);
+    unsure is a VARIANT, null if the row has none. Unknown columns never get here.
+    """
+    named = entries_of(read).where(F.col("kind").startswith("OBJECT")).withColumn("m", F.from_json("text", "map<string,string>"))
+    return named.select("page_id", "position", F.col("m")["no"].alias("no_raw"), *[F.col("m")[f].alias(f) for f in defs.FIELDS], F.try_variant_get("value", "$.unsure", "variant").alias("unsure"))
+
+
+def strip_values(read: DataFrame) -> DataFrame:
+    """(page_id, school, grade, school_class) of every page that came: blank where the page is a bare list or lacks them."""
+    return read.where("status = 'ok'").select("page_id", *[F.coalesce(F.try_variant_get("page", f"$.{f}", "string"), F.lit("")).alias(f) for f in defs.HEADER_FIELDS])
+
+
+def mark_entries(read: DataFrame) -> DataFrame:
+    """(page_id, kind, position, no_raw, mark, odd) for each entry of a page's two lists of marks; odd is 'not a list' for what is no list, 'not an object' for an entry that is none, else ''. An absent list marks nothing."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.try_variant_get("page", f"$.{k}", "variant").alias("listed")) for k in defs.MARKS])
+    lists = read.where("status = 'ok'").select("page_id", F.explode(kinds).alias("k")).select("page_id", "k.kind", "k.listed").withColumn("is", F.schema_of_variant("listed")).where("is <> 'VOID'")
+    listed = F.col("is").startswith("ARRAY")
+    each = lists.select("page_id", "kind", listed.alias("is_list"), F.posexplode_outer(F.when(listed, F.col("listed").cast("array<variant>"))).alias("pos", "e")).where("not is_list or pos is not null")
+    odd = F.when(~F.col("is_list"), "not a list").when(~F.coalesce(F.schema_of_variant("e").startswith("OBJECT"), F.lit(False)), "not an object").otherwise("")
+    return each.select("page_id", "kind", F.coalesce(F.col("pos") + 1, F.lit(0)).alias("position"), F.try_variant_get("e", "$.no", "string").alias("no_raw"), F.try_variant_get("e", "$.mark", "string").alias("mark"), odd.alias("odd"))
 
 
 def numbered(entries: DataFrame) -> DataFrame:
@@ -88,10 +136,21 @@ def long_cells(rows: DataFrame) -> DataFrame:
 
 
 def unsure_flags(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Flags (page_id, row_no, field) and notes (page_id, row_no, name) from each row's ``unsure`` names: only the sheet's columns are flags."""
-    told = rows.select("page_id", "row_no", F.explode("unsure").alias("name"))
-    known = F.coalesce(F.col("name").isin(defs.FIELDS), F.lit(False))
-    return told.where(known).select("page_id", "row_no", F.col("name").alias("field")).distinct(), told.where(~known)
+    """Flags (page_id, row_no, field) and notes (page_id, row_no, k, name, note) from each row's ``unsure``, a VARIANT: only names of the sheet's columns are flags.
+
+    What stands for nothing (null, false, 0, a blank string, an empty list or object) says
+    nothing; anything else that isn't a list is a note, and so is each entry that isn't a
+    string or names no column.
+    """
+    kind = F.schema_of_variant("unsure")
+    nothing = kind.isNull() | kind.isin("VOID", "OBJECT<>") | F.to_json("unsure").isin("false", "0", '""', "[]")
+    told = rows.where(~nothing).select("page_id", "row_no", "unsure", kind.startswith("ARRAY").alias("is_list"))
+    each = told.select("page_id", "row_no", "is_list", "unsure", F.posexplode_outer(F.when(F.col("is_list"), F.col("unsure").cast("array<variant>"))).alias("k", "e"))
+    name = F.when(F.schema_of_variant("e") == "STRING", F.try_variant_get("e", "$", "string"))
+    each = each.withColumns({"name": name, "known": F.col("is_list") & F.coalesce(name.isin(defs.FIELDS), F.lit(False))})
+    note = F.when(F.col("is_list"), "names no column").otherwise("not a list")
+    notes = each.where(~F.col("known")).select("page_id", "row_no", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("name", F.to_json(F.coalesce("e", "unsure"))).alias("name"), note.alias("note"))
+    return each.where("known").select("page_id", "row_no", F.col("name").alias("field")).distinct(), notes
 
 
 def detection_boxes(answers: DataFrame, unsure_below: float = 0.5) -> DataFrame:
@@ -135,12 +194,13 @@ def header_boxes(pages: DataFrame) -> DataFrame:
 
 
 def row_marks(marks: DataFrame) -> DataFrame:
-    """``marks`` (page_id, position, no_raw, kind, mark) with row_no and a note: '', 'number', 'range' or 'second'; the first mark of a row wins, and position is no matter."""
+    """``marks`` (page_id, position, no_raw, kind, mark) with row_no and a note: '', 'number', 'range' or 'second', or what is ``odd`` about the entry; the first mark of a row wins, and position is no matter."""
+    odd = F.col("odd") if "odd" in marks.columns else F.lit("")
     whole = as_number(F.col("no_raw"))
-    placed = marks.withColumn("row_no", row_number_of(F.col("no_raw")))
+    placed = marks.withColumns({"row_no": F.when(odd == "", row_number_of(F.col("no_raw"))), "odd": odd})
     order = Window.partitionBy("page_id", "kind", "row_no").orderBy("position")
-    note = F.when(whole.isNull(), "number").when(F.col("row_no").isNull(), "range").when(F.row_number().over(order) > 1, "second").otherwise("")
-    return placed.withColumn("note", note)
+    note = F.when(F.col("odd") != "", F.col("odd")).when(whole.isNull(), "number").when(F.col("row_no").isNull(), "range").when(F.row_number().over(order) > 1, "second").otherwise("")
+    return placed.withColumn("note", note).drop("odd")
 
 
 def token_counts(log: DataFrame) -> DataFrame:

@@ -27,5 +27,5 @@ def requests(asked: DataFrame, engine_models: DataFrame, engine: str) -> DataFra
 
 
 def file_pages(pages: DataFrame, path: str) -> None:
-    """Writes finished pages under their cache name; only the names that come again are replaced."""
-    pages.write.partitionBy("cache_name").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    """Writes finished pages under their cache name and settings, so that readings of other sheets, models or rules never share a place; only those that come again are replaced."""
+    pages.write.partitionBy("cache_name", "settings").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)

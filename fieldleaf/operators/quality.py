@@ -4,36 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldleaf.functions import checks
-from fieldleaf.operators.geometry import dense
+from fieldleaf.operators.geometry import cell_texts
 from fieldleaf.plans import defs
 
 
-def checked(cells: DataFrame) -> DataFrame:
-    """``cells`` (page_id, row_no, ord, field, raw, unsure) with value, reason and problem: rejected, unsure or ''."""
-    read = cells.withColumn("raw", checks.strip(F.coalesce("raw", F.lit("")))).withColumn("candidate", checks.fold(F.col("field"), F.col("raw")))
-    read = read.withColumn("reason", checks.reason(F.col("field"), F.col("candidate")))
-    read = read.withColumn("value", F.when(F.col("reason") == "", F.col("candidate")).otherwise(""))
-    problem = F.when((F.col("raw") != "") & (F.col("value") == ""), "rejected").when((F.col("value") != "") & F.col("unsure"), "unsure").otherwise("")
-    return read.withColumn("problem", problem)
+def page_cells(boxes: DataFrame, sheet: str = "v1") -> DataFrame:
+    """All cells of every page of ``boxes``: (page_id, cells array<struct<row_no, ord, raw, unsure>>) in the sheet's order, blank and sure where no box came.
 
-
-def page_cells(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """All cells of ``pages``, with raw and unsure where ``found`` (page_id, row_no, ord, raw, unsure) has them."""
-    return dense(pages).join(found.select("page_id", "row_no", "ord", "raw", "unsure"), ["page_id", "row_no", "ord"], "left").withColumns({"raw": F.coalesce("raw", F.lit("")), "unsure": F.coalesce("unsure", F.lit(False))})
-
-
-def rows(cells: DataFrame) -> DataFrame:
-    """One row for each page and row number: read (the raw texts) and the eleven checked columns, with both pairs' disagreements and the gaps.
-
-    One shuffle; cells come together by page and row, eleven at most.
+    Boxes are shuffled once, by page; cells and pages come together on that partitioning.
     """
-    pick = lambda f, c: F.max(F.when(F.col("ord") == f, F.col(c)))
-    wide = cells.groupBy("page_id", "row_no").agg(*[pick(i + 1, "value").alias(f) for i, f in enumerate(defs.FIELDS)], F.array_sort(F.collect_list(F.struct("ord", "field", "raw", "candidate", "value", "reason", "problem"))).alias("cells"))
-    return told(wide)
+    found = cell_texts(boxes.repartition("page_id"), sheet, outside=True).groupBy("page_id").agg(F.collect_list(F.when(F.col("row_no").isNotNull(), F.struct((F.col("row_no") * 100 + F.col("ord")).alias("at"), F.struct("raw", "unsure")))).alias("x"))
+    each = F.array(*[F.struct(F.lit(r).alias("row_no"), F.lit(k).alias("ord")) for r in range(1, defs.ROWS + 1) for k in range(1, len(defs.FIELDS) + 1)])
+    mine = lambda c: F.col("m")[c["row_no"] * 100 + c["ord"]]
+    told = F.transform(each, lambda c: F.struct(c["row_no"].alias("row_no"), c["ord"].alias("ord"), F.coalesce(mine(c)["raw"], F.lit("")).alias("raw"), F.coalesce(mine(c)["unsure"], F.lit(False)).alias("unsure")))
+    return found.select("page_id", F.map_from_entries("x").alias("m")).select("page_id", told.alias("cells"))
 
 
 def told(wide: DataFrame) -> DataFrame:
@@ -56,7 +44,7 @@ def page_rows(placed: DataFrame) -> DataFrame:
 
 
 def checked_rows(read: DataFrame, unsure: Callable[[int], Column]) -> DataFrame:
-    """The same as ``rows``, from whole rows: each column is checked by its own expressions, so nothing is exploded or shuffled.
+    """One row for each page and row number: the eleven checked columns, the cells with what was read and why it was refused, both pairs' disagreements and the gaps. Each column is checked by its own expressions, so nothing is exploded or shuffled.
 
     ``unsure`` gives the flag of a column by its place, counted from 1.
     """
@@ -71,18 +59,24 @@ def checked_rows(read: DataFrame, unsure: Callable[[int], Column]) -> DataFrame:
     return told(t.select("page_id", "row_no", *[col("value", k).alias(f) for k, f in numbered], cells.alias("cells")))
 
 
-def finished_problems(wide: DataFrame) -> DataFrame:
-    """(page_id, row_no, ord, field, problem) visible in finished rows: missing where a filled row has an empty value, disagreement on both columns of a pair, which wins."""
+def problems(late: bool) -> Column:
+    """The cells of a row that have a problem: (ord, field, problem). ``late``: with what only the reading knows."""
     filled = F.exists("cells", lambda c: c["value"] != "")
     in_pair = lambda c: F.array_contains(F.array(*[F.when(F.col(f"{a}_reads_like") != "", x) for a, b in defs.PAIRS for x in (a, b)]), c["field"])
-    named = F.transform("cells", lambda c: F.struct(c["ord"].alias("ord"), c["field"].alias("field"), F.when(F.coalesce(in_pair(c), F.lit(False)), "disagreement").when(filled & (c["value"] == ""), "missing").otherwise("").alias("problem")))
-    return wide.select("page_id", "row_no", F.explode(F.filter(named, lambda c: c["problem"] != "")).alias("c")).select("page_id", "row_no", "c.*")
+    seen = lambda c: F.when(F.coalesce(in_pair(c), F.lit(False)), "disagreement").when(filled & (c["value"] == ""), "missing").otherwise("")
+    what = lambda c: F.when(c["problem"] != "", c["problem"]).otherwise(seen(c)) if late else seen(c)
+    named = F.transform("cells", lambda c: F.struct(c["ord"].alias("ord"), c["field"].alias("field"), what(c).alias("problem")))
+    return F.filter(named, lambda c: c["problem"] != "")
+
+
+def finished_problems(wide: DataFrame) -> DataFrame:
+    """(page_id, row_no, ord, field, problem) visible in finished rows: missing where a filled row has an empty value, disagreement on both columns of a pair, which wins."""
+    return wide.select("page_id", "row_no", F.explode(problems(False)).alias("c")).select("page_id", "row_no", "c.*")
 
 
 def all_problems(wide: DataFrame) -> DataFrame:
-    """The same with what only the reading knows, rejected and unsure, winning where they meet."""
-    late = wide.select("page_id", "row_no", F.explode(F.filter("cells", lambda c: c["problem"] != "")).alias("c")).select("page_id", "row_no", "c.ord", "c.field", F.col("c.problem").alias("late"))
-    return finished_problems(wide).join(late, ["page_id", "row_no", "ord", "field"], "full").select("page_id", "row_no", "ord", "field", F.coalesce("late", "problem").alias("problem"))
+    """The same with what only the reading knows, rejected and unsure, winning where they meet. Nothing is joined or shuffled."""
+    return wide.select("page_id", "row_no", F.explode(problems(True)).alias("c")).select("page_id", "row_no", "c.*")
 
 
 def score(values: Column, rejected: Column, disagreements: Column, gaps: Column, unsure: Column) -> Column:
@@ -110,11 +104,12 @@ def quoted(x: Column) -> Column:
 
 
 def findings(wide: DataFrame, notes: DataFrame | None = None, late: DataFrame | None = None) -> DataFrame:
-    """(page_id, n_findings, findings): a page's findings in order, a line each.
+    """(page_id, n_findings, findings array<string>): a page's findings in order; pages without any aren't there.
 
-    Engine notes first; then for each row its cells in column order and its gaps; then the
-    disagreements; then what ``late`` (page_id, stage, row_no, ord, said) adds of the strip and
-    the marks. A page's lines are bounded by its 88 cells and its own notes.
+    ``notes`` (stage 0, what the engine's answer had odd about it) come first; then for each
+    row its cells in column order and its gaps; then the disagreements; then ``late``: the
+    strip (3), the place marks (4) and the species marks (5). Both have page_id, stage,
+    row_no, ord, said. A page's lines are bounded by its 88 cells and its own notes.
     """
     row = F.concat(F.lit("row "), F.col("row_no").cast("string"), F.lit(": "))
     tail = lambda c: F.when(c["reason"] == "characters", "outside the field character set").otherwise("not one of the printed answers")
@@ -126,7 +121,31 @@ def findings(wide: DataFrame, notes: DataFrame | None = None, late: DataFrame |
     lines = wide.select("page_id", F.explode(F.concat(cells, gaps, F.filter(pairs, lambda x: x.isNotNull()))).alias("x")).select("page_id", "x.*")
     for more in (notes, late):
         lines = lines if more is None else lines.unionByName(more.select("page_id", "stage", "row_no", "ord", "said"))
-    return lines.groupBy("page_id").agg(F.count("*").alias("n_findings"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage", "row_no", "ord", "said"))), lambda x: x["said"]), "\n").alias("findings"))
+    return lines.groupBy("page_id").agg(F.count("*").alias("n_findings"), F.transform(F.array_sort(F.collect_list(F.struct("stage", "row_no", "ord", "said"))), lambda x: x["said"]).alias("findings"))
+
+
+def engine_notes(numbered: DataFrame, missing: DataFrame) -> DataFrame:
+    """What an answer's rows had odd about them, as findings of stage 0: in the answer's order what ``numbered`` notes and second claims to a number, then the rows that never came."""
+    order = Window.partitionBy("page_id", "row_no").orderBy("position")
+    second = F.col("row_no").isNotNull() & (F.row_number().over(order) > 1)
+    told = numbered.withColumn("second", second)
+    line = lambda k, said: F.struct(F.lit(k).alias("ord"), said.alias("said"))
+    both = F.array(F.when(F.col("note") != "", line(0, F.col("note"))), F.when(F.col("second"), line(1, F.concat(F.lit("dropped a second row numbered "), F.col("row_no").cast("string")))))
+    of_rows = told.select("page_id", F.lit(0).alias("stage"), F.col("position").cast("int").alias("row_no"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("c")).select("page_id", "stage", "row_no", "c.ord", "c.said")
+    lacking = missing.select("page_id", F.lit(0).alias("stage"), F.lit(1 << 30).alias("row_no"), F.lit(0).alias("ord"), F.concat(F.lit("the page came back without row(s) "), "missing").alias("said"))
+    return of_rows.unionByName(lacking)
+
+
+def late_findings(strip: DataFrame, marks: DataFrame) -> DataFrame:
+    """What was rejected of the strip (``header_values``) and of the marks (``checked_marks``), as findings of stages 3 to 5."""
+    why = F.when(F.col("reason") == "number", "not a number").when(F.col("reason") == "characters", "outside the field character set").otherwise("not one of the printed answers")
+    place = F.array_position(F.array(*map(F.lit, defs.HEADER_FIELDS)), F.col("field")).cast("int")
+    of_strip = strip.where("reason <> ''").select("page_id", F.lit(3).alias("stage"), F.lit(0).alias("row_no"), place.alias("ord"), F.concat(F.lit("header: "), F.col("field"), F.lit(": rejected "), quoted(F.col("raw")), F.lit(", "), why).alias("said"))
+    stage = F.when(F.col("kind") == "outside_minato", 4).otherwise(5)
+    what = F.when(F.col("reason") == "list", "not one of the marks").when(stage == 4, "the row names no place").otherwise("the row names no insect")
+    row = F.concat(F.lit("row "), F.col("row_no").cast("string"), F.lit(": "))
+    of_marks = marks.where("reason <> ''").select("page_id", stage.alias("stage"), "row_no", F.lit(0).alias("ord"), F.concat(row, F.col("kind"), F.lit(": dropped "), quoted(F.coalesce("mark", F.lit(""))), F.lit(", "), what).alias("said"))
+    return of_strip.unionByName(of_marks)
 
 
 def header_values(strip: DataFrame) -> DataFrame:
@@ -145,10 +164,29 @@ def checked_marks(marks: DataFrame, wide: DataFrame) -> DataFrame:
     return both.withColumns({"reason": why, "kept": F.when(why == "", said).otherwise("")}).drop("location_town", "location_name", "bug_name")
 
 
-def documents(wide: DataFrame, told: DataFrame, found: DataFrame) -> DataFrame:
-    """(page_id, document): each page as one JSON document of its eight rows, report and findings."""
+def documents(wide: DataFrame, told: DataFrame, found: DataFrame, spent: DataFrame, keys: DataFrame, strip: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """(page_id, document): each page as one JSON document.
+
+    It has the page's key (``keys``: settings and cache_name), its eight rows, its report
+    with the problem cells by row and field name, its findings (an empty list where there are
+    none), and what it cost (``spent``: calls, seconds and the three token counts, zeros where
+    nothing is known). A page without a score has a null there. ``strip`` (page_id, field,
+    value) and ``marks`` (page_id, row_no, kind, kept) make it a v2 document: three values
+    more, and two lists of eight marks. Everything is joined on page_id.
+    """
     body = F.struct("no", *[F.col(f"`{f}`") for f in defs.FIELDS])
-    pages = wide.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("row_no", body.alias("row")))).alias("rows"))
-    joined = pages.join(told, "page_id").join(found, "page_id", "left")
-    report = F.struct("offered", "rejected", "disagreements", "gaps", "unsure", "score", "percent")
-    return joined.select("page_id", F.to_json(F.struct(F.col("rows.row").alias("rows"), report.alias("report"), F.split(F.coalesce("findings", F.lit("")), "\n").alias("findings"))).alias("document"))
+    bad = F.transform(problems(True), lambda c: F.struct(F.col("row_no").alias("row"), c["field"].alias("field"), c["problem"].alias("problem")))
+    pages = wide.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("row_no", body.alias("row")))).alias("rows"), F.array_sort(F.flatten(F.collect_list(bad))).alias("cells"))
+    joined = pages.join(told, "page_id").join(keys, "page_id", "left").join(found.select("page_id", "findings"), "page_id", "left").join(spent, "page_id", "left")
+    report = F.struct(F.col("offered").alias("values"), "rejected", "disagreements", "gaps", "unsure", "score", "percent", "cells")
+    usage = F.struct(*[F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) for c, t in (("calls", "long"), ("seconds", "double"), ("prompt_tokens", "long"), ("output_tokens", "long"), ("thought_tokens", "long"))])
+    parts = ["settings", "cache_name", F.col("rows.row").alias("rows"), report.alias("report"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"), usage.alias("usage")]
+    if strip is not None:
+        values = strip.groupBy("page_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in defs.HEADER_FIELDS])
+        joined = joined.join(values, "page_id", "left")
+        parts += [F.coalesce(f, F.lit("")).alias(f) for f in defs.HEADER_FIELDS]
+    if marks is not None:
+        pick = lambda kind, r: F.coalesce(F.max(F.when((F.col("kind") == kind) & (F.col("row_no") == r), F.col("kept"))), F.lit(""))
+        joined = joined.join(marks.groupBy("page_id").agg(*[F.array(*[pick(kind, r) for r in range(1, defs.ROWS + 1)]).alias(kind) for kind in defs.MARKS]), "page_id", "left")
+        parts += [F.coalesce(kind, F.array_repeat(F.lit(""), defs.ROWS)).alias(kind) for kind in defs.MARKS]
+    return joined.select("page_id", F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("document"))

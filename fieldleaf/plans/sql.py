@@ -82,6 +82,15 @@ LAYERS = [
     "entries_b AS (SELECT page_id, row_no, ord, field, CASE WHEN ord = 1 AND page_id % 10 = 0 THEN 'カナブン' ELSE text END AS text FROM kept_long WHERE NOT (ord = 6 AND (page_id + row_no) % 17 = 0) AND NOT (page_id % 23 = 0 AND row_no = 1) UNION ALL SELECT page_id, row_no, 12, 'extra', '追加' FROM placed2 WHERE page_id % 19 = 0)",
 ]
 LAYERS.insert(-1, "placed2 AS (SELECT page_id, CAST(n AS INT) AS row_no, position FROM placed WHERE kept)")
+ANSWERED = "(0, 1, 12, 13, 14, 15, 16)"  # page_id % 17 of the pages that came whole
+LAYERS += [
+    f"statuses AS (SELECT DISTINCT page_id, CASE WHEN page_id % 17 IN {ANSWERED} THEN 'ok' WHEN page_id % 17 IN (2, 10) THEN 'not_json' WHEN page_id % 17 IN (3, 8) THEN 'no_text' WHEN page_id % 17 IN (4, 9) THEN 'no_rows' WHEN page_id % 17 = 7 THEN 'malformed_choice' ELSE 'no_completion' END AS status, CASE page_id % 17 WHEN 3 THEN 'length' WHEN 8 THEN 'no reason given' ELSE '' END AS finish_reason FROM survey_entries)",
+    "keyed AS (SELECT page_id, 'engine=' || engine || ';model=' || model || ';checks=c1' || CASE WHEN engine = 'gamma' THEN '' ELSE ';grid=g1;prompt=p1' END || CASE WHEN page_id % 2 = 0 THEN '' ELSE ';sheet=v2;header=h1' END AS settings, engine || '_' || model || CASE WHEN page_id % 2 = 0 THEN '' ELSE '_v2' END AS cache_name FROM (SELECT page_id, ['alpha', 'beta', 'gamma'][1 + page_id % 3] AS engine, CASE WHEN page_id % 5 < 2 THEN 'm1' ELSE 'm2' END AS model FROM counts))",
+    "problems AS (SELECT * FROM (SELECT c.page_id, c.row_no, c.ord, c.field, CASE WHEN c.problem <> '' THEN c.problem ELSE f.problem END AS problem FROM checked c LEFT JOIN finished_problems f ON f.page_id = c.page_id AND f.row_no = c.row_no AND f.field = c.field) WHERE problem IS NOT NULL)",
+    "missing AS (SELECT page_id, string_agg(CAST(row_no AS VARCHAR), ', ' ORDER BY row_no) AS missing FROM (SELECT p.page_id, r.row_no FROM (SELECT DISTINCT page_id FROM survey_entries) p CROSS JOIN range(1, 9) r(row_no) WHERE NOT EXISTS (SELECT 1 FROM placed k WHERE k.page_id = p.page_id AND k.n = r.row_no)) GROUP BY page_id)",
+    "notes AS (SELECT page_id, 0 AS stage, CAST(position AS INT) AS row_no, 0 AS ord, CASE WHEN n IS NULL THEN 'dropped a row: ''' || no_raw || ''' is not a row number' WHEN n NOT BETWEEN 1 AND 8 THEN 'dropped row ' || n || ': the sheet has 8 rows' ELSE 'row ' || n || ' came back in position ' || position END AS said FROM numbered WHERE n IS NULL OR n NOT BETWEEN 1 AND 8 OR n <> position UNION ALL SELECT page_id, 0, CAST(position AS INT), 1, 'dropped a second row numbered ' || n FROM placed WHERE NOT kept UNION ALL SELECT page_id, 0, 1073741824, 0, 'the page came back without row(s) ' || missing FROM missing)",
+    f"late AS (SELECT page_id, 3 AS stage, 0 AS row_no, CASE field WHEN 'school' THEN 1 WHEN 'grade' THEN 2 ELSE 3 END AS ord, 'header: ' || field || ': rejected ''' || {trim('raw')} || ''', ' || CASE reason WHEN 'number' THEN 'not a number' WHEN 'characters' THEN 'outside the field character set' ELSE 'not one of the printed answers' END AS said FROM header_checked WHERE reason <> '' UNION ALL SELECT page_id, CASE kind WHEN 'outside_minato' THEN 4 ELSE 5 END, row_no, 0, 'row ' || row_no || ': ' || kind || ': dropped ''' || mark || ''', ' || CASE WHEN reason = 'list' THEN 'not one of the marks' WHEN kind = 'outside_minato' THEN 'the row names no place' ELSE 'the row names no insect' END FROM marks_checked WHERE reason <> '')",
+]
 
 
 def query(select: str) -> str:
@@ -95,8 +104,20 @@ def placed_boxes(cells: str) -> str:
 FINDINGS = """SELECT page_id, count(*) AS n_findings, string_agg(said, chr(10) ORDER BY stage, row_no, ord, said) AS findings FROM (
 SELECT page_id, 1 AS stage, row_no, ord, 'row ' || row_no || ': ' || field || CASE WHEN problem = 'unsure' THEN ': the engine could not read ''' || value || ''' cleanly' ELSE ': rejected ''' || candidate || ''', ' || CASE reason WHEN 'characters' THEN 'outside the field character set' ELSE 'not one of the printed answers' END END AS said FROM checked WHERE problem <> ''
 UNION ALL SELECT page_id, 1, row_no, 99, 'row ' || row_no || ': nothing came back for ' || string_agg(field, ', ' ORDER BY ord) || ', but the row is filled in' FROM gaps GROUP BY page_id, row_no
+UNION ALL SELECT * FROM notes UNION ALL SELECT * FROM late
 UNION ALL SELECT page_id, 2, row_no, k, 'row ' || row_no || ': ' || pair || ' ' || letter || ' does not agree with ' || other || ' ''' || wording || ''', which reads like ' || named FROM disagreements) GROUP BY page_id"""
 
+ROW_SAID = " || '|' || ".join(["CAST(row_no AS VARCHAR)", *[f'"{f}"' for f in defs.FIELDS]])
+MARKS_SAID = "SELECT page_id, " + ", ".join(f"string_agg(CASE WHEN kind = '{k}' THEN COALESCE(kept, '') END, '|' ORDER BY row_no) AS {k}" for k in defs.MARKS) + " FROM (SELECT p.page_id, r.row_no, k.kind, max(CASE WHEN m.reason = '' THEN m.said END) AS kept FROM (SELECT page_id FROM counts) p CROSS JOIN range(1, 9) r(row_no) CROSS JOIN (VALUES ('outside_minato'), ('target_species')) k(kind) LEFT JOIN marks_checked m ON m.page_id = p.page_id AND m.row_no = r.row_no AND m.kind = k.kind GROUP BY ALL) GROUP BY page_id"
+DOCUMENTS = f"""SELECT c.page_id, k.settings, k.cache_name, w.rows, concat_ws('|', c.offered, c.rejected, c.disagreements, c.gaps, c.unsure, r.percent) AS report, r.score, COALESCE(b.cells, '') AS cells, COALESCE(f.findings, '') AS findings, COALESCE(f.n_findings, 0) AS n_findings, COALESCE(u.calls, 0) AS calls, COALESCE(u.seconds, 0e0) AS seconds, concat_ws('|', COALESCE(u.prompt_tokens, 0), COALESCE(u.output_tokens, 0), COALESCE(u.thought_tokens, 0)) AS tokens, COALESCE(h.strip, '||') AS strip, m.outside_minato, m.target_species
+FROM counts c JOIN reports r ON r.page_id = c.page_id JOIN keyed k ON k.page_id = c.page_id
+JOIN (SELECT page_id, md5(string_agg({ROW_SAID}, chr(10) ORDER BY row_no)) AS rows FROM finished GROUP BY page_id) w ON w.page_id = c.page_id
+LEFT JOIN (SELECT page_id, string_agg(row_no || '|' || field || '|' || problem, chr(10) ORDER BY row_no, field) AS cells FROM problems GROUP BY page_id) b ON b.page_id = c.page_id
+LEFT JOIN ({FINDINGS}) f ON f.page_id = c.page_id
+LEFT JOIN (SELECT page_id, count(*) AS calls, round(sum(seconds), 3) AS seconds, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(thought_tokens)::BIGINT AS thought_tokens FROM tokens GROUP BY page_id) u ON u.page_id = c.page_id
+LEFT JOIN (SELECT page_id, max(value) FILTER (WHERE field = 'school') || '|' || max(value) FILTER (WHERE field = 'grade') || '|' || max(value) FILTER (WHERE field = 'school_class') AS strip FROM header_checked GROUP BY page_id) h ON h.page_id = c.page_id
+JOIN ({MARKS_SAID}) m ON m.page_id = c.page_id"""
+
 SPECIES = ", ".join(f"({k}, '{s}')" for k, s in enumerate(defs.SPECIES))
 #: levenshtein counts bytes here, so each kana becomes one byte first.
 ONE_BYTE = "".join(map(chr, range(0x30A1, 0x30F7))) + "ー", "".join(c for c in map(chr, range(33, 127)) if c != "'")[:87]
@@ -107,29 +128,29 @@ JUDGED = "SELECT page_id, row_no, COALESCE(last_value(CASE WHEN bug_name <> '〃
 SELECTS = {
     "a1_intake": "SELECT doc_id, CAST(CASE WHEN strlen(text) > 4096 THEN 413 WHEN starts_with(text, 'The ') THEN 200 ELSE 415 END AS BIGINT) AS status FROM documents",
     "a2_requests": "SELECT request_id, q.engine, CASE WHEN status = 'ok' THEN COALESCE(q.model, standard) END AS model, status FROM (SELECT r.*, CASE r.engine WHEN 'alpha' THEN 'm1' WHEN 'beta' THEN 'm2' END AS standard, CASE WHEN r.engine NOT IN ('alpha', 'beta', 'gamma') THEN 'unknown engine' WHEN r.model IS NULL THEN 'ok' WHEN r.engine = 'gamma' THEN 'engine takes no model' WHEN (r.engine, r.model) NOT IN (('alpha', 'm1'), ('alpha', 'm2'), ('beta', 'm2')) THEN 'model not allowed' ELSE 'ok' END AS status FROM (SELECT event_id AS request_id, ['alpha', 'alpha', 'beta', 'gamma', 'delta'][1 + event_id % 5] AS engine, [NULL, 'm1', 'm2', 'zz'][1 + event_id % 4] AS model FROM events) r) q",
-    "a3_sink": "SELECT page_id, ['alpha_m1', 'alpha_m1_v2', 'gamma'][1 + page_id % 3] AS cache_name, percent FROM reports",
+    "a3_sink": "SELECT r.page_id, k.cache_name, k.settings, r.percent FROM reports r JOIN keyed k ON k.page_id = r.page_id",
     "b1_unfence": f"SELECT doc_id, sha256({trim('text')}) AS said FROM documents",
-    "b2_envelope": "SELECT DISTINCT page_id, CASE page_id % 11 WHEN 2 THEN 'not_json' WHEN 3 THEN 'no_text' WHEN 4 THEN 'no_rows' ELSE 'ok' END AS status FROM survey_entries",
-    "b3_rows": "SELECT page_id, CAST(position AS BIGINT) AS position, no_raw, bug_name, where_ AS place, notice FROM survey_entries WHERE page_id % 11 NOT IN (2, 3, 4)",
+    "b2_envelope": "SELECT page_id, status, finish_reason FROM statuses",
+    "b3_rows": f"SELECT e.page_id, CAST(e.position AS BIGINT) AS position, e.no_raw, e.bug_name, e.where_ AS place, e.notice, CASE WHEN e.page_id % 17 = 1 THEN h.school ELSE '' END AS school, CASE WHEN e.page_id % 17 = 1 THEN h.grade ELSE '' END AS grade, CASE WHEN e.page_id % 17 = 1 THEN h.school_class ELSE '' END AS school_class FROM survey_entries e LEFT JOIN survey_header h ON h.page_id = e.page_id WHERE e.page_id % 17 IN {ANSWERED}",
     "b4_row_number": "SELECT page_id, CAST(position AS BIGINT) AS position, no_raw, CAST(CASE WHEN n BETWEEN 1 AND 8 THEN n END AS BIGINT) AS row_no, CASE WHEN n IS NULL THEN 'dropped a row: ''' || no_raw || ''' is not a row number' WHEN n NOT BETWEEN 1 AND 8 THEN 'dropped row ' || n || ': the sheet has 8 rows' WHEN n <> position THEN 'row ' || n || ' came back in position ' || position ELSE '' END AS note FROM numbered",
     "b5_first_wins": "SELECT page_id, CAST(position AS BIGINT) AS position, CAST(n AS BIGINT) AS row_no, kept FROM placed",
-    "b6_missing": "SELECT page_id, string_agg(CAST(row_no AS VARCHAR), ', ' ORDER BY row_no) AS missing FROM (SELECT p.page_id, r.row_no FROM (SELECT DISTINCT page_id FROM survey_entries) p CROSS JOIN range(1, 9) r(row_no) WHERE NOT EXISTS (SELECT 1 FROM placed k WHERE k.page_id = p.page_id AND k.n = r.row_no)) GROUP BY page_id",
+    "b6_missing": "SELECT page_id, missing FROM missing",
     "b7_columns": "SELECT CAST(ord AS BIGINT) AS ord, field, text, count(*) AS n FROM kept_long GROUP BY ord, field, text",
-    "b8_unsure": "SELECT page_id, row_no, CAST(CASE m WHEN 2 THEN 0 ELSE 1 END AS BIGINT) AS n_flags, CAST(CASE m WHEN 1 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n_notes FROM (SELECT page_id, CAST(row_no AS BIGINT) AS row_no, (page_id + position) % 4 AS m FROM placed2)",
+    "b8_unsure": f"SELECT page_id, CAST(row_no AS BIGINT) AS row_no, u.note, u.name FROM placed2 p JOIN (VALUES (0, '', 'notice'), (1, '', 'symbol'), (1, 'names no column', 'colour'), (3, '', 'where'), (3, 'names no column', 'null'), (4, 'not a list', '\"notice\"')) u(m, note, name) ON u.m = (page_id + position) % 6 WHERE page_id % 17 IN {ANSWERED}",
     "b9_detections": f"SELECT page_id, count(*) FILTER (WHERE ok) AS n_boxes, count(*) FILTER (WHERE NOT ok) AS n_notes, count(*) FILTER (WHERE ok AND unsure AND page_id % 5 <> 0) AS n_unsure, min(l) FILTER (WHERE ok) AS least_l, max(b) FILTER (WHERE ok) AS most_b FROM (SELECT *, page_id % 17 <> 0 AND seq % 23 <> 0 AS ok FROM survey_boxes WHERE {trim('text')} <> '') GROUP BY page_id",
     "b10_anchored": f"SELECT page_id, count(*) AS n, string_agg({trim('text')}, '|' ORDER BY seq) AS said FROM survey_boxes WHERE {trim('text')} <> '' GROUP BY page_id",
     "b11_header_boxes": f"SELECT h.page_id, h.field, {trim('h.raw')} AS text, b.l, b.r FROM header_long h JOIN header_bands b ON b.field = h.field WHERE {trim('h.raw')} <> ''",
-    "b12_marks": "SELECT page_id, CAST(position AS BIGINT) AS position, kind, CAST(n AS BIGINT) AS row_no, note FROM marks_placed",
+    "b12_marks": "SELECT page_id, kind, CAST(ROW_NUMBER() OVER (PARTITION BY page_id, kind ORDER BY position) AS BIGINT) AS position, CAST(n AS BIGINT) AS row_no, mark, note FROM marks_placed WHERE page_id % 17 = 1 UNION ALL SELECT p.page_id, m.kind, m.position, m.row_no, m.mark, m.note FROM (SELECT DISTINCT page_id FROM survey_entries WHERE page_id % 17 = 13) p CROSS JOIN (VALUES ('outside_minato', 0, NULL, NULL, 'not a list'), ('target_species', 1, NULL, NULL, 'not an object'), ('target_species', 2, NULL, '◎', 'number'), ('target_species', 3, NULL, '○', 'range'), ('target_species', 4, 3, '○', ''), ('target_species', 5, 3, '△', 'second')) m(kind, position, row_no, mark, note)",
     "b13_tokens": "SELECT page_id, CAST(attempt AS BIGINT) AS attempt, CAST(prompt_tokens AS BIGINT) AS prompt_tokens, CAST(thought_tokens AS BIGINT) AS thought_tokens, CAST(output_tokens AS BIGINT) AS output_tokens FROM tokens",
-    "c1_cell_at": f"SELECT CAST(row_no AS BIGINT) AS row_no, CAST(ord AS BIGINT) AS ord, count(*) AS n, count(*) FILTER (WHERE unsure) AS n_unsure FROM ({placed_boxes('survey_cells')}) GROUP BY row_no, ord",
-    "c2_cell_at_v2": f"SELECT CAST(row_no AS BIGINT) AS row_no, CAST(ord AS BIGINT) AS ord, count(*) AS n, count(*) FILTER (WHERE unsure) AS n_unsure FROM ({placed_boxes('v2_cells')}) GROUP BY row_no, ord",
+    "c1_cell_at": f"SELECT page_id, count(*) AS n, count(*) FILTER (WHERE row_no = 0) AS n_outside, CAST(sum((row_no * 100 + ord) * seq) AS BIGINT) AS placed, CAST(sum(CASE WHEN unsure THEN row_no * 100 + ord ELSE 0 END) AS BIGINT) AS unsure FROM ({placed_boxes('survey_cells')}) GROUP BY page_id",
+    "c2_cell_at_v2": f"SELECT page_id, count(*) AS n, count(*) FILTER (WHERE row_no = 0) AS n_outside, CAST(sum((row_no * 100 + ord) * seq) AS BIGINT) AS placed, CAST(sum(CASE WHEN unsure THEN row_no * 100 + ord ELSE 0 END) AS BIGINT) AS unsure FROM ({placed_boxes('v2_cells')}) GROUP BY page_id",
     "c3_header_at": "SELECT COALESCE(b.field, '') AS field, count(*) AS n FROM (SELECT (o_orderkey % 1000) / 1000e0 * 0.3e0 AS x, 0.88e0 + (o_custkey % 130) / 1000e0 AS y FROM orders) p LEFT JOIN header_bands b ON p.x >= b.l AND p.x < b.r AND p.y >= b.t AND p.y < b.b GROUP BY b.field",
     "c4_dense": "SELECT CAST(c.row_no AS BIGINT) AS row_no, CAST(c.ord AS BIGINT) AS ord, c.field, count(*) AS n, sum(page_id)::BIGINT AS pages FROM (SELECT DISTINCT page_id FROM survey_entries) CROSS JOIN survey_cells c GROUP BY ALL",
     "c5_address": "SELECT CAST(a.row_no AS BIGINT) AS row_no, a.field, a.n, c.l, c.t, c.r, c.b FROM (SELECT l_linenumber + CAST(l_quantity AS BIGINT) % 3 AS row_no, ['" + "', '".join([*defs.FIELDS, "colour"]) + "'][1 + l_partkey % 12] AS field, count(*) AS n FROM lineitem GROUP BY ALL) a LEFT JOIN survey_cells c ON c.row_no = a.row_no AND c.field = a.field",
-    "c6_cell_text": f"SELECT CAST(ord AS BIGINT) AS ord, raw, count(*) AS n FROM (SELECT p.page_id, c.row_no, c.ord, COALESCE(k.raw, '') AS raw FROM (SELECT DISTINCT page_id FROM survey_boxes) p CROSS JOIN survey_cells c LEFT JOIN (SELECT page_id, row_no, ord, replace(string_agg(text, '' ORDER BY seq), chr(10), '') AS raw FROM ({placed_boxes('survey_cells')}) WHERE row_no > 0 GROUP BY ALL) k ON k.page_id = p.page_id AND k.row_no = c.row_no AND k.ord = c.ord) GROUP BY ord, raw",
-    "c7_unsure_cells": f"SELECT page_id, count(DISTINCT row_no * 100 + ord) AS n FROM ({placed_boxes('survey_cells')}) WHERE row_no > 0 AND unsure GROUP BY page_id",
+    "c6_cell_text": f"SELECT page_id, md5(string_agg(raw, '|' ORDER BY row_no, ord)) AS said FROM (SELECT p.page_id, c.row_no, c.ord, COALESCE(k.raw, '') AS raw FROM (SELECT DISTINCT page_id FROM survey_boxes) p CROSS JOIN survey_cells c LEFT JOIN (SELECT page_id, row_no, ord, replace(string_agg(text, '' ORDER BY seq), chr(10), '') AS raw FROM ({placed_boxes('survey_cells')}) WHERE row_no > 0 GROUP BY ALL) k ON k.page_id = p.page_id AND k.row_no = c.row_no AND k.ord = c.ord) GROUP BY page_id",
+    "c7_unsure_cells": f"SELECT page_id, string_agg(CAST(cell AS VARCHAR), ' ' ORDER BY cell) AS cells FROM (SELECT DISTINCT page_id, row_no * 100 + ord AS cell FROM ({placed_boxes('survey_cells')}) WHERE row_no > 0 AND unsure) GROUP BY page_id",
     "c8_header_text": f"SELECT page_id, field, {trim('raw')} AS raw FROM header_long",
-    "c9_outside": f"SELECT page_id, count(*) AS n FROM ({placed_boxes('survey_cells')}) WHERE row_no = 0 GROUP BY page_id",
+    "c9_outside": f"SELECT page_id, string_agg(CAST(seq AS VARCHAR), ' ' ORDER BY seq) AS boxes FROM ({placed_boxes('survey_cells')}) WHERE row_no = 0 GROUP BY page_id",
     "d1_unwrap": "SELECT raw, replace(raw, chr(10), '') AS value, count(*) AS n FROM survey_long GROUP BY raw",
     "d2_strip": f"SELECT raw, {trim('raw')} AS value, count(*) AS n FROM survey_long GROUP BY raw",
     "d3_fold": f"SELECT field, raw, {folded('field', 'raw')} AS value, n FROM (SELECT field, raw, count(*) AS n FROM survey_long GROUP BY field, raw)",
@@ -146,20 +167,21 @@ SELECTS = {
     "e4_counts": "SELECT page_id, offered, rejected, CAST(disagreements AS BIGINT) AS disagreements, CAST(gaps AS BIGINT) AS gaps, unsure FROM counts",
     "e5_score": "SELECT page_id, score FROM scored",
     "e6_percent": "SELECT page_id, percent FROM reports",
-    "e7_all_problems": "SELECT page_id, CAST(row_no AS BIGINT) AS row_no, field, COALESCE(CASE WHEN problem <> '' THEN problem END, before) AS problem FROM (SELECT c.page_id, c.row_no, c.field, c.problem, f.problem AS before FROM checked c LEFT JOIN finished_problems f ON f.page_id = c.page_id AND f.row_no = c.row_no AND f.field = c.field) WHERE problem <> '' OR before IS NOT NULL",
+    "e7_all_problems": "SELECT page_id, CAST(row_no AS BIGINT) AS row_no, field, problem FROM problems",
     "e8_findings": FINDINGS,
     "e9_wide": 'SELECT page_id, CAST(row_no AS VARCHAR) AS "no", bug_name, symbol, "where" AS place, what_doing, found_month, found_day, location_town, location_chome, location_name, map_symbol, notice FROM finished',
+    "e10_document": DOCUMENTS,
     "f1_totals": "SELECT model, count(*) AS calls, round(sum(seconds), 3) AS seconds, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(thought_tokens)::BIGINT AS thought_tokens FROM tokens GROUP BY model",
     "f2_spend": "SELECT page_id, CAST(attempt AS BIGINT) AS attempt, CAST(sum(output_tokens) OVER (PARTITION BY page_id ORDER BY attempt) AS BIGINT) AS total, CAST(output_tokens AS BIGINT) AS spent FROM tokens",
     "f3_rollup": "SELECT page_id, CASE WHEN w IS NOT NULL AND (x IS NULL OR w < x) THEN 'ok' WHEN x IS NOT NULL THEN 'out_of_time' ELSE 'failed' END AS status, count(*) FILTER (WHERE attempt <= last) AS attempts, COALESCE(round(sum(seconds) FILTER (WHERE attempt <= last), 6), 0e0) AS call_seconds FROM (SELECT *, least(COALESCE(w, 4), COALESCE(x - 1, 4)) AS last FROM (SELECT *, min(attempt) FILTER (WHERE ok) OVER (PARTITION BY page_id) AS w, min(attempt) FILTER (WHERE clock >= 240) OVER (PARTITION BY page_id) AS x FROM clocks WHERE attempt <= 4)) GROUP BY page_id, w, x",
     "f4_timing": "SELECT page_id, CAST(attempt AS BIGINT) AS attempt, attempt > 4 AS one_too_many, clock >= 240 AS after_budget FROM clocks WHERE attempt > 4 OR clock >= 240",
     "f5_in_flight": "SELECT date_trunc('day', make_timestamp(us)) AS bucket, CAST(max(load) AS BIGINT) AS most, CAST(sum(CASE WHEN step > 0 THEN greatest(0, least(change, load - 1)) ELSE 0 END) AS BIGINT) AS over_cap FROM (SELECT *, sum(change) OVER (ORDER BY us, step ROWS UNBOUNDED PRECEDING) AS load FROM (SELECT us, step, step * count(*) AS change FROM (SELECT epoch_us(started_at) AS us, 1 AS step FROM attempt_log UNION ALL SELECT epoch_us(started_at) + CAST(round(seconds * 1e6) AS BIGINT), -1 FROM attempt_log) GROUP BY us, step)) GROUP BY ALL",
-    "g1_fingerprint": "SELECT field, left(sha256(string_agg(DISTINCT raw, chr(10) ORDER BY raw)), 8) AS digest FROM survey_long GROUP BY field",
+    "g1_fingerprint": "SELECT field, left(sha256(string_agg(DISTINCT raw, chr(10) ORDER BY raw)), 8) AS digest, 'any order' AS kind FROM survey_long GROUP BY field UNION ALL SELECT field, left(sha256(string_agg(position || '=' || raw, chr(10) ORDER BY position, raw)), 8), 'in order' FROM (SELECT DISTINCT field, position, raw FROM survey_long) GROUP BY field",
     "g2_settings": "SELECT engine, model, sheet, n, 'engine=' || engine || ';model=' || model || ';checks=c1' || CASE WHEN engine = 'gamma' THEN '' ELSE ';grid=g1;prompt=p1' END || CASE WHEN sheet = 'v1' THEN '' ELSE ';sheet=v2;header=h1' END AS settings, engine || '_' || model || CASE WHEN sheet = 'v1' THEN '' ELSE '_v2' END AS cache_name FROM (SELECT model AS engine, 'm' || CAST(1 + page_id % 2 AS VARCHAR) AS model, s.sheet, count(*) AS n FROM attempt_log CROSS JOIN (VALUES ('v1'), ('v2')) AS s(sheet) GROUP BY ALL)",
     "g3_cached": "SELECT w.page_id, w.cache_name, EXISTS (SELECT 1 FROM (SELECT o_orderkey AS page_id, ['alpha_m1', 'beta_m2'][1 + o_custkey % 2] AS cache_name FROM orders WHERE o_orderkey % 3 = 0) r WHERE r.page_id = w.page_id AND r.cache_name = w.cache_name) AS cached FROM (SELECT DISTINCT page_id, ['alpha_m1', 'beta_m2'][1 + page_id % 2] AS cache_name FROM survey_entries) w",
     "g4_current": "SELECT page_id, model, CAST(attempt AS BIGINT) AS attempt, seconds FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY page_id, model ORDER BY started_at DESC, attempt DESC) AS n FROM attempt_log) WHERE n = 1",
     "g5_drift": "SELECT key, before, after, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT COALESCE(a.key, b.key) AS key, a.value AS before, b.value AS after FROM (SELECT doc_id AS key, left(sha256(text), 8) AS value FROM documents WHERE doc_id % 7 <> 1) a FULL JOIN (SELECT doc_id AS key, left(sha256(CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END), 8) AS value FROM documents WHERE doc_id % 11 <> 1) b ON a.key = b.key) WHERE before IS DISTINCT FROM after",
-    "h1_compare": "SELECT CAST(ord AS BIGINT) AS ord, count(*) AS cells, count(*) FILTER (WHERE a = b) AS equal_cells, count(*) FILTER (WHERE a <> b) AS differing FROM (SELECT COALESCE(x.ord, y.ord) AS ord, x.text AS a, y.text AS b FROM kept_long x FULL JOIN entries_b y ON x.page_id = y.page_id AND x.row_no = y.row_no AND x.ord = y.ord) GROUP BY ord",
+    "h1_compare": "SELECT page_id, CAST(ord AS BIGINT) AS ord, count(*) AS cells, count(*) FILTER (WHERE a = b) AS equal_cells, count(*) FILTER (WHERE a <> b) AS differing, count(*) FILTER (WHERE b IS NULL) AS only_left, count(*) FILTER (WHERE a IS NULL) AS only_right, count(*) FILTER (WHERE a = b) / CAST(count(*) AS DOUBLE) AS rate FROM (SELECT COALESCE(x.page_id, y.page_id) AS page_id, COALESCE(x.ord, y.ord) AS ord, x.text AS a, y.text AS b FROM kept_long x FULL JOIN entries_b y ON x.page_id = y.page_id AND x.row_no = y.row_no AND x.ord = y.ord) GROUP BY ALL",
     "h2_models": "SELECT model, runs, least_s, round(mean_s, 6) AS mean_s, most_s, output_tokens, thought_tokens, round(thought_tokens / CAST(output_tokens AS DOUBLE), 6) AS thinking_share, round(mean_s / min(mean_s) OVER (), 6) AS slowdown FROM (SELECT model, count(*) AS runs, min(seconds) AS least_s, avg(seconds) AS mean_s, max(seconds) AS most_s, sum(output_tokens)::BIGINT AS output_tokens, sum(thought_tokens)::BIGINT AS thought_tokens FROM tokens GROUP BY model)",
     "h3_tally": "SELECT bug_name AS name, count(*) AS n FROM finished WHERE bug_name <> '' GROUP BY bug_name ORDER BY n DESC, name LIMIT 28",
     "h4_open_first": "SELECT page_id, score, percent FROM reports ORDER BY score NULLS FIRST, page_id LIMIT 100",
@@ -167,6 +189,7 @@ SELECTS = {
     "i2_places": f"SELECT location_town, location_name, n, EXISTS (SELECT 1 FROM (VALUES {TOWNS}) AS t(town) WHERE contains(location_town, town) OR contains(location_name, town)) AS listed FROM (SELECT location_town, location_name, count(*) AS n FROM finished GROUP BY ALL)",
     "i3_ditto": f"SELECT page_id, CAST(row_no AS BIGINT) AS row_no, judged FROM ({JUDGED})",
     "i4_explained": "SELECT f.page_id, CAST(f.row_no AS BIGINT) AS row_no, f.location_name AS place, e.note AS explained FROM finished f LEFT JOIN (SELECT page_id, regexp_extract(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$', 1) AS name, arg_min(regexp_extract(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$', 2), row_no) AS note FROM finished WHERE regexp_matches(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$') GROUP BY ALL) e ON e.page_id = f.page_id AND e.name = f.location_name WHERE f.location_name <> ''",
+    "j1_stream": "SELECT s.page_id, s.status, s.finish_reason, r.offered, r.rejected, CAST(r.disagreements AS BIGINT) AS disagreements, CAST(r.gaps AS BIGINT) AS gaps, r.unsure, r.percent FROM statuses s LEFT JOIN reports r ON r.page_id = s.page_id AND s.status = 'ok'",
     "j2_once": "SELECT event_id, count(*) AS n FROM events GROUP BY event_id",
     "j3_totals": "SELECT start, calls, succeeded, round(seconds, 3) AS seconds FROM (SELECT time_bucket(INTERVAL 1 hour, started_at) AS start, count(*) AS calls, count(*) FILTER (WHERE ok) AS succeeded, sum(seconds) AS seconds FROM attempt_log GROUP BY ALL) WHERE start + INTERVAL 1 hour <= (SELECT max(started_at) - INTERVAL 1 hour FROM attempt_log)",
 }

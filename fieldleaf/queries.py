@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldleaf.functions import checks
@@ -25,7 +25,12 @@ def longs(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new place in the folder that driver and executors share; a machine's own temporary folder only where all run on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{folder}/query-{uuid.uuid4().hex}"
 
 
@@ -42,7 +47,7 @@ def kept(spark: SparkSession, d: str) -> DataFrame:
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
     rows = quality.page_rows(flatten.numbered(entries(spark, d)))
-    return quality.checked_rows(rows, lambda k: (F.col("page_id") + k + F.col("position")) % 9 == 0)
+    return quality.checked_rows(rows, flag)
 
 
 def raw_values(spark: SparkSession, d: str) -> DataFrame:
@@ -53,13 +58,45 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return flatten.token_counts(view(spark, d, "attempt_log"))
 
 
-def responses(spark: SparkSession, d: str) -> DataFrame:
-    """Whole answers made of the entries: by page fenced, wrapped, cut short, empty, a bare string or plain."""
-    row = F.struct(F.col("position"), F.col("no_raw").alias("no"), *[F.col(f"`{f}`") for f in defs.FIELDS])
-    pages = entries(spark, d).groupBy("page_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))
-    kind, j = F.col("page_id") % 11, F.col("json")
-    body = F.when(kind == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(kind == 1, F.concat(F.lit('{"rows": '), j, F.lit("}"))).when(kind == 2, F.substring(j, 1, 40)).when(kind == 3, "").when(kind == 4, '"no rows here"').otherwise(j)
-    return pages.select("page_id", body.alias("body"))
+def flag(k: int) -> Column:
+    return (F.col("page_id") + k + F.col("position")) % 9 == 0
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, answer): a chat service's whole answers, made of the entries, the strip and the marks; by page they are fenced, whole pages, cut short, empty, no lists, no completions, or plain lists."""
+    plain = F.col("no_raw").rlike("^[0-9.]+$") & (F.col("page_id") % 2 == 0)
+    no = F.when(plain, F.col("no_raw")).otherwise(F.concat(F.lit('"'), "no_raw", F.lit('"')))
+    unsure = F.get(F.array(*map(F.lit, ['["notice"]', '["symbol","colour"]', "[]", '["where","where",null]', '"notice"'])), ((F.col("page_id") + F.col("position")) % 6).cast("int"))
+    fields = F.substring(F.to_json(F.struct(*[F.col(f"`{f}`") for f in defs.FIELDS])), 2, 1 << 30)
+    row = F.concat(F.lit('{"no":'), no, F.coalesce(F.concat(F.lit(',"unsure":'), unsure), F.lit("")), F.lit(',"extra":7.50,'), fields)
+    listed = lambda df, x: df.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("position", x.alias("j"))))["j"], ",").alias("j"))
+    pages = listed(entries(spark, d), row).select("page_id", F.concat(F.lit("["), "j", F.lit("]")).alias("rows"))
+    mark = F.to_json(F.struct(F.col("no_raw").alias("no"), "mark"))
+    told = view(spark, d, "survey_marks")
+    for kind in defs.MARKS:
+        pages = pages.join(listed(told.where(F.col("kind") == kind), mark).withColumnRenamed("j", kind), "page_id", "left")
+    strip = view(spark, d, "survey_header").select("page_id", F.substring(F.to_json(F.struct(*defs.HEADER_FIELDS)), 2, 1 << 30).alias("strip"))
+    pages = pages.join(strip, "page_id", "left")
+    kind, j = F.col("page_id") % 17, F.col("rows")
+    of = lambda k: F.concat(F.lit(f'"{k}":['), F.coalesce(k, F.lit("")), F.lit("],"))
+    whole = F.concat(F.lit('{"rows":'), j, F.lit(","), *[of(k) for k in defs.MARKS], F.coalesce("strip", F.lit('"school":null}')))
+    odd = F.concat(F.lit('{"outside_minato":"none","target_species":["oops",{"mark":"◎"},{"no":"9","mark":"○"},{"no":3,"mark":"○"},{"no":"3.0","mark":"△"}],"rows":'), j, F.lit("}"))
+    content = F.when(kind == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(kind == 1, whole).when(kind == 2, F.substring(j, 1, 40)).when(kind == 3, " ").when(kind == 4, '"no rows here"').when(kind == 9, '{"rows":5}').when(kind == 10, '{"rows":[],"rows":[]}').when(kind == 12, F.concat(F.substring(j, F.lit(1), F.length(j) - 1), F.lit(',"oops"]'))).when(kind == 13, odd).otherwise(j)
+    choice = F.struct(F.when(kind == 3, "length").alias("finish_reason"), F.struct(F.when(kind != 8, content).alias("content")).alias("message"))
+    answer = F.to_json(F.struct(F.array(choice).alias("choices")))
+    other = F.when(kind == 5, '{"error":"unknown endpoint"}').when(kind == 6, '{"choices":[]}').when(kind == 7, '{"choices":["text"]}').when(kind == 11, "[1]")
+    return pages.select("page_id", F.coalesce(other, answer).alias("answer"))
+
+
+def read_answers(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.envelopes(flatten.completions(answers(spark, d)))
+
+
+def page_reports(batch: DataFrame) -> DataFrame:
+    """A batch of answers to page reports: rows placed, checked and counted; pages that failed keep their status."""
+    read = flatten.envelopes(flatten.completions(batch))
+    wide_rows = quality.checked_rows(quality.page_rows(flatten.numbered(flatten.answer_rows(read))), flag)
+    return read.select("page_id", "status", "finish_reason").join(quality.reports(wide_rows), "page_id", "left")
 
 
 # A: intake and sink.
@@ -76,11 +113,18 @@ def a2_requests(spark, d):
     return intake.requests(asked, known, "alpha").select("request_id", "engine", "model", "status")
 
 
+def page_keys(pages: DataFrame) -> DataFrame:
+    """(page_id, settings, cache_name) by the engine, model and sheet that a page was read with."""
+    pick = lambda n, *xs: F.get(F.array(*map(F.lit, xs)), (F.col("page_id") % n).cast("int"))
+    catalog = pages.select("page_id", pick(3, "alpha", "beta", "gamma").alias("engine"), pick(5, "m1", "m1", "m2", "m2", "m2").alias("model"), pick(2, "v1", "v2").alias("sheet"))
+    return identity.settings(catalog.withColumns({k: F.lit(v) for k, v in {"checks": "c1", "grid": "g1", "prompt": "p1", "header": "h1"}.items()})).select("page_id", "settings", "cache_name")
+
+
 def a3_sink(spark, d):
-    name = F.get(F.array(F.lit("alpha_m1"), F.lit("alpha_m1_v2"), F.lit("gamma")), (F.col("page_id") % 3).cast("int"))
     path = shared_path(spark)
-    intake.file_pages(quality.reports(wide(spark, d)).select("page_id", "percent", name.alias("cache_name")), path)
-    return spark.read.parquet(path).select("page_id", "cache_name", "percent")
+    told = quality.reports(wide(spark, d)).select("page_id", "percent")
+    intake.file_pages(told.join(page_keys(told), "page_id"), path)
+    return spark.read.parquet(path).select("page_id", "cache_name", "settings", "percent")
 
 
 # B: answers to rows.
@@ -93,12 +137,13 @@ def b1_unfence(spark, d):
 
 
 def b2_envelope(spark, d):
-    return flatten.envelopes(responses(spark, d)).select("page_id", "status")
+    return read_answers(spark, d).select("page_id", "status", "finish_reason")
 
 
 def b3_rows(spark, d):
-    rows = flatten.answer_rows(flatten.envelopes(responses(spark, d)))
-    return longs(rows.select("page_id", "position", "no_raw", "bug_name", F.col("`where`").alias("place"), "notice"))
+    read = read_answers(spark, d)
+    rows = flatten.answer_rows(read).join(flatten.strip_values(read), "page_id")
+    return longs(rows.select("page_id", "position", "no_raw", "bug_name", F.col("`where`").alias("place"), "notice", *defs.HEADER_FIELDS))
 
 
 def b4_row_number(spark, d):
@@ -118,13 +163,10 @@ def b7_columns(spark, d):
 
 
 def b8_unsure(spark, d):
-    kind = (F.col("page_id") + F.col("position")) % 4
-    names = F.when(kind == 0, F.array(F.lit("notice"))).when(kind == 1, F.array(F.lit("symbol"), F.lit("colour"))).when(kind == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("where"), F.lit("where"), F.lit(None)))
-    rows = kept(spark, d).select("page_id", "row_no", names.alias("unsure"))
+    rows = flatten.first_wins(flatten.numbered(flatten.answer_rows(read_answers(spark, d)))).where("kept").select("page_id", "row_no", "unsure")
     flags, notes = flatten.unsure_flags(rows)
-    n = lambda df, c: df.groupBy("page_id", "row_no").agg(F.count("*").alias(c))
-    both = rows.select("page_id", "row_no").join(n(flags, "n_flags"), ["page_id", "row_no"], "left").join(n(notes, "n_notes"), ["page_id", "row_no"], "left")
-    return longs(both.fillna(0, ["n_flags", "n_notes"]))
+    said = flags.select("page_id", "row_no", F.lit("").alias("note"), F.col("field").alias("name")).unionByName(notes.select("page_id", "row_no", "note", "name"))
+    return longs(said)
 
 
 def b9_detections(spark, d):
@@ -158,7 +200,8 @@ def marks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b12_marks(spark, d):
-    return longs(marks(spark, d).select("page_id", "position", "kind", "row_no", "note"))
+    listed = flatten.row_marks(flatten.mark_entries(read_answers(spark, d)))
+    return longs(listed.select("page_id", "kind", "position", "row_no", "mark", "note"))
 
 
 def b13_tokens(spark, d):
@@ -168,8 +211,11 @@ def b13_tokens(spark, d):
 # C: boxes to cells.
 
 
-def cell_counts(sheet: str, spark: SparkSession, d: str) -> DataFrame:
-    return longs(geometry.placed(view(spark, d, "survey_boxes"), sheet).fillna(0, ["row_no", "ord"]).groupBy("row_no", "ord").agg(F.count("*").alias("n"), F.count_if("unsure").alias("n_unsure")))
+def cell_sums(sheet: str, spark: SparkSession, d: str) -> DataFrame:
+    """Where a page's boxes lie: how many, and sums that any box in another cell would change."""
+    boxes = geometry.placed(view(spark, d, "survey_boxes"), sheet).fillna(0, ["row_no", "ord"])
+    at = (F.col("row_no") * 100 + F.col("ord")).cast("long")
+    return boxes.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(F.col("row_no") == 0).alias("n_outside"), F.sum(at * F.col("seq")).alias("placed"), F.sum(F.when(F.col("unsure"), at).otherwise(0)).alias("unsure"))
 
 
 def c3_header_at(spark, d):
@@ -189,13 +235,13 @@ def c5_address(spark, d):
 
 
 def c6_cell_text(spark, d):
-    boxes = view(spark, d, "survey_boxes")
-    full = quality.page_cells(boxes.select("page_id").distinct(), geometry.cell_texts(boxes))
-    return longs(full.groupBy("ord", "raw").agg(F.count("*").alias("n")))
+    cells = quality.page_cells(view(spark, d, "survey_boxes"))
+    return cells.select("page_id", F.md5(F.array_join("cells.raw", "|")).alias("said"))
 
 
 def c7_unsure_cells(spark, d):
-    return geometry.cell_texts(view(spark, d, "survey_boxes")).where("unsure").groupBy("page_id").agg(F.count("*").alias("n"))
+    cells = geometry.cell_texts(view(spark, d, "survey_boxes")).where("unsure")
+    return cells.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.col("row_no") * 100 + F.col("ord"))), " ").alias("cells"))
 
 
 def strips(spark: SparkSession, d: str) -> DataFrame:
@@ -203,14 +249,12 @@ def strips(spark: SparkSession, d: str) -> DataFrame:
     pages = view(spark, d, "survey_header")
     boxes = flatten.header_boxes(pages).withColumn("half", F.ceil(F.length("text") / 2).cast("int"))
     parts = boxes.select("page_id", "l", "t", "r", "b", F.posexplode(F.array(F.substring("text", F.lit(1), F.col("half")), F.substring("text", F.col("half") + 1, F.length("text")))).alias("seq", "text")).where("text <> ''")
-    at = geometry.header_field_at((F.col("l") + F.col("r")) / 2, (F.col("t") + F.col("b")) / 2)
-    got = parts.withColumn("field", at).where("field is not null").groupBy("page_id", "field").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "text")))["text"], "").alias("raw"))
     every = pages.select("page_id", F.explode(F.array(*map(F.lit, defs.HEADER_FIELDS))).alias("field"))
-    return every.join(got, ["page_id", "field"], "left").fillna("", ["raw"])
+    return every.join(geometry.header_texts(parts), ["page_id", "field"], "left").fillna("", ["raw"])
 
 
 def c9_outside(spark, d):
-    return geometry.outside(view(spark, d, "survey_boxes")).groupBy("page_id").agg(F.count("*").alias("n"))
+    return geometry.outside(view(spark, d, "survey_boxes")).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("seq")), " ").alias("boxes"))
 
 
 # D: value checks.
@@ -246,9 +290,13 @@ def d8_header(spark, d):
     return quality.header_values(strips(spark, d)).select("page_id", "field", "value", "reason")
 
 
-def checked_marks(kind: str, spark: SparkSession, d: str) -> DataFrame:
-    told = marks(spark, d).where((F.col("note") == "") & (F.col("kind") == kind))
-    return longs(quality.checked_marks(told, wide(spark, d)).select("page_id", "row_no", "kept", "reason"))
+def checked_marks(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    told = marks(spark, d).where("note = ''")
+    return quality.checked_marks(told if kind is None else told.where(F.col("kind") == kind), wide(spark, d))
+
+
+def page_marks(kind: str, spark: SparkSession, d: str) -> DataFrame:
+    return longs(checked_marks(spark, d, kind).select("page_id", "row_no", "kept", "reason"))
 
 
 # E: quality.
@@ -259,8 +307,8 @@ def e1_gaps(spark, d):
 
 
 def e2_disagreements(spark, d):
-    each = [wide(spark, d).where(f"{a}_reads_like <> ''").select("page_id", "row_no", F.lit(a).alias("pair"), F.upper(a).alias("letter"), F.col(f"`{b}`").alias("wording"), F.col(f"{a}_reads_like").alias("named")) for a, b in defs.PAIRS]
-    return longs(each[0].unionByName(each[1]))
+    pairs = F.array(*[F.when(F.col(f"{a}_reads_like") != "", F.struct(F.lit(a).alias("pair"), F.upper(a).alias("letter"), F.col(f"`{b}`").alias("wording"), F.col(f"{a}_reads_like").alias("named"))) for a, b in defs.PAIRS])
+    return longs(wide(spark, d).select("page_id", "row_no", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("c")).select("page_id", "row_no", "c.*"))
 
 
 def e3_finished_problems(spark, d):
@@ -275,17 +323,36 @@ def e7_all_problems(spark, d):
     return longs(quality.all_problems(wide(spark, d)).select("page_id", "row_no", "field", "problem"))
 
 
+def findings(spark: SparkSession, d: str) -> DataFrame:
+    """All six kinds: the answer's own notes, cells, gaps, disagreements, the strip and the marks."""
+    placed = flatten.numbered(entries(spark, d))
+    notes = quality.engine_notes(placed, flatten.missing_rows(placed, placed.where("row_no is not null")))
+    late = quality.late_findings(quality.header_values(strips(spark, d)), checked_marks(spark, d))
+    return quality.findings(wide(spark, d), notes, late)
+
+
 def e8_findings(spark, d):
-    return quality.findings(wide(spark, d))
+    return findings(spark, d).withColumn("findings", F.array_join("findings", "\n"))
 
 
 def e9_wide(spark, d):
     return wide(spark, d).select("page_id", "no", *[F.col(f"`{f}`").alias("place" if f == "where" else f) for f in defs.FIELDS])
 
 
+DOCUMENT = f"settings string, cache_name string, rows array<struct<no: string, {', '.join(f'`{f}`: string' for f in defs.FIELDS)}>>, report struct<values: bigint, rejected: bigint, disagreements: bigint, gaps: bigint, unsure: bigint, score: double, percent: string, cells: array<struct<row: int, field: string, problem: string>>>, findings array<string>, usage struct<calls: bigint, seconds: double, prompt_tokens: bigint, output_tokens: bigint, thought_tokens: bigint>, {', '.join(f'{f} string' for f in defs.HEADER_FIELDS)}, {', '.join(f'{k} array<string>' for k in defs.MARKS)}"
+
+
 def e10_document(spark, d):
+    """The documents, and what is in them as read back from their text."""
     w = wide(spark, d)
-    return quality.documents(w, quality.reports(w), quality.findings(w))
+    told = quality.reports(w)
+    spent = usage.totals(log(spark, d), "page_id")
+    made = quality.documents(w, told, findings(spark, d), spent, page_keys(told), quality.header_values(strips(spark, d)), checked_marks(spark, d))
+    x = made.select("page_id", F.from_json("document", DOCUMENT).alias("x")).select("page_id", "x.*")
+    said = lambda c, f: F.array_join(F.transform(c, f), "\n")
+    row = lambda r: F.concat_ws("|", r["no"], *[r[f] for f in defs.FIELDS])
+    cell = lambda c: F.concat_ws("|", c["row"].cast("string"), c["field"], c["problem"])
+    return x.select("page_id", "settings", "cache_name", F.md5(said("rows", row)).alias("rows"), F.concat_ws("|", *[F.col(f"report.{c}").cast("string") for c in ("values", "rejected", "disagreements", "gaps", "unsure")], "report.percent").alias("report"), "report.score", said("report.cells", cell).alias("cells"), F.array_join("findings", "\n").alias("findings"), F.size("findings").cast("long").alias("n_findings"), F.col("usage.calls").alias("calls"), F.round("usage.seconds", 3).alias("seconds"), F.concat_ws("|", *[F.col(f"usage.{c}").cast("string") for c in ("prompt_tokens", "output_tokens", "thought_tokens")]).alias("tokens"), F.concat_ws("|", *defs.HEADER_FIELDS).alias("strip"), *[F.array_join(k, "|").alias(k) for k in defs.MARKS])
 
 
 # F: usage.
@@ -315,7 +382,9 @@ def f5_in_flight(spark, d):
 
 
 def g1_fingerprint(spark, d):
-    return identity.fingerprint(view(spark, d, "survey_long"), ["field"], "raw")
+    lines = view(spark, d, "survey_long")
+    free = identity.fingerprint(lines, ["field"], "raw").withColumn("kind", F.lit("any order"))
+    return free.unionByName(identity.fingerprint(lines, ["field"], "raw", order="position").withColumn("kind", F.lit("in order")))
 
 
 def g2_settings(spark, d):
@@ -347,11 +416,13 @@ def g5_drift(spark, d):
 
 
 def h1_compare(spark, d):
-    left = flatten.long_cells(kept(spark, d))
+    path = shared_path(spark)
+    flatten.long_cells(kept(spark, d)).select(*CELL, "text").write.parquet(path)  # read by both sides
+    left = spark.read.parquet(path)
     right = left.where(~((F.col("ord") == 6) & ((F.col("page_id") + F.col("row_no")) % 17 == 0)) & ~((F.col("page_id") % 23 == 0) & (F.col("row_no") == 1)))
     right = right.withColumn("text", F.when((F.col("ord") == 1) & (F.col("page_id") % 10 == 0), "カナブン").otherwise(F.col("text")))
-    extra = kept(spark, d).where("page_id % 19 = 0").select("page_id", "row_no", F.lit(12).alias("ord"), F.lit("追加").alias("text"))
-    return longs(compare.agreement(compare.compare(left, right.select(*CELL, "text").unionByName(extra)), "ord"))
+    extra = left.where("page_id % 19 = 0").select("page_id", "row_no", F.lit(12).alias("ord"), F.lit("追加").alias("text")).distinct()
+    return longs(compare.agreement(compare.compare(left, right.unionByName(extra)), "page_id", "ord"))
 
 
 def h2_models(spark, d):
@@ -392,17 +463,16 @@ def i4_explained(spark, d):
 
 def j1_stream(spark, d):
     path = shared_path(spark)
-    responses(spark, d).write.parquet(f"{path}/in")
-    work = lambda batch: flatten.envelopes(batch).groupBy("status").agg(F.count("*").alias("pages"))
-    streams.by_page(streams.arriving(spark, f"{path}/in", "page_id long, body string"), work, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").groupBy("status").agg(F.sum("pages").alias("pages"))
+    answers(spark, d).write.parquet(f"{path}/in")
+    streams.by_page(streams.arriving(spark, f"{path}/in", "page_id long, answer string"), page_reports, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return longs(spark.read.parquet(f"{path}/out").select("page_id", "status", "finish_reason", "offered", "rejected", "disagreements", "gaps", "unsure", "percent"))
 
 
 def j2_once(spark, d):
     path = shared_path(spark)
     told = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     told.unionAll(told.where("event_id % 3 = 0")).write.parquet(f"{path}/in")
-    once = streams.once(streams.arriving(spark, f"{path}/in", "event_id long, ts timestamp"), "event_id", "ts", "36500 days")
+    once = streams.once(streams.arriving(spark, f"{path}/in", "event_id long, ts timestamp"), "event_id", "ts", "1 hour")
     return streams.drained(once, f"{path}/out", f"{path}/checkpoint").groupBy("event_id").agg(F.count("*").alias("n"))
 
 
@@ -417,8 +487,8 @@ def j3_totals(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a1_intake": a1_intake, "a2_requests": a2_requests, "a3_sink": a3_sink,
     "b1_unfence": b1_unfence, "b2_envelope": b2_envelope, "b3_rows": b3_rows, "b4_row_number": b4_row_number, "b5_first_wins": b5_first_wins, "b6_missing": b6_missing, "b7_columns": b7_columns, "b8_unsure": b8_unsure, "b9_detections": b9_detections, "b10_anchored": b10_anchored, "b11_header_boxes": b11_header_boxes, "b12_marks": b12_marks, "b13_tokens": b13_tokens,
-    "c1_cell_at": partial(cell_counts, "v1"), "c2_cell_at_v2": partial(cell_counts, "v2"), "c3_header_at": c3_header_at, "c4_dense": c4_dense, "c5_address": c5_address, "c6_cell_text": c6_cell_text, "c7_unsure_cells": c7_unsure_cells, "c8_header_text": strips, "c9_outside": c9_outside,
-    "d1_unwrap": partial(whole_values, checks.unwrap), "d2_strip": partial(whole_values, checks.strip), "d3_fold": d3_fold, "d4_characters": d4_characters, "d5_scripts": d5_scripts, "d6_list": d6_list, "d7_check": d7_check, "d8_header": d8_header, "d9_place_marks": partial(checked_marks, "outside_minato"), "d10_species_marks": partial(checked_marks, "target_species"),
+    "c1_cell_at": partial(cell_sums, "v1"), "c2_cell_at_v2": partial(cell_sums, "v2"), "c3_header_at": c3_header_at, "c4_dense": c4_dense, "c5_address": c5_address, "c6_cell_text": c6_cell_text, "c7_unsure_cells": c7_unsure_cells, "c8_header_text": strips, "c9_outside": c9_outside,
+    "d1_unwrap": partial(whole_values, checks.unwrap), "d2_strip": partial(whole_values, checks.strip), "d3_fold": d3_fold, "d4_characters": d4_characters, "d5_scripts": d5_scripts, "d6_list": d6_list, "d7_check": d7_check, "d8_header": d8_header, "d9_place_marks": partial(page_marks, "outside_minato"), "d10_species_marks": partial(page_marks, "target_species"),
     "e1_gaps": e1_gaps, "e2_disagreements": e2_disagreements, "e3_finished_problems": e3_finished_problems, "e4_counts": partial(reports, ["offered", "rejected", "disagreements", "gaps", "unsure"]), "e5_score": partial(reports, ["score"]), "e6_percent": partial(reports, ["percent"]), "e7_all_problems": e7_all_problems, "e8_findings": e8_findings, "e9_wide": e9_wide, "e10_document": e10_document,
     "f1_totals": f1_totals, "f2_spend": f2_spend, "f3_rollup": f3_rollup, "f4_timing": f4_timing, "f5_in_flight": f5_in_flight,
     "g1_fingerprint": g1_fingerprint, "g2_settings": g2_settings, "g3_cached": g3_cached, "g4_current": g4_current, "g5_drift": g5_drift,

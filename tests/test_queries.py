@@ -12,13 +12,6 @@ def test_same_as_sql(spark, sf, name):
     assert_same(QUERIES[name](spark, sf), connect(sf), SQL[name])
 
 
-def test_rows_only(spark, sf):
-    status = {r["status"]: r["pages"] for r in QUERIES["j1_stream"](spark, sf).collect()}
-    assert set(status) == {"ok", "not_json", "no_text", "no_rows"}
-    documents = QUERIES["e10_document"](spark, sf)
-    assert documents.count() == QUERIES["e6_percent"](spark, sf).count()
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -1,5 +1,8 @@
 """The sheet's rules on single values and small pages."""
 
+import json
+
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,8 +51,9 @@ def test_score(spark):
 
 
 def page(spark, row, unsure=False):
-    raw = [(1, 1, k + 1, row.get(f, ""), unsure) for k, f in enumerate(defs.FIELDS)]
-    return quality.rows(quality.checked(quality.page_cells(spark.createDataFrame([(1,)], "page_id long"), spark.createDataFrame(raw, "page_id long, row_no int, ord int, raw string, unsure boolean"))))
+    rows = [(1, r, 1, *[row.get(f) if r == 1 else None for f in defs.FIELDS]) for r in range(1, defs.ROWS + 1)]
+    read = spark.createDataFrame(rows, "page_id long, row_no int, position int, " + ", ".join(f"`{f}` string" for f in defs.FIELDS))
+    return quality.checked_rows(read, lambda k: F.lit(unsure))
 
 
 FULL = dict(zip(defs.FIELDS, ["アゲハ", "か", "花", "④", "8", "3", "芝", "1", "花だん", "C", "いた"], strict=True))
@@ -63,7 +67,7 @@ def test_pages(spark):
     problems = {r["field"]: r["problem"] for r in quality.all_problems(page(spark, FULL | {"found_month": "④", "notice": "", "map_symbol": "B"})).collect()}
     assert problems == {"found_month": "rejected", "notice": "missing", "map_symbol": "disagreement", "location_name": "disagreement"}
     assert quality.reports(page(spark, {})).first()["score"] is None
-    lines = quality.findings(page(spark, FULL | {"found_month": "④", "notice": ""})).first()["findings"].split("\n")
+    lines = quality.findings(page(spark, FULL | {"found_month": "④", "notice": ""})).first()["findings"]
     assert lines == ["row 1: found_month: rejected '④', outside the field character set", "row 1: nothing came back for notice, but the row is filled in"]
     assert page(spark, FULL).count() == defs.ROWS
 
@@ -97,6 +101,47 @@ def test_envelopes(spark):
     assert [r["page_id"] for r in flatten.envelopes(df).where("status <> want").collect()] == []
 
 
+def test_completions(spark):
+    said = lambda content, **more: json.dumps({"choices": [{"message": {"content": content}, **more}]})
+    rows = [("a", said("[]"), "ok", ""), ("b", "[1]", "no_completion", ""), ("c", '{"error": "no such endpoint"}', "no_completion", ""), ("d", '{"choices": []}', "no_completion", ""), ("e", '{"choices": ["x"]}', "malformed_choice", ""), ("f", said(None, finish_reason="length"), "no_text", "length"), ("g", said(" "), "no_text", "no reason given"), ("h", said(5), "no_text", "no reason given"), ("i", said("oops"), "not_json", ""), ("j", "nothing", "no_completion", ""), ("k", said('```json\n{"rows": []}\n```'), "ok", ""), ("l", None, "no_completion", ""), ("m", said("7"), "no_rows", "")]
+    df = spark.createDataFrame(rows, "page_id string, answer string, want string, reason string")
+    got = flatten.envelopes(flatten.completions(df))
+    assert got.where("status <> want or finish_reason <> reason").collect() == []
+    assert got.count() == len(rows)
+
+
+def test_answer_rows_and_flags(spark):
+    body = '[{"no": 3.0, "bug_name": 7.0, "colour": "red", "notice": null, "unsure": ["notice", 5, "colour"]}, "oops", {"no": "4", "bug_name": true, "unsure": "notice"}, {"no": 5, "unsure": {}}, {"no": 6, "unsure": []}]'
+    read = flatten.envelopes(spark.createDataFrame([(1, body)], "page_id long, body string"))
+    rows = flatten.answer_rows(read)
+    assert [tuple(r) for r in rows.select("position", "no_raw", "bug_name", "notice").orderBy("position").collect()] == [(1, "3.0", "7.0", None), (3, "4", "true", None), (4, "5", None, None), (5, "6", None, None)]
+    flags, notes = flatten.unsure_flags(flatten.numbered(rows))
+    assert [tuple(r)[1:] for r in flags.collect()] == [(3, "notice")]
+    assert sorted(tuple(r)[1:] for r in notes.collect()) == [(3, 1, "5", "names no column"), (3, 2, "colour", "names no column"), (4, 0, '"notice"', "not a list")]
+
+
+def test_page_with_strip_and_marks(spark):
+    page_ = {"rows": [], "grade": "4", "outside_minato": [{"no": 1, "mark": "◎"}, "x", {"mark": "○"}, {"no": 9, "mark": "○"}, {"no": "1.0", "mark": "△"}], "target_species": "none"}
+    read = flatten.envelopes(spark.createDataFrame([(1, json.dumps(page_)), (2, "[]"), (3, '{"rows": [], "target_species": null}')], "page_id long, body string"))
+    assert {tuple(r) for r in flatten.strip_values(read).collect()} == {(1, "", "4", ""), (2, "", "", ""), (3, "", "", "")}
+    got = flatten.row_marks(flatten.mark_entries(read)).orderBy("kind", "position").collect()
+    assert [(r["page_id"], r["kind"], r["row_no"], r["note"]) for r in got] == [(1, "outside_minato", 1, ""), (1, "outside_minato", None, "not an object"), (1, "outside_minato", None, "number"), (1, "outside_minato", None, "range"), (1, "outside_minato", 1, "second"), (1, "target_species", None, "not a list")]
+
+
+def test_document_of_a_blank_page(spark):
+    wide = page(spark, {})
+    told = quality.reports(wide)
+    none = spark.createDataFrame([], "page_id long, calls long, seconds double, prompt_tokens long, output_tokens long, thought_tokens long")
+    keys = spark.createDataFrame([(1, "engine=x", "x_m1")], "page_id long, settings string, cache_name string")
+    marks = spark.createDataFrame([(1, 2, "outside_minato", "◎")], "page_id long, row_no int, kind string, kept string")
+    strip = spark.createDataFrame([(1, "grade", "4")], "page_id long, field string, value string")
+    got = json.loads(quality.documents(wide, told, quality.findings(wide), none, keys, strip, marks).first()["document"])
+    assert (got["findings"], got["report"]["score"], got["report"]["percent"], got["report"]["cells"], got["usage"]["calls"]) == ([], None, "", [], 0)
+    assert (got["grade"], got["school"], got["outside_minato"], got["target_species"]) == ("4", "", ["", "◎", "", "", "", "", "", ""], [""] * 8)
+    assert [r["no"] for r in got["rows"]] == list("12345678")
+    assert got["cache_name"] == "x_m1"
+
+
 def test_first_row_wins_and_marks(spark):
     e = spark.createDataFrame([(1, 1, "3"), (1, 2, "3.0"), (1, 3, "x")], "page_id long, position int, no_raw string")
     got = flatten.first_wins(flatten.numbered(e)).orderBy("position").collect()
