@@ -1,11 +1,12 @@
 """Links between the members of groups, found without comparing all of a group's pairs.
 
-Two passes. The first holds every member against its group's hub (its smallest node) and
-takes the components of what is verified. The second looks only at groups that still have
-more than one component: there members of different components are held against each other
-in the tasks themselves, in cells of bounded size, by what their rows carry (``close``), and
-only pairs that can be links leave the task for verification. No link between two members
-of one group is lost unless both are in one component already.
+The first pass holds every member against its group's hub (its smallest node) and takes the
+components of what is verified. Later passes look only at groups that still have more than
+one component: there members of different components are held against each other in the
+tasks themselves, in cells of bounded size, by what their rows carry (``close``), and only
+pairs that can be links leave the task for verification. One pass tries each member's best
+partners, which puts most components together; the last tries every pair that is left. No
+link between two members of one group is lost unless both are in one component already.
 """
 
 from __future__ import annotations
@@ -24,21 +25,24 @@ def shared(rows: DataFrame, node: str = "node") -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
-def links(members: DataFrame, check: Callable[[DataFrame], DataFrame], close: Callable[[DataFrame], DataFrame], block_rows: int = 1000) -> DataFrame:
+def links(members: DataFrame, check: Callable[[DataFrame], DataFrame], close: Callable[[DataFrame, int | None], DataFrame], block_rows: int = 1000, passes: tuple[int | None, ...] = (2, None)) -> DataFrame:
     """What ``check(pairs(a, b))`` leaves of the pairs that share a key in ``members(key, node, ...)``: enough for the components of all such links.
 
-    ``close(rest)`` gets key, node, label, cuts and the members' other columns, for groups of
-    several labels only, and returns pairs (a, b) of different labels, a < b. ``cuts`` is the
-    number of blocks of ``block_rows`` members that the group is to be taken in.
+    ``close(rest, partners)`` gets key, node, label, cuts and the members' other columns, for
+    groups of several labels only, and returns pairs (a, b) of different labels, a < b: each
+    member's best ``partners``, or all where that is None. ``cuts`` is the number of blocks
+    of ``block_rows`` members that the group is to be taken in.
     """
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-    first = stored(members.join(hubs, "key").where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    found = stored(check(first))
-    label = components(found.select("a", "b"))
-    told = stored(members.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
-    mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("cuts"))
-    second = stored(close(told.join(mixed, "key")).distinct().join(first, ["a", "b"], "left_anti"))
-    return found.unionByName(stored(check(second)))
+    tried = stored(members.join(hubs, "key").where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    found = stored(check(tried))
+    for partners in passes:
+        label = components(found.select("a", "b"))
+        told = stored(members.join(label, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+        mixed = told.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("cuts"))
+        fresh = stored(close(told.join(mixed, "key"), partners).distinct().join(tried, ["a", "b"], "left_anti"))
+        found, tried = found.unionByName(stored(check(fresh))), tried.unionByName(fresh)
+    return found
 
 
 def cells(rest: DataFrame) -> DataFrame:

@@ -143,6 +143,22 @@ def dense(x: np.ndarray, hit: np.ndarray, least: int, similarity: float) -> bool
     return len(x) >= least and bool((total[least:] - np.minimum.accumulate(total)[: len(total) - least] > -1e-6).any())
 
 
+def can_be(a: np.ndarray, b: np.ndarray, hit: np.ndarray, least: int, similarity: float) -> bool:
+    """False only if no two stretches of a and b are similar enough, by the greatest shares p and q of shared values that any stretch has: the similarity is at most 1 / (1/p + 1/q - 1)."""
+    if not dense(a, hit, least, similarity):
+        return False
+    back, bound = np.isin(b, a), 1 + 1 / similarity
+    if not dense(b, back, least, similarity):
+        return False
+    share = similarity
+    while share < 1:  # p is under the next step: what q must then be
+        after = min(1.0, share + 0.02)
+        if not dense(a, hit, least, after):
+            return dense(b, back, least, 1 / (bound - 1 / after))
+        share = after
+    return True
+
+
 def ends_of_runs(x: np.ndarray, y: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a stretch of x may begin and, exclusively, end: at a value of y that follows, or is followed by, another value there at least once."""
     n = np.bincount(y, minlength=top)
@@ -240,7 +256,7 @@ def verified(a: np.ndarray, b: np.ndarray, min_words: int, similarity: float) ->
     place = np.searchsorted(b[order], a)
     place[place == len(b)] = 0
     hit = b[order[place]] == a
-    if hit.sum() < similarity * similarity * least or not dense(a, hit, least, similarity) or not dense(b, np.isin(b, a), least, similarity):
+    if hit.sum() < similarity * similarity * least or not can_be(a, b, hit, least, similarity):
         return None  # many candidates end here
     if found := likely(a, b, np.where(hit, order[place], -1), least, similarity):
         return found  # and most others here
@@ -358,9 +374,31 @@ def overlaps(sets: list[np.ndarray], often: int = 32) -> np.ndarray:
     return out + half + half.T
 
 
-def close_stretches(rest: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of members with different labels whose texts have enough tokens in common around the minima that they share: about two thirds of a shortest passage."""
-    need = 0.65 * least
+def dense_pairs(own: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: int, similarity: float, rows: int = 1024) -> np.ndarray:
+    """Of the pairs (i, j) of stretches those with a shortest passage of each side, one of which has the share of the other's tokens that two equally similar sides have, and the other at least ``similarity``."""
+    size = max(map(len, own))
+    table = np.zeros((len(own), size), np.uint32)
+    for k, x in enumerate(own):
+        table[k, : len(x)] = x
+    length = np.fromiter(map(len, own), np.int64, len(own))
+    keep = np.zeros(len(i), bool)
+
+    def most(same: np.ndarray) -> np.ndarray:
+        total = np.pad(same, ((0, 0), (1, 0))).cumsum(axis=1, dtype=np.int16)
+        return (total[:, least:] - total[:, :-least]).max(axis=1) if size >= least else total[:, -1]
+
+    for at in range(0, len(i), rows):
+        a, b = i[at : at + rows], j[at : at + rows]
+        same = table[a][:, :, None] == table[b][:, None, :]
+        same &= (np.arange(size) < length[a][:, None])[:, :, None] & (np.arange(size) < length[b][:, None])[:, None, :]
+        p, q = most(same.any(axis=2)), most(same.any(axis=1))
+        keep[at : at + rows] = (np.minimum(p, q) >= similarity * least) & (np.maximum(p, q) >= 2 * similarity / (1 + similarity) * least)
+    return keep
+
+
+def close_stretches(rest: DataFrame, partners: int | None, texts: DataFrame, least: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members with different labels whose texts have as many tokens in common around the minima that they share as the shortest similar passages; of each member only those with its best ``partners``, if that is given."""
+    need = 2 * similarity / (1 + similarity) * least
     at = rest.groupBy("node").agg(F.collect_list(F.struct("key", "at", "label", "cuts")).alias("at"))  # bounded by the text's own windows
 
     def stretches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +406,7 @@ def close_stretches(rest: DataFrame, texts: DataFrame, least: int) -> DataFrame:
             rows = []
             for node, places, packed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 x = (tokens(unpacked(packed)) & U(0xFFFFFFFF)).astype(np.uint32)
-                rows += [(p["key"], node, p["label"], p["cuts"], np.unique(x[max(0, p["at"] - least + 1) : p["at"] + least]).tobytes()) for p in places]
+                rows += [(p["key"], node, p["label"], p["cuts"], x[max(0, p["at"] - least + 1) : p["at"] + least].tobytes()) for p in places]
             kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()
             for k in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + 10_000]], kind) for i, kind in enumerate(kinds)], ["key", "node", "label", "cuts", "tokens"])
@@ -382,9 +420,16 @@ def close_stretches(rest: DataFrame, texts: DataFrame, least: int) -> DataFrame:
                 node, label = f["node"].to_numpy(), f["label"].to_numpy()
                 if (label == label[0]).all():
                     continue
-                n = overlaps([np.frombuffer(t, np.uint32) for t in f["tokens"]])
-                i, j = np.nonzero(np.triu(n, 1) >= need)
-                keep = label[i] != label[j]
+                own = [np.frombuffer(t, np.uint32) for t in f["tokens"]]
+                n = overlaps([np.unique(x) for x in own])
+                n[(n < need) | (label[:, None] == label[None, :])] = 0
+                if partners and partners < len(n):
+                    best = np.argpartition(n, -partners, axis=1)[:, -partners:]
+                    i, j = np.repeat(np.arange(len(n)), partners), best.ravel()
+                    i, j = i[n[i, j] > 0], j[n[i, j] > 0]
+                else:
+                    i, j = np.nonzero(np.triu(n, 1))
+                keep = dense_pairs(own, i, j, least, similarity)
                 i, j = i[keep], j[keep]
                 out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
             yield pd.DataFrame({k: np.concatenate([np.zeros(0, np.int64), *(x[n] for x in out)]) for n, k in enumerate("ab")}).drop_duplicates()
@@ -395,11 +440,11 @@ def close_stretches(rest: DataFrame, texts: DataFrame, least: int) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 4) -> DataFrame:
     """Verified links (a, b) between texts ``docs(doc_id, text_hash, text)``, each with its passage; ``reps(text_hash, doc_id)`` names one document of each text."""
     least = min_words - WIDTH + 1
-    near = stored(linking.shared(windows(docs, min_words, hashes)))
+    near = stored(linking.shared(windows(docs, min_words, hashes)).distinct())  # equal texts have equal windows
     members = stored(linking.shared(signatures(near, least).groupBy("key", "node").agg(F.min("at").alias("at"))))
     need = members.select(F.col("node").alias("text_hash")).distinct().join(reps, "text_hash")
     texts = stored(packed_texts(docs).join(need, ["text_hash", "doc_id"]).dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("node"), "packed"))
-    return linking.links(members, lambda pairs: verify(pairs, texts, min_words, similarity), lambda rest: close_stretches(rest, texts, least))
+    return linking.links(members, lambda pairs: verify(pairs, texts, min_words, similarity), lambda rest, partners: close_stretches(rest, partners, texts, least, similarity))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 4) -> DataFrame:
