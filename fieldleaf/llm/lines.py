@@ -1,53 +1,76 @@
-"""Line dedup by prefix doubling over line-id sequences, with DataFrame operations only.
-
-Every line gets a 128-bit id. Prefix doubling names the run of 2, 4, 8, ... lines that starts
-at each line from the names of its two halves; names are hashes, so a round needs no ranking
-shuffle, and equal names are equal stretches of the suffix array. Doubling stops at
-``min_run`` lines, since later copies are the same whatever deeper levels would split: the
-suffixes that share a name form the interval of the suffix array whose longest common
-prefix is at least ``min_run`` lines, its smallest (doc_id, line) is the copy that stays, and
-the starts of all its other suffixes, merged where they overlap or touch, are the maximal
-repeated runs that go.
+"""Line dedup by distributed prefix doubling over line-id sequences, with DataFrame operations only.
+
+The suffixes of all texts, as sequences of lines, are named round by round: first by their
+first line, then by their first 2, 4, 8, ... lines, each round from the two names of the
+round before that a run is made of. A name is the first place (doc_id, line) at which the
+run stands, so it is a rank that needs no sort, and it tells at once which copy stays.
+Suffixes of one name are an interval of the suffix array whose longest common prefix is at
+least the run's length; suffixes whose run stands nowhere else leave the rounds. At the
+shortest run that counts, every suffix that isn't its interval's first is a later copy;
+lines of later copies, merged where runs overlap or touch, are the maximal repeated runs
+that go. Deeper rounds (``intervals``) tell how long the runs are; they change no deletion.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = ["doc_id", "text_hash"]
+from fieldleaf.llm.common import stored
 
+TEXT = ["doc_id", "h1"]
+PLACE = ["doc_id", "line"]
 
-def doubled(names: Column, length: int) -> Column:
-    """The names of runs of ``length`` lines from those of single lines; null where a run would leave the text."""
-    have = 1
-    while have < length:
-        step = min(have, length - have)  # the last round overlaps: a run of 3 is named by two runs of 2
-        names = F.zip_with(names, F.slice(names, step + 1, F.greatest(F.size(names) - step, F.lit(0))), lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.xxhash64(x, y)))
-        have += step
-    return names
 
+def own_texts(docs: DataFrame) -> DataFrame:
+    """(h1, h2, doc_id, ids): each different text once, under its smallest doc_id, with a 128-bit id and a mark (not blank) for each line."""
+    read = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"), F.split("text", "\n").alias("lines"))
+    ids = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b"), (F.trim(x) != "").alias("said")))
+    return read.select("h1", "h2", "doc_id", ids.alias("ids")).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("ids").alias("ids"))
 
-def runs(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    """(doc_id, text_hash, line, name_a, name_b): the run of ``min_run`` lines that starts at each line; names are null for blank runs and past the end."""
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
-    ids = lines.select(*KEY, F.transform("lines", lambda x: F.xxhash64(x)).alias("a"), F.transform("lines", lambda x: F.xxhash64(F.lit("line"), x)).alias("b"), F.transform("lines", lambda x: F.when(F.trim(x) != "", 1).otherwise(0)).alias("said"))
-    said = reduce(lambda x, k: F.zip_with(x, F.slice("said", k + 1, F.greatest(F.size("said") - k, F.lit(0))), lambda p, q: F.greatest(p, q)), range(1, min_run), F.col("said"))
-    once = ids.select(*KEY, F.arrays_zip(doubled(F.col("a"), min_run).alias("a"), doubled(F.col("b"), min_run).alias("b"), said.alias("said")).alias("x")).dropDuplicates(KEY)
-    named = once.select(*KEY, F.posexplode("x").alias("line", "x"))
-    shown = (F.col("x.said") > 0) & F.col("x.a").isNotNull()
-    return named.select(*KEY, "line", F.when(shown, F.col("x.a")).alias("name_a"), F.when(shown, F.col("x.b")).alias("name_b"))
 
+def named(places: DataFrame, *by: str) -> DataFrame:
+    """``places`` whose ``by`` stands at two places or more, with ``first``, the first of them. The names are stored, so that the join deals both sides anew and splits a frequent one."""
+    names = places.groupBy(*by).agg(F.min(F.struct(*PLACE)).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return places.join(stored(names), [*by]).drop(*by).withColumnRenamed("name", "first")
 
-def later_copies(docs: DataFrame, min_run: int = 2) -> DataFrame:
-    """(doc_id, text_hash, later): for each text whether each of its lines starts a run that began earlier elsewhere or in itself."""
-    starts = runs(docs, min_run)
-    first = starts.where("name_a is not null").groupBy("name_a", "name_b").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = first.withColumn("name_a", F.col("name_a").bitwiseXOR(F.lit(0)))  # same values, but dealt anew: only then are a frequent line's rows split in the join
-    told = starts.join(first, ["name_a", "name_b"], "left").select(*KEY, "line", F.coalesce(F.struct("doc_id", "line") > F.col("first"), F.lit(False)).alias("later"))
-    return told.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("line", "later"))).alias("x")).select(*KEY, F.col("x.later").alias("later"))
+
+def rounds(texts: DataFrame, min_run: int) -> Iterator[tuple[int, DataFrame]]:
+    """(length, repeated) for each round: the places (doc_id, h1, line, said, first) whose run of ``length`` lines stands elsewhere too, and where first. Lengths double, and ``min_run`` is one of them."""
+    lines = texts.select(*TEXT, F.posexplode("ids").alias("line", "id")).select(*TEXT, "line", "id.a", "id.b", "id.said")
+    now, have = named(lines, "a", "b").select(*TEXT, "line", "said", "first"), 1
+    while True:
+        yield have, now
+        step = min(have, min_run - have) if have < min_run else have  # the round before min_run overlaps: a run of 3 is named by two runs of 2
+        ahead = Window.partitionBy(*TEXT).orderBy("line").rangeBetween(step, step)
+        pairs = now.withColumns({"second": F.first("first").over(ahead), "said": F.col("said") | F.first("said").over(ahead)}).where("second is not null")
+        now, have = named(pairs, "first", "second").select(*TEXT, "line", "said", "first"), have + step
+
+
+def later_runs(texts: DataFrame, min_run: int) -> DataFrame:
+    """(doc_id, h1, line, first): where a run of ``min_run`` lines, not all blank, stands that stood at ``first`` before."""
+    repeated = next(now for have, now in rounds(texts, min_run) if have == min_run)
+    return repeated.where(F.col("said") & (F.struct(*PLACE) > F.col("first"))).select(*TEXT, "line", "first")
+
+
+def intervals(docs: DataFrame, min_run: int = 2, longest: int = 1 << 20) -> DataFrame:
+    """(length, first_doc, first_line, doc_id, line): the occurrences of every repeated run of min_run, 2 min_run, 4 min_run, ... lines (not all blank), up to ``longest``: the suffix array's intervals by the common prefix that they are known to have.
+
+    Texts that are copies as a whole count once, under their smallest doc_id. The rounds end
+    when no run of that length repeats.
+    """
+    out = None
+    for have, now in rounds(stored(own_texts(docs)), min_run):
+        if have < min_run:
+            continue
+        now = stored(now.where("said"))
+        if have > longest or now.isEmpty():
+            break
+        told = now.select(F.lit(have).alias("length"), F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"), "doc_id", "line")
+        out = told if out is None else out.unionByName(told)
+    return out if out is not None else docs.sparkSession.createDataFrame([], "length int, first_doc long, first_line int, doc_id long, line int")
 
 
 def kept_lines(docs: DataFrame, min_run: int = 2) -> DataFrame:
@@ -59,17 +82,20 @@ def kept_lines(docs: DataFrame, min_run: int = 2) -> DataFrame:
     deleted, and are no source of copies. Rows that repeat a doc_id and text are equally
     early, so none is the later copy of the other. An empty table gives an empty result.
     """
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"))
-    read = own.join(later_copies(docs, min_run), KEY, "left").select("row", "later", F.split("row.text", "\n").alias("lines"))
-    later = F.coalesce("later", F.array().cast("array<boolean>"))
-    moved = [F.concat(F.array_repeat(F.lit(False), k), later) for k in range(min_run)]
-    gone = reduce(lambda x, y: F.zip_with(x, y, lambda p, q: F.coalesce(p, F.lit(False)) | F.coalesce(q, F.lit(False))), moved)
-    pairs = F.filter(F.zip_with("lines", gone, lambda x, g: F.struct(x.alias("line"), F.coalesce(g, F.lit(False)).alias("gone"))), lambda x: x["line"].isNotNull())
-    told = read.select("row", pairs.alias("pairs"))
-    begun = F.zip_with("pairs.gone", F.concat(F.array(F.lit(False)), F.col("pairs.gone")), lambda g, b: g & ~b)
-    count = lambda x: F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.filter(x, lambda v: v)))
-    kept = F.array_join(F.transform(F.filter("pairs", lambda x: ~x["gone"]), lambda x: x["line"]), "\n")
-    return told.select("row", kept.alias("kept_text"), F.when(F.col("row.text").isNull(), 0).otherwise(F.size("pairs")).alias("n_lines"), count(F.col("pairs.gone")).alias("n_deleted"), count(begun).alias("n_runs"))
+    texts = stored(own_texts(docs))
+    starts = later_runs(texts, min_run).groupBy(*TEXT).agg(F.array_sort(F.collect_list("line")).alias("starts"))  # bounded by the text's own lines
+    known = texts.select("h1", "h2", "doc_id").join(starts, TEXT, "left").select("h1", "h2", F.col("doc_id").alias("rep"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
+    own = docs.select(F.struct("*").alias("row"), F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).alias("h1"), F.xxhash64(F.lit("text"), "text").alias("h2"))
+    read = own.withColumn("h1", F.when(F.col("row.text").isNotNull(), F.col("h1"))).join(known, ["h1", "h2"], "left").withColumn("lines", F.split("row.text", "\n"))
+    every = F.filter(F.sequence(F.lit(0), F.greatest(F.size("lines") - min_run, F.lit(0))), lambda i: (i + min_run <= F.size("lines")) & F.exists(F.slice("lines", i + 1, min_run), lambda x: F.trim(x) != ""))
+    starts = F.when(F.col("rep").isNull(), F.array().cast("array<int>")).when(F.col("row.doc_id") > F.col("rep"), every).otherwise(F.col("starts"))  # a later copy of a whole text
+    gone = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + min_run - 1))))
+    told = read.select("row", "lines", gone.alias("gone"))
+    here = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.array_join(F.transform(F.array_except(here, F.col("gone")), lambda i: F.get("lines", i)), "\n")
+    begun = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
+    number = lambda x: F.when(F.col("row.text").isNull(), 0).otherwise(x)
+    return told.select("row", F.when(F.col("row.text").isNotNull(), F.when(F.size("gone") == 0, F.col("row.text")).otherwise(kept)).alias("kept_text"), number(F.size("lines")).alias("n_lines"), number(F.size("gone")).alias("n_deleted"), number(begun).alias("n_runs"))
 
 
 def dedup(docs: DataFrame, min_run: int = 2) -> DataFrame:
@@ -77,7 +103,7 @@ def dedup(docs: DataFrame, min_run: int = 2) -> DataFrame:
     found = kept_lines(docs, min_run)
     rest = found.where("n_deleted = 0 or n_deleted < n_lines and trim(kept_text) <> ''")
     cut = F.col("n_deleted") > 0
-    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("row.text"))}
+    new: dict[str, Column] = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
     return rest.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

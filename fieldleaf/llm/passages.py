@@ -57,7 +57,7 @@ def min_hash(x: np.ndarray, function: int) -> np.ndarray:
 def compact_windows(v: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
     """(start, minimum's place, end) of the nodes of at least ``least`` values in the Cartesian trees over v[start:end], all trees at once, level by level.
 
-    Places fill the low bits of the values, so that a minimum tells where it is; they are
+    Places fill the low bits of the values (as many as there are places), so that a minimum tells where it is; they are
     scattered by an odd factor, so that equal values make no deep tree.
     """
     bits = max(20, len(v).bit_length())

@@ -237,7 +237,7 @@ def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, b
     (not the node itself) every near pair of different labels is told.
     """
     expected = differing(similarity) * WIDE
-    radius = int(expected + 2.5 * math.sqrt(expected * (1 - differing(similarity))))
+    radius = int(expected + 3 * math.sqrt(expected * (1 - differing(similarity))))
     pivots = np.random.default_rng(12).integers(0, 1 << 63, (PIVOTS, WIDE // 64), dtype=np.int64).astype(np.uint64) * np.uint64(2)
     keyed = sampled_keys(fps, texts, similarity, recall)
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts"))
@@ -301,7 +301,7 @@ def similar_enough(pairs: DataFrame, texts: DataFrame, width: int, similarity: f
     return both.select("a", "b", "packed_a", "packed_b").mapInPandas(run, "a long, b long")
 
 
-def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.95, bucket_rows: int = 2000) -> DataFrame:
+def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.98, bucket_rows: int = 2000) -> DataFrame:
     """(node, component) of the texts ``texts(node, text)`` that have a near-duplicate: Jaccard similarity of their shingles of ``similarity`` or more.
 
     Fingerprints of ``WIDE`` bits meet in buckets of sampled bits, pivots and the Hamming

@@ -87,11 +87,15 @@ def test_language(spark, sf):
 def test_compact_windows():
     rng = np.random.default_rng(1)
     for n, least in ((30, 5), (1, 1), (4, 5), (60, 8)):
-        v = rng.integers(0, 40, n).astype(np.uint64)
-        found = passages.compact_windows(v, least)
+        v = rng.integers(0, 40, n).astype(np.uint64) << np.uint64(44)  # hashes are told apart by their high bits
+        found = passages.compact_windows(v, np.array([0]), np.array([n]), least).T.tolist()
         held = {(i, j): v[c] for a, c, b in found for i in range(a, c + 1) for j in range(c + 1, b + 1) if j - i >= least}
         assert held == {(i, j): v[i:j].min() for i in range(n) for j in range(i + least, n + 1)}
-    assert len(passages.compact_windows(np.zeros(5000, np.uint64), 46)) < 5000
+    assert passages.compact_windows(np.zeros(5000, np.uint64), np.array([0]), np.array([5000]), 46).shape[1] < 5000
+    many = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    parts = np.r_[0, 20, 20, 130], np.r_[20, 20, 130, 300]
+    each = [passages.compact_windows(many[a:b], np.array([0]), np.array([b - a]), 7) + a for a, b in zip(*parts, strict=True)]
+    assert sorted(passages.compact_windows(many, *parts, 7).T.tolist()) == sorted(np.concatenate(each, axis=1).T.tolist())
 
 
 def test_passages(spark, sf):
@@ -124,7 +128,7 @@ def test_near_passage(spark):
     got = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["class_id"] for i in (1, 2, 3)] == [1, 1, 3]
     assert got[1]["similarity"] >= 0.8
-    assert got[3]["n_links"] == 0
+    assert got[3]["passage_start"] is None
 
 
 def brute_passage(a, b, least, similarity):
@@ -178,21 +182,6 @@ def test_passages_against_brute_force():
         assert (passages.verified(*sides, least + passages.WIDTH - 1, similarity) is not None) == brute_passage(*sides, least, similarity)
 
 
-@pytest.mark.parametrize("groups", [{256: [1, 3, 4], 513: [2, 3, 4]}, {256: [8, 9], 513: [1, 2, 3, 4, 5, 6, 7, 8, 9]}])
-def test_evidence_of_all_rounds(spark, monkeypatch, groups):
-    """The last two texts are near-duplicates; no round shows both of their keys with the same hub, or the first brings no candidate."""
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choices("abcdefghij", k=6))
-    members = sorted({m for g in groups.values() for m in g})
-    shared = [word() for _ in range(120)]
-    rows = [(m, m, " ".join([word() for _ in range(60)] + (shared if m in members[-2:] else []))) for m in members]
-    docs = spark.createDataFrame(rows, "doc_id long, text_hash long, text string")
-    made = spark.createDataFrame([(k, m, 0) for k, g in groups.items() for m in g], "key long, text_hash long, span long")
-    monkeypatch.setattr(passages, "windows", lambda *_: made)
-    found = passages.links(docs, docs.select("text_hash", "doc_id"), next_hubs=1).collect()
-    assert [{r["hub"], r["text_hash"]} for r in found] == [set(members[-2:])]
-
-
 def test_bpe(spark, sf):
     coder = bpe.tokenizer(vocabulary())
     df = odd(spark).select("doc_id", "text").unionByName(documents(spark, sf).select("doc_id", "text"))
@@ -379,6 +368,22 @@ def test_runs_of_lines(spark, min_run):
     assert {r[0]: tuple(r)[1:] for r in got} == want
 
 
+def test_intervals_of_lines(spark):
+    """Every repeated run of 2, 4, 8 lines with all its places, against all runs counted."""
+    rng = random.Random(8)
+    block = [f"line {k}" for k in range(9)]
+    rows = [(i, "\n".join([*rng.choices("abc", k=rng.randint(0, 4)), *block[rng.randint(0, 3) : rng.randint(4, 9)], *rng.choices("abc", k=3)])) for i in range(30)]
+    places = defaultdict(list)
+    for i, x in {x: i for i, x in reversed(rows)}.items() and [(i, x) for x, i in {x: i for i, x in reversed(rows)}.items()]:
+        own = x.split("\n")
+        for length in (2, 4, 8, 16):
+            for p in range(len(own) - length + 1):
+                places[length, tuple(own[p : p + length])].append((i, p))
+    want = {(length, *min(v), *place) for (length, _), v in places.items() if len(v) > 1 for place in v}
+    got = {tuple(r) for r in lines.intervals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and {2, 4, 8} == {r[0] for r in got}
+
+
 def test_repeated_rows_of_lines(spark):
     """Rows that repeat a document are judged line by line like a single one; lines 10 to 12 are a later copy."""
     x, y = [f"first {k}" for k in range(30)], [f"second {k}" for k in range(30)]
