@@ -76,7 +76,7 @@ def fit(labelled: DataFrame, per_lang: int = 500, clusters: int = 4, reject_quan
     share = F.lit(0.0)
     for lang, size in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.25 * per_lang / size))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * per_lang * len(langs))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["doc_id", "text"])  # about 1.25 per_lang of each language; repeated rows count once
 
     def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -1,10 +1,11 @@
 """Media columns: sound stored as 8-bit samples, and its features as fixed-shape tensors.
 
-``to_media`` turns bytes into WAV files (mono, 8 bits), ``features`` reads those back and
-computes: polyphase resampling (3 samples for every 4), overlapping frames, a log-mel
-filterbank, and voiced stretches by energy with hysteresis. Tensors are rows of ``TILE``
-frames by ``MELS`` bands with their time span, which ``as_tensors`` casts to Arrow's
-fixed-shape tensor type.
+``to_media`` turns bytes into WAV files (mono, 8 bits) and, from the files, computes their
+features: polyphase resampling (3 samples for every 4), overlapping frames, a log-mel
+filterbank, and voiced stretches by energy with hysteresis. Features are stored beside the
+file as tiles: tensors of ``TILE`` frames by ``MELS`` bands, in hundredths, with their time
+span and the voiced frames. ``digests`` describes what is read back of both; ``tensors``
+gives one row for each tile, which ``as_tensors`` casts to Arrow's fixed-shape tensor type.
 """
 
 from __future__ import annotations
@@ -111,66 +112,81 @@ def analyse(media: bytes) -> tuple[bytes, np.ndarray, np.ndarray, int]:
     return raw, rows, voiced(energy), rate * UP // DOWN
 
 
+TILES = "array<struct<start_s: double, end_s: double, frames: smallint, voiced: int, log_mel: array<smallint>>>"
+
+
+def tiles_of(media: bytes) -> list[np.ndarray]:
+    """A file's tiles as columns: start and end in seconds, how many frames are its own (the rest of the last tile repeats its least value), a bit for each voiced frame, and the values in hundredths."""
+    _, rows, spans, rate = analyse(media)
+    n = -(-len(rows) // TILE)
+    full = np.full((n * TILE, MELS), rows.min(), np.float32)
+    full[: len(rows)] = rows
+    on = np.zeros(n * TILE, np.int64)
+    for s, e in spans:
+        on[s:e] = 1
+    at = np.arange(n)
+    frames = np.minimum(TILE, len(rows) - at * TILE)
+    return [at * TILE * HOP / rate, ((at * TILE + frames - 1) * HOP + FRAME) / rate, frames.astype(np.int16), (on.reshape(n, TILE) @ (1 << np.arange(TILE))).astype(np.int32), np.round(full * 100).astype(np.int16).reshape(n, TILE * MELS)]
+
+
 def to_media(docs: DataFrame, unit: int = 192) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled with spaces to a positive multiple of ``unit``, as a WAV file. A null text counts as empty."""
+    """(doc_id, n_bytes, media, tiles): each text's UTF-8 bytes, filled with spaces to a positive multiple of ``unit``, as a WAV file with its features. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [(t.as_py() or "").encode() for t in b.column(1)]
             media = [wav(x.ljust(max(1, -(-len(x) // unit)) * unit)) for x in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            made = [tiles_of(m) for m in media]
+            cols = [np.concatenate([m[k] for m in made]) if made else np.zeros((0, TILE * MELS) if k == 4 else 0) for k in range(5)]
+            inner = pa.ListArray.from_arrays(np.arange(len(cols[0]) + 1, dtype=np.int32) * TILE * MELS, pa.array(cols[4].ravel(), pa.int16()))
+            one = pa.StructArray.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int16()), pa.array(cols[3], pa.int32()), inner], ["start_s", "end_s", "frames", "voiced", "log_mel"])
+            ends = np.r_[0, np.cumsum([len(m[0]) for m in made])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), pa.ListArray.from_arrays(ends, one)], ["doc_id", "n_bytes", "media", "tiles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_bytes long, media binary, tiles {TILES}")
 
 
-def tiles(media: DataFrame) -> DataFrame:
-    """(doc_id, tile, start_s, end_s, voiced_share, log_mel): tensors of TILE x MELS values, row by row, with the time span that each covers; the last is filled with its least value."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, m in zip(b.column(0), b.column(1), strict=True):
-                _, rows, spans, rate = analyse(m.as_py())
-                n = -(-len(rows) // TILE)
-                full = np.full((n * TILE, MELS), rows.min(), np.float32)
-                full[: len(rows)] = rows
-                on = np.zeros(n * TILE)
-                for s, e in spans:
-                    on[s:e] = 1
-                at = np.arange(n)
-                ends = np.minimum((at + 1) * TILE, len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(at * TILE * HOP / rate), pa.array(((ends - 1) * HOP + FRAME) / rate), pa.array(on.reshape(n, TILE).sum(axis=1) / (ends - at * TILE)), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * TILE * MELS, full.ravel())], ["doc_id", "tile", "start_s", "end_s", "voiced_share", "log_mel"])
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, tile int, start_s double, end_s double, voiced_share double, log_mel array<float>")
+def tensors(media: DataFrame) -> DataFrame:
+    """(doc_id, tile, start_s, end_s, frames, voiced, log_mel): one row for each stored tile."""
+    return media.select("doc_id", F.posexplode("tiles").alias("tile", "t")).select("doc_id", "tile", "t.*")
 
 
 def as_tensors(table: pa.Table) -> pa.Table:
     """The same Arrow table with log_mel as fixed-shape tensors."""
-    shape = pa.fixed_shape_tensor(pa.float32(), (TILE, MELS))
-    flat = table["log_mel"].combine_chunks().cast(pa.list_(pa.float32(), TILE * MELS))
+    shape = pa.fixed_shape_tensor(pa.int16(), (TILE, MELS))
+    flat = table["log_mel"].combine_chunks().cast(pa.list_(pa.int16(), TILE * MELS))
     return table.set_column(table.schema.get_field_index("log_mel"), "log_mel", pa.ExtensionArray.from_storage(shape, flat))
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames, n_voiced, voiced_s) of stored media, all from the bytes read back."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_frames, n_voiced, voiced_s) of stored media: the bytes and the tensors as they are read back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for value in b.column(2):
+            listed = b.column(3)
+            edges, tile = listed.offsets.to_numpy() - listed.offsets[0].as_py(), listed.flatten()
+            frames, voiced = tile.field("frames").to_numpy(), tile.field("voiced").to_numpy()
+            values = tile.field("log_mel").flatten().to_numpy().reshape(-1, MELS)
+            for k, value in enumerate(b.column(2)):
                 m = value.as_py()
-                raw, rows, spans, rate = analyse(m)
-                frames = int((spans[:, 1] - spans[:, 0]).sum())
-                means = ",".join(f"{x:.2f}" for x in rows.mean(axis=0, dtype=float).reshape(8, -1).mean(axis=1))
-                feature = f"frames={len(rows)};mel={means};voiced={len(spans)}/{frames};tensor={hashlib.sha256(np.round(rows * 100).astype(np.int32).tobytes()).hexdigest()[:16]}"
-                out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(rows), len(spans), frames * HOP / rate))
+                raw, rate = samples_of(m)
+                own = slice(edges[k], edges[k + 1])
+                n = int(frames[own].sum())
+                rows = values[edges[k] * TILE : edges[k + 1] * TILE][:n]
+                on = (voiced[own][:, None] >> np.arange(TILE) & 1).ravel()[:n]
+                spans, active = int((np.diff(np.r_[0, on]) == 1).sum()), int(on.sum())
+                means = ",".join(f"{x / 100:.2f}" for x in rows.mean(axis=0, dtype=float).reshape(8, -1).mean(axis=1))
+                feature = f"frames={n};mel={means};voiced={spans}/{active};tensor={hashlib.sha256(rows.tobytes()).hexdigest()[:16]}"
+                out.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, n, spans, active * HOP * DOWN / (rate * UP)))
             kinds = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_voiced", "voiced_s"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_voiced long, voiced_s double")
+    return media.select("doc_id", "n_bytes", "media", "tiles").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_voiced long, voiced_s double")
 
 
 def stored_media(docs: DataFrame) -> DataFrame:
-    """Stores every text as sound in the shared folder and describes what is read back.
+    """Stores every text as sound with its feature tensors in the shared folder and describes what is read back.
 
     Repeated rows each give their row; equal texts give equal values; an empty table gives
     an empty result; other columns are ignored. Long texts are worked on in blocks.

@@ -43,7 +43,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.find_secrets(docs, secrets.fit(docs))
+    return secrets.find_secrets(docs, secrets.fit(secrets.labelled_tokens(docs).unionByName(secrets.random_strings(spark))))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
 Two first-order models of character pairs, one of random strings and one of ordinary
-identifiers, are counted on a bounded sample of texts: the values that the patterns find
-are the random strings, all other words of eight or more characters the identifiers. A
-token is added as a secret if its log-likelihood ratio, in all and for each character, is
-high enough.
+identifiers, are counted on labelled tokens: random strings made for it, and tokens of a
+bounded sample of texts, labelled as secrets where the patterns find them and as ordinary
+elsewhere. A token is added as a secret if its log-likelihood ratio, in all and for each
+character, is high enough.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The base patterns, in the order in which kinds are listed, and the least length of what counts.
@@ -48,32 +48,58 @@ def pairs(token: str) -> np.ndarray:
     return b[:-1] * SIZE + b[1:]
 
 
-def fit(docs: DataFrame, rows: int = 20_000, weight: float = 5.0) -> np.ndarray:
-    """The log-likelihood ratio of each character pair, from about ``rows`` texts chosen by a hash of doc_id (twice that at most). A pair's share is smoothed towards its second character's, by ``weight`` pairs."""
+#: The alphabets that secrets are made of: hexadecimal, capitals with digits, letters with digits, and those of base 64 in both spellings.
+ALPHABETS = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"]
+
+
+def random_strings(spark: SparkSession, n: int = 4000) -> DataFrame:
+    """(token, secret): ``n`` labelled random strings of 20 to 59 characters, the alphabets in turn, the same at every run."""
+    alphabet = F.get(F.array(*map(F.lit, ALPHABETS)), (F.col("id") % len(ALPHABETS)).cast("int"))
+    letter = lambda i: F.substring(alphabet, (F.pmod(F.xxhash64("id", i), F.length(alphabet)) + 1).cast("int"), F.lit(1))
+    token = F.array_join(F.transform(F.sequence(F.lit(1), (20 + F.col("id") % 40).cast("int")), letter), "")
+    return spark.range(n).select(token.alias("token"), F.lit(True).alias("secret"))
+
+
+def labelled_tokens(docs: DataFrame, rows: int = 20_000) -> DataFrame:
+    """(token, secret) from about ``rows`` texts, chosen by a hash: what the base patterns find is labelled a secret, every other word of eight or more characters an ordinary identifier. Repeated rows count once."""
     n = max(1, docs.count())
+    chosen = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))).dropDuplicates(["doc_id", "text"]).select("text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, SIZE * SIZE), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            tokens: list[str] = []
+            secret: list[bool] = []
             for value in b.column(0):
-                text = value.as_py()
-                at = 0
-                for s, _, kind, e in base_spans(text):
+                text, at = value.as_py(), 0
+                for s, _, kind, e in [*base_spans(text), (len(text), 3, "", len(text))]:
                     if s < at:
                         continue
-                    for m in WORD.finditer(text, at, s):
-                        np.add.at(seen[0], pairs(m.group()), 1)
-                    secret = ASSIGN.match(text, s).group(2) if kind == "assign" else text[s:e]
-                    np.add.at(seen[1], pairs(secret), 1)
+                    words = [m.group() for m in WORD.finditer(text, at, s)]
+                    found = [ASSIGN.match(text, s).group(2) if kind == "assign" else text[s:e]] if kind else []
+                    tokens += words + found
+                    secret += [False] * len(words) + [True] * len(found)
                     at = e
-                for m in WORD.finditer(text, at):
-                    np.add.at(seen[0], pairs(m.group()), 1)
-        k, c = np.nonzero(seen)
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(k, pa.int64()), "pair": pa.array(c, pa.int64()), "n": pa.array(seen[k, c], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(tokens, pa.string()), "secret": pa.array(secret, pa.bool_())})
+
+    return chosen.mapInArrow(run, "token string, secret boolean")
+
+
+def fit(labelled: DataFrame, weight: float = 5.0) -> np.ndarray:
+    """The log-likelihood ratio of each character pair, counted on ``labelled(token, secret)``. A pair's share is smoothed towards its second character's, by ``weight`` pairs. Null tokens and characters outside ASCII are skipped."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, SIZE * SIZE), np.int64)
+        for b in batches:
+            for label in (False, True):
+                joined = "\0".join(t for t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t is not None and s is label)
+                seen[int(label)] += np.bincount(pairs(joined.encode("ascii", "replace").decode()), minlength=SIZE * SIZE)
+        seen = seen.reshape(2, SIZE, SIZE)
+        seen[:, 0] = seen[:, :, 0] = 0  # the borders between tokens
+        k, c = np.nonzero(seen.reshape(2, -1))
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(k, pa.int64()), "pair": pa.array(c, pa.int64()), "n": pa.array(seen.reshape(2, -1)[k, c], pa.int64())})
 
-    chosen = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, rows / n) * (1 << 30))).limit(2 * rows).select("text")
     seen = np.zeros((2, SIZE, SIZE))
-    for r in chosen.mapInArrow(count, "kind long, pair long, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():  # bounded: a row for each kind and pair
+    for r in labelled.select("token", "secret").mapInArrow(count, "kind long, pair long, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():  # bounded: a row for each kind and pair
         seen[r["kind"]].flat[r["pair"]] = r["n"]
     alphabet = np.zeros(SIZE)
     alphabet[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = 1

@@ -48,7 +48,7 @@ WHOLE = {
     "bpe": lambda s, d: bpe.encode(d, vocabulary()),
     "media": lambda s, d: media.stored_media(d),
     "substrings": lambda s, d: substrings.dedup(d),
-    "secrets": lambda s, d: secrets.find_secrets(d, secrets.fit(d)),
+    "secrets": lambda s, d: secrets.find_secrets(d, secrets.fit(secrets.labelled_tokens(d))),
     "toxicity": lambda s, d: toxicity.toxic_documents(d, labels(s)),
     "lines": lambda s, d: lines.report(d),
     "simhash": lambda s, d: simhash.near_duplicates(d),
@@ -211,8 +211,36 @@ def test_media(spark, sf):
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-16:]))
         assert r["media_sha256"] == hashlib.sha256(media.wav(b)).hexdigest()
         assert media.samples_of(media.wav(b))[0] == b
-    table = media.tiles(media.to_media(documents(spark, sf).limit(4))).toArrow()
-    assert media.as_tensors(table)["log_mel"].type.shape == [media.TILE, media.MELS]
+    some = documents(spark, sf).where("doc_id < 6")
+    table = media.as_tensors(media.tensors(media.to_media(some)).orderBy("doc_id", "tile").toArrow())
+    assert table["log_mel"].type.shape == [media.TILE, media.MELS]
+    held = table["log_mel"].combine_chunks().to_numpy_ndarray()
+    for i in range(6):
+        x = texts(spark, sf)[i].encode()
+        _, rows, spans, rate = media.analyse(media.wav(x.ljust(-(-max(1, len(x)) // 192) * 192)))
+        mine = [k for k, d in enumerate(table["doc_id"].to_pylist()) if d == i]
+        assert np.array_equal(held[mine].reshape(-1, media.MELS)[: len(rows)], np.round(rows * 100).astype(np.int16))
+        assert table["start_s"][mine[0]].as_py() == 0 and table["end_s"][mine[-1]].as_py() == ((len(rows) - 1) * media.HOP + media.FRAME) / rate
+        assert got[i]["n_frames"] == len(rows) and got[i]["n_voiced"] == len(spans)
+
+
+def test_log_mel():
+    """The filterbank against a plain discrete Fourier transform of each frame."""
+    x = np.random.default_rng(2).normal(size=700)
+    rows, energy = media.log_mel(x, 6000)
+    assert len(rows) == -(-(700 - media.FRAME) // media.HOP) + 1
+    padded = np.r_[x, np.zeros(media.FRAME)]
+    t = np.arange(media.FRAME)
+    edges = [700 * (10 ** (m / 2595) - 1) for m in np.linspace(0, 2595 * np.log10(1 + 3000 / 700), media.MELS + 2)]
+    for k in range(len(rows)):
+        frame = padded[k * media.HOP : k * media.HOP + media.FRAME]
+        assert energy[k] == pytest.approx(10 * np.log10((frame**2).mean()))
+        windowed = frame * (0.5 - 0.5 * np.cos(2 * np.pi * t / (media.FRAME - 1)))
+        power = [abs((windowed * np.exp(-2j * np.pi * t * q / media.FRAME)).sum()) ** 2 for q in range(media.FRAME // 2 + 1)]
+        for m in (0, 7, 31):
+            left, mid, right = edges[m : m + 3]
+            share = [max(0.0, min((f - left) / (mid - left), (right - f) / (right - mid))) for f in (q * 6000 / media.FRAME for q in range(media.FRAME // 2 + 1))]
+            assert rows[k, m] == pytest.approx(np.log10(max(np.dot(share, power), 1e-10)), abs=1e-4)
 
 
 def test_resampling():
@@ -269,13 +297,14 @@ def test_edit_distance():
         assert decontaminate.edit_distance(a, b) == row[-1]
 
 
-def test_decontamination_recall(spark, sf):
+@pytest.mark.parametrize("share", [6, 10, 15])
+def test_decontamination_recall(spark, sf, share):
     own = list(texts(spark, sf).values())
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rng, rows = random.Random(1), []
     for k, (i, x) in enumerate(bench):
         y = list(x)
-        for _ in range(len(x) // 16):
+        for _ in range(len(x) * share // 100):
             p = rng.randrange(len(y))
             y[p] = rng.choice(["", rng.choice("abcdefgh"), y[p] + rng.choice("abcdefgh")])
         rows.append((i, own[k + 20][:300] + " " + "".join(y) + " " + own[k + 60][:300]))
@@ -291,13 +320,24 @@ def test_decontamination_recall(spark, sf):
         assert decontaminate.edit_distance(words, " ".join(dict(bench)[r["item_id"]].lower().split())) == r["distance"]
 
 
+def test_long_items():
+    """An item of 100,000 characters needs no table that grows with it, and is found with some edits."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(14_000)]
+    items = decontaminate.prepare([(1, " ".join(words)), (2, "two words")], 4, 64, 3)
+    edited = [w if k % 3000 else "x" for k, w in enumerate(words)]
+    text = [b"before"] * 50 + [w.encode() for w in edited] + [b"after"] * 50
+    found = decontaminate.matches([text, [b"only", b"two", b"words"]], items, 0.8)
+    assert [(k, i) for k, i, *_ in found] == [(0, 0), (1, 1)]
+
+
 def test_secrets(spark):
     rng = random.Random(2)
     token = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
     rows = [(1, f"é Password: 'hunter22' api_key=abc token=abcdef {'AKIA' + 'B' * 16} {'AKIA' + 'B' * 15} {'ab12' * 6} {'ab12' * 5}"), (2, f"see {token} here"), (3, "internationalization of the responsibilities thesethingsareordinary")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     words = spark.createDataFrame([(i, "the_ordinary_identifier getResponseHandler internationalization responsibilities " + "".join(rng.choices("0123456789abcdef", k=32))) for i in range(50)], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in secrets.find_secrets(df, secrets.fit(words)).collect()}
+    got = {r["doc_id"]: r for r in secrets.find_secrets(df, secrets.fit(secrets.labelled_tokens(words))).collect()}
     want = []
     for k, (kind, pattern, least, group) in enumerate([("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 1), ("access", "AKIA[A-Z0-9]+", 20, 0), ("hex", "[0-9a-f]+", 24, 0)]):
         want += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, rows[0][1], re.IGNORECASE if kind == "assign" else 0) if len(m.group(group)) >= least]
@@ -307,6 +347,22 @@ def test_secrets(spark):
     assert got[3]["spans"] == ""
 
 
+def test_secrets_added(spark, sf):
+    """Random strings of five alphabets planted in the texts of the table are added; ordinary words are not."""
+    rng = random.Random(12)
+    docs = documents(spark, sf)
+    model = secrets.fit(secrets.labelled_tokens(docs).unionByName(secrets.random_strings(spark)))
+    own = list(texts(spark, sf).values())[:100]
+    rows, want = [], set()
+    for k, x in enumerate(own):
+        token = "".join(rng.choices(secrets.ALPHABETS[k % 5].replace("abcdef", "abcdeg"), k=rng.randint(22, 40)))
+        rows.append((k, f"{token} {x}"))
+        want.add((k, f"markov:0:{len(token)}"))
+    found = {(r["doc_id"], s) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).collect() for s in r["spans"].split(",") if s.startswith("markov")}
+    assert len(found & want) >= 90
+    assert len(found - want) <= 5
+
+
 def test_maximal_segments():
     rng = random.Random(7)
     for _ in range(60):
