@@ -136,27 +136,34 @@ def neighbours(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before, after
 
 
-def dense(x: np.ndarray, hit: np.ndarray, least: int, similarity: float) -> bool:
-    """False only if no stretch of ``least`` places or more, of whatever length, has the share ``similarity`` of its distinct values among the hits."""
-    score = np.where(hit, 1 - similarity, np.where(neighbours(x)[0] < 0, -similarity, 0.0))  # a miss seen before might not count in a stretch
-    total = np.r_[0, score.cumsum()]
-    return len(x) >= least and bool((total[least:] - np.minimum.accumulate(total)[: len(total) - least] > -1e-6).any())
-
-
-def can_be(a: np.ndarray, b: np.ndarray, hit: np.ndarray, least: int, similarity: float) -> bool:
-    """False only if no two stretches of a and b are similar enough, by the greatest shares p and q of shared values that any stretch has: the similarity is at most 1 / (1/p + 1/q - 1)."""
-    if not dense(a, hit, least, similarity):
-        return False
-    back, bound = np.isin(b, a), 1 + 1 / similarity
-    if not dense(b, back, least, similarity):
+def sides(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of a's values whether b has it, whether it is its first in a, and a place of it in b."""
+    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    x, y = a[order_a], b[order_b]
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    hit, new, place = np.empty(len(a), bool), np.empty(len(a), bool), np.empty(len(a), np.int64)
+    hit[order_a], place[order_a], new[order_a] = y[at] == x, order_b[at], np.r_[True, x[1:] != x[:-1]]
+    return hit, new, place
+
+
+def dense(hit: np.ndarray, new: np.ndarray, least: int, share: float) -> bool:
+    """False only if no stretch of ``least`` places or more, of whatever length, has the share ``share`` of its distinct values among the hits."""
+    score = np.where(hit, 1 - share, np.where(new, -share, 0.0))  # a miss seen before might not count in a stretch
+    total = np.zeros(len(hit) + 1)
+    score.cumsum(out=total[1:])
+    return len(hit) >= least and bool((total[least:] - np.minimum.accumulate(total)[: len(total) - least]).max() > -1e-6)
+
+
+def can_be(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], least: int, similarity: float) -> bool:
+    """False only if no two stretches are similar enough, by the greatest shares p and q of shared values that any stretch of either side has (hits and first places each): the similarity is at most 1 / (1/p + 1/q - 1)."""
+    if not dense(*one, least, similarity) or not dense(*other, least, similarity):
         return False
-    share = similarity
-    while share < 1:  # p is under the next step: what q must then be
-        after = min(1.0, share + 0.02)
-        if not dense(a, hit, least, after):
-            return dense(b, back, least, 1 / (bound - 1 / after))
-        share = after
-    return True
+    low, high, bound = similarity, 1.0, 1 + 1 / similarity
+    for _ in range(4):
+        mid = (low + high) / 2
+        low, high = (mid, high) if dense(*one, least, mid) else (low, mid)
+    return dense(*other, least, 1 / (bound - 1 / high))
 
 
 def ends_of_runs(x: np.ndarray, y: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,16 +189,23 @@ def stretches(x: np.ndarray, y: np.ndarray, top: int, least: int, similarity: fl
     hit = np.isin(x, y)
     out = [np.zeros((0, 4), np.int64)]
 
+    total = np.r_[0, np.where(hit, 1 - similarity, np.where(before < 0, -similarity, 0.0)).cumsum()]  # a bound, as in dense()
+
     def add(s: int, e: np.ndarray) -> None:
-        new = before[s:] < s
-        values, shared = new.cumsum()[e - 1 - s], (new & hit[s:]).cumsum()[e - 1 - s]
+        e = e[total[e] - total[s] > -1e-6]
+        if not len(e):
+            return
+        new = before[s : e[-1]] < s
+        values, shared = new.cumsum()[e - 1 - s], (new & hit[s : e[-1]]).cumsum()[e - 1 - s]
         some = shared >= similarity * values - 1e-9
         out.append(np.stack([np.full(some.sum(), s), e[some], values[some], shared[some]], axis=1))
 
     short: set[tuple[int, int]] = set()
     previous = np.r_[before, -1]
     widened = np.r_[hit & (before >= 0), False]  # a shared value that a stretch before it may hold already
-    for s in starts.tolist():
+    top_after = np.maximum.accumulate(total[::-1])[::-1]
+    far = np.minimum(starts + 1, len(x) - least if len(x) >= least else 0)
+    for s in starts[(top_after[np.maximum(far, 0)] - total[starts] > -1e-6) | (starts > len(x) - least)].tolist():
         limit = after[s - 1] if s and hit[s - 1] else len(x)
         e = ends[np.searchsorted(ends, s, side="right") : np.searchsorted(ends, limit, side="right")]
         e = e[~widened[e] | (previous[e] < s)]
@@ -207,19 +221,11 @@ def stretches(x: np.ndarray, y: np.ndarray, top: int, least: int, similarity: fl
     return np.unique(np.concatenate(out), axis=0)
 
 
-def likely(a: np.ndarray, b: np.ndarray, place: np.ndarray, least: int, similarity: float) -> tuple[int, int, int, int, float] | None:
-    """A passage as in verified() among some likely stretches: the whole texts, and the best scoring stretches of a with what b has at about the same distance. ``place`` tells where a's tokens are in b."""
-
-    def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-        x, y = np.unique(x), np.unique(y)
-        n = len(np.intersect1d(x, y, assume_unique=True))
-        return n / (len(x) + len(y) - n)
-
-    if (j := jaccard(a, b)) >= similarity:
-        return 0, len(a) + WIDTH - 1, 0, len(b) + WIDTH - 1, j
-    hit = place >= 0
+def likely(a: np.ndarray, b: np.ndarray, hit: np.ndarray, place: np.ndarray, least: int, similarity: float) -> tuple[int, int, int, int, float] | None:
+    """A passage as in verified() among some likely stretches: the best scoring ones of a with what b has at about the same distance."""
     for gain in (0.11, 0.05, 0.2):
-        total = np.r_[0, np.where(hit, gain, gain - 1).cumsum()]
+        total = np.zeros(len(hit) + 1)
+        np.where(hit, gain, gain - 1).cumsum(out=total[1:])
         e = int((total - np.minimum.accumulate(total)).argmax())
         s = int(total[: e + 1].argmin())
         if e - s < least:
@@ -237,29 +243,39 @@ def likely(a: np.ndarray, b: np.ndarray, place: np.ndarray, least: int, similari
         if u - t < least:
             t = max(0, min(t, len(b) - least))
             u = min(len(b), max(u, t + least))
-        if u - t >= least and (j := jaccard(a[s:e], b[t:u])) >= similarity:
-            return s, e + WIDTH - 1, t, u + WIDTH - 1, j
+        own, other = set(a[s:e].tolist()), set(b[t:u].tolist())
+        n = len(own & other)
+        if u - t >= least and n >= similarity * (len(own) + len(other) - n):
+            return s, e + WIDTH - 1, t, u + WIDTH - 1, n / (len(own) + len(other) - n)
     return None
 
 
 def verified(a: np.ndarray, b: np.ndarray, min_words: int, similarity: float) -> tuple[int, int, int, int, float] | None:
     """A long passage of a that b repeats: (start, end) in words of both and the Jaccard similarity of their tokens.
 
-    Both have at least ``min_words`` words. It is the longest of those that lie in b as their
-    borders do; only if there is none are all stretches of both held against each other, so
-    that a pair is refused only if no two stretches are similar enough.
+    Both have at least ``min_words`` words. Likely stretches are tried first (the whole
+    texts, those of dense hits), then all: a pair is refused only if no two stretches are
+    similar enough.
     """
     least = min_words - WIDTH + 1
     if min(len(a), len(b)) < least:
         return None
-    order = np.argsort(b, kind="stable")
-    place = np.searchsorted(b[order], a)
-    place[place == len(b)] = 0
-    hit = b[order[place]] == a
-    if hit.sum() < similarity * similarity * least or not can_be(a, b, hit, least, similarity):
-        return None  # many candidates end here
-    if found := likely(a, b, np.where(hit, order[place], -1), least, similarity):
-        return found  # and most others here
+    hit, new, place = sides(a, b)
+    if hit.sum() < similarity * similarity * least:
+        return None
+    back, fresh, _ = sides(b, a)
+    shared = int((hit & new).sum())
+    j = shared / (int(new.sum()) + int(fresh.sum()) - shared)
+    if j >= similarity:
+        return 0, len(a) + WIDTH - 1, 0, len(b) + WIDTH - 1, j
+    if found := likely(a, b, hit, place, least, similarity):
+        return found
+    return searched(a, b, min_words, similarity) if can_be((hit, new), (back, fresh), least, similarity) else None
+
+
+def searched(a: np.ndarray, b: np.ndarray, min_words: int, similarity: float) -> tuple[int, int, int, int, float] | None:
+    """The same among all stretches: the longest of those that lie in b as their borders do; only if there is none are all stretches of both held against each other."""
+    least = min_words - WIDTH + 1
     values, both = np.unique(np.r_[a, b], return_inverse=True)
     x, y, top = both[: len(a)], both[len(a) :], len(values)
 
@@ -440,7 +456,7 @@ def close_stretches(rest: DataFrame, partners: int | None, texts: DataFrame, lea
 def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: float = 0.8, hashes: int = 4) -> DataFrame:
     """Verified links (a, b) between texts ``docs(doc_id, text_hash, text)``, each with its passage; ``reps(text_hash, doc_id)`` names one document of each text."""
     least = min_words - WIDTH + 1
-    near = stored(linking.shared(windows(docs, min_words, hashes)).distinct())  # equal texts have equal windows
+    near = stored(linking.shared(stored(windows(docs, min_words, hashes))).distinct())  # equal texts have equal windows
     members = stored(linking.shared(signatures(near, least).groupBy("key", "node").agg(F.min("at").alias("at"))))
     need = members.select(F.col("node").alias("text_hash")).distinct().join(reps, "text_hash")
     texts = stored(packed_texts(docs).join(need, ["text_hash", "doc_id"]).dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("node"), "packed"))

@@ -131,6 +131,33 @@ def test_near_passage(spark):
     assert got[3]["passage_start"] is None
 
 
+def test_recall_of_near_passages(spark):
+    """Planted passages of 50 to 200 words with one to four words changed: of the pairs whose passages have a similarity of 0.8 or more nearly all are linked, and no pair of other texts."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    rows, near = [], []
+    for k in range(200):
+        shared = [word() for _ in range(rng.choice([50, 60, 80, 100, 150, 200]))]
+        edited = list(shared)
+        for i in rng.sample(range(len(edited)), rng.randint(1, 4)):
+            edited[i] = word()
+        a, b = (set(zip(*(v[i:] for i in range(5)), strict=False)) for v in (shared, edited))
+        near += [k] * (len(a & b) >= 0.8 * len(a | b))
+        rows += [(2 * k + side, " ".join([word() for _ in range(rng.randint(0, 120))] + x + [word() for _ in range(rng.randint(0, 120))])) for side, x in enumerate((shared, edited))]
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) >= 60
+    assert sum(got[2 * k + 1] == 2 * k for k in near) >= 0.95 * len(near)
+    assert all(c in (i, i - 1) for i, c in got.items())
+
+
+def test_overlaps():
+    rng = random.Random(22)
+    sets = [np.unique(np.array(rng.choices(range(60), k=rng.randint(0, 20)), np.uint32)) for _ in range(90)]
+    want = [[len(set(x.tolist()) & set(y.tolist())) if i != j else None for j, y in enumerate(sets)] for i, x in enumerate(sets)]
+    got = passages.overlaps(sets, often=12)
+    assert all(want[i][j] is None or got[i, j] == want[i][j] for i in range(90) for j in range(90))
+
+
 def brute_passage(a, b, least, similarity):
     """Whether any two stretches of at least ``least`` tokens are similar enough, all of them tried."""
     at = {v: i for i, v in enumerate(sorted({*a.tolist(), *b.tolist()}))}
