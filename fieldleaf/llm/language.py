@@ -55,7 +55,7 @@ def vectors(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_lang: int = 500, clusters: int = 4, reject_quantile: float = 0.001, rounds: int = 12) -> Model:
-    """Learns from ``labelled(doc_id, text, lang)``: document frequencies over all its rows, centroids from about ``per_lang`` rows of each language, chosen by a hash of doc_id (twice that at most)."""
+    """Learns from ``labelled(doc_id, text, lang)``: document frequencies over all its rows, centroids from about ``per_lang`` rows of each language, chosen by a hash of the row; repeated rows count once."""
     known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,6 +84,28 @@ def test_language(spark, sf):
     assert told[1005] != "und"
 
 
+def test_nearest_centroid(spark, sf):
+    """Each prediction against cosines told one by one, ties to the first language; a text far from its centroid isn't accepted."""
+    df = documents(spark, sf)
+    model = language.fit(df.where(~language.held_out()))
+    rows = [r for r in language.predict(df.where("doc_id < 60"), model).collect() if r["lang_pred"] != "und"]
+    own = texts(spark, sf)
+    for r in rows:
+        n = language.counts(own[r["doc_id"]])
+        v = {i: (1 + np.log(n[i])) * model.idf[i] for i in np.flatnonzero(n).tolist()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        near = defaultdict(lambda: -1.0)
+        for k, c in zip(model.owner.tolist(), model.centroids, strict=True):
+            near[k] = max(near[k], sum(x * c[i] for i, x in v.items()) / size)
+        best = max(near.values())
+        assert near[model.langs.index(r["lang_pred"])] >= best - 1e-5
+        assert r["cosine"] == pytest.approx(best, abs=1e-4)
+        assert r["accepted"] == (r["cosine"] >= model.floor[model.langs.index(r["lang_pred"])])
+        assert r["score"] == pytest.approx(1 / sum(np.exp(20 * (x - best)) for x in near.values()), abs=1e-2)
+    strange = language.predict(spark.createDataFrame([(1, "zzzz qqqq xxxx jjjj " * 20)], "doc_id long, text string"), model).first()
+    assert not strange["accepted"]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(1)
     for n, least in ((30, 5), (1, 1), (4, 5), (60, 8)):
@@ -342,6 +364,9 @@ def test_decontamination_recall(spark, sf, share):
     exact = {(i, k) for i, x in texts(spark, sf).items() for k, y in bench if " ".join(y.lower().split()) in " ".join(x.lower().split())}
     found = decontaminate.contaminated(documents(spark, sf), items).collect()
     assert exact <= {(r["doc_id"], r["item_id"]) for r in found}
+    dirty = {r["doc_id"] for r in found}
+    kept = decontaminate.clean(documents(spark, sf), items).collect()
+    assert {r["doc_id"] for r in kept} == set(texts(spark, sf)) - dirty and {r["doc_id"]: r["text"] for r in kept}.items() <= texts(spark, sf).items()
     for r in found:  # the distance told is that of the words told
         words = " ".join(texts(spark, sf)[r["doc_id"]].lower().split()[r["start_word"] : r["end_word"]])
         assert decontaminate.edit_distance(words, " ".join(dict(bench)[r["item_id"]].lower().split())) == r["distance"]
