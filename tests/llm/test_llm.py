@@ -22,7 +22,7 @@ ODD = [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "word"), (1003, "word")
 def odd(spark):
     """Nulls, empty and very long texts, repeated rows, and columns named like the operators' own."""
     df = spark.createDataFrame(ODD, "doc_id long, text string").repartition(2)
-    names = ["score", "fp", "block", "lines", "later", "pairs", "row", "text_hash", "key", "a", "b", "lang", "source", "n_chars", "hub", "kept_text"]
+    names = ["score", "fp", "block", "lines", "later", "pairs", "row", "text_hash", "key", "a", "b", "lang", "source", "n_chars", "hub", "kept_text", "toxic", "held_out", "n", "rep", "h1", "h2", "anchor", "class_id", "component", "node", "label", "starts", "line", "gone", "media", "tiles", "secret", "token"]
     return df.withColumns({n: F.lit(None).cast("long" if n in ("n_chars", "score") else "string") for n in names})
 
 
