@@ -34,7 +34,7 @@ from fieldleaf.llm.passages import min_hash, tokens, unpacked
 
 SEED = 42
 CHUNK = 8192
-WIDE = 128  # bits of the fingerprints for similarities
+WIDE = 192  # bits of the fingerprints for similarities
 PIVOTS = 16
 
 
@@ -208,13 +208,18 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def sampled_keys(fps: DataFrame, texts: int, similarity: float, recall: float, seed: int = 11) -> DataFrame:
-    """``fps(node, f0, f1, ...)`` once for each of the keys of sampled bits: as many bits as make buckets of about one chance member, as many keys as find a pair at ``similarity`` with probability ``recall``."""
+def key_places(texts: int, similarity: float, recall: float, seed: int = 11) -> np.ndarray:
+    """The bits of each key, key x place: as many as make buckets of about one chance member, and as many keys as find a pair at ``similarity`` with probability ``recall``."""
     bits = max(12, math.ceil(math.log2(max(2, texts))))
     keys = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing(similarity)) ** bits))
     rng = np.random.default_rng(seed)
-    places = np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(keys)])
-    names = [n for n in fps.columns]
+    return np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(keys)])
+
+
+def sampled_keys(fps: DataFrame, places: np.ndarray) -> DataFrame:
+    """``fps(node, f0, f1, ...)`` once for each key, with the key's number above its bits."""
+    keys, bits = places.shape
+    names = list(fps.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,24 +239,39 @@ def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, b
 
     In a bucket a member is only told of with the first one near it that none was told of
     with, so that a bucket gives fewer pairs than it has members; where labels are given
-    (not the node itself) every near pair of different labels is told.
+    (not the node itself) every near pair of different labels is told. A pair that meets in
+    several buckets is told in the first of them only.
     """
     expected = differing(similarity) * WIDE
-    radius = int(expected + 3 * math.sqrt(expected * (1 - differing(similarity))))
+    radius = int(expected + 2 * math.sqrt(expected * (1 - differing(similarity))))
     pivots = np.random.default_rng(12).integers(0, 1 << 63, (PIVOTS, WIDE // 64), dtype=np.int64).astype(np.uint64) * np.uint64(2)
-    keyed = sampled_keys(fps, texts, similarity, recall)
+    places = key_places(texts, similarity, recall)
+    bits = places.shape[1]
+    ones = np.zeros((len(places), WIDE), np.uint8)
+    np.put_along_axis(ones, places, 1, axis=1)
+    masks_of = np.packbits(ones, axis=1, bitorder="little").view(np.uint64)
+    keyed = sampled_keys(fps, places)
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts"))
     rest = cells(keyed.join(hot, "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))).drop("cuts")
 
     def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
+    def met_before(x: np.ndarray, key: np.ndarray, rows: int = 1024) -> np.ndarray:
+        """Whether fingerprints that differ in the bits ``x`` are in one bucket of an earlier key."""
+        out = np.zeros(len(x), bool)
+        for at in range(0, len(x), rows):
+            same = ((x[at : at + rows, None] & masks_of[None]) == 0).all(axis=2)
+            out[at : at + rows] = same.argmax(axis=1) < key[at : at + rows]
+        return out
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["key", "cell"]):
             node, label = frame["node"].to_numpy(), frame["label"].to_numpy()
             fp = frame[[f"f{k}" for k in range(WIDE // 64)]].to_numpy().view(np.uint64)
             table = np.stack([apart(fp, p) for p in pivots], axis=1)
             key = frame[["key", "cell"]].to_numpy()
+            number = key[:, 0] >> bits
             edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
             sizes = np.diff(edges)
             out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -260,6 +280,10 @@ def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, b
                 keep = (label[i] != label[j]) & (np.abs(table[i] - table[j]).max(axis=1, initial=0) <= radius)
                 i, j = i[keep], j[keep]
                 keep = apart(fp[i], fp[j]) <= radius
+                tell(i[keep], j[keep])
+
+            def tell(i: np.ndarray, j: np.ndarray) -> None:
+                keep = ~met_before(fp[i] ^ fp[j], number[i])
                 out.append((node[i[keep]], node[j[keep]]))
 
             twos = edges[:-1][sizes == 2]
@@ -274,7 +298,7 @@ def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, b
                     hub, left = left[0], left[1:]
                     i = left[np.abs(table[left] - table[hub]).max(axis=1) <= radius]
                     i = i[apart(fp[i], fp[hub]) <= radius]
-                    out.append((np.full(len(i), node[hub]), node[i]))
+                    tell(np.full(len(i), hub), i)
                     left = np.setdiff1d(left, i, assume_unique=True)
             a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in (0, 1))
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
