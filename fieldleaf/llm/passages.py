@@ -432,11 +432,13 @@ def close_stretches(rest: DataFrame, partners: int | None, texts: DataFrame, lea
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(frames, ["key", "cell"]):
             out: list[tuple[np.ndarray, np.ndarray]] = []
-            for _, f in frame.groupby(["key", "cell"], sort=False):
-                node, label = f["node"].to_numpy(), f["label"].to_numpy()
+            group, nodes, labels, told = frame[["key", "cell"]].to_numpy(), frame["node"].to_numpy(), frame["label"].to_numpy(), frame["tokens"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1), True])
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                node, label = nodes[s:e], labels[s:e]
                 if (label == label[0]).all():
                     continue
-                own = [np.frombuffer(t, np.uint32) for t in f["tokens"]]
+                own = [np.frombuffer(t, np.uint32) for t in told[s:e]]
                 n = overlaps([np.unique(x) for x in own])
                 n[(n < need) | (label[:, None] == label[None, :])] = 0
                 if partners and partners < len(n):
