@@ -187,7 +187,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) for ``encoded(doc_id, ids)``: the pieces of the ids joined by a space, as this tokenizer decodes.
 
     A join with the table of pieces by id, one row of which is looked up for each id; an id
-    outside the vocabulary and a null list give no piece.
+    outside the vocabulary and a null list give no piece. Repeated rows each give their row;
+    an empty table gives an empty result.
     """
     listed = F.broadcast(encoded.sparkSession.createDataFrame(list(enumerate(pieces(path))), "id int, piece string"))  # bounded: the vocabulary
     keyed = encoded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids").select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))

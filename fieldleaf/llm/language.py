@@ -102,7 +102,8 @@ def predict(docs: DataFrame, model: Model, sharpness: float = 20.0) -> DataFrame
     """(doc_id, lang_pred, score, cosine, accepted) for every whole text.
 
     ``und`` with score 0 for a null text and one without any letter (and for all texts if
-    nothing was learnt). Repeated rows each give their row; an empty table gives an empty
+    nothing was learnt). Of equally near languages the first by name is told. Repeated rows
+    each give their row; an empty table gives an empty
     result; lang, source and other columns are never read.
     """
 
