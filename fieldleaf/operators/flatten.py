@@ -39,14 +39,15 @@ def completions(answers: DataFrame) -> DataFrame:
     failed is no_completion (no object, or no choices in it), malformed_choice, no_text or
     null; a choice without text says its reason, other answers an empty one.
     """
-    whole = F.try_parse_json("answer")
-    choices, first = (F.try_variant_get(whole, path, "variant") for path in ("$.choices", "$.choices[0]"))
-    message = F.try_variant_get(first, "$.message.content", "variant")
-    is_a = lambda x, kind: F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
-    text = F.when(is_a(message, "STRING"), F.try_variant_get(message, "$", "string"))
-    failed = F.when(~is_a(whole, "OBJECT") | ~is_a(choices, "ARRAY") | first.isNull(), "no_completion").when(~is_a(first, "OBJECT"), "malformed_choice").when(F.coalesce(strip(text), F.lit("")) == "", "no_text")
-    reason = F.coalesce(F.nullif(F.try_variant_get(first, "$.finish_reason", "string"), F.lit("")), F.lit("no reason given"))
-    return answers.withColumns({"body": text, "failed": failed, "finish_reason": F.when(failed == "no_text", reason).otherwise("")}).drop("answer")
+    is_a = lambda c, kind: F.coalesce(F.schema_of_variant(c).startswith(kind), F.lit(False))
+    read = answers.withColumn("whole", F.try_parse_json("answer"))  # step by step, so that nothing is parsed twice
+    read = read.withColumns({"choices": F.try_variant_get("whole", "$.choices", "variant"), "first": F.try_variant_get("whole", "$.choices[0]", "variant")})
+    read = read.withColumns({"message": F.try_variant_get("first", "$.message.content", "variant"), "reason": F.try_variant_get("first", "$.finish_reason", "string")})
+    read = read.withColumn("body", F.when(is_a("message", "STRING"), F.try_variant_get("message", "$", "string")))
+    failed = F.when(~is_a("whole", "OBJECT") | ~is_a("choices", "ARRAY") | F.col("first").isNull(), "no_completion").when(~is_a("first", "OBJECT"), "malformed_choice").when(F.coalesce(strip(F.col("body")), F.lit("")) == "", "no_text")
+    read = read.withColumn("failed", failed)
+    reason = F.when(F.col("failed") == "no_text", F.coalesce(F.nullif("reason", F.lit("")), F.lit("no reason given"))).otherwise("")
+    return read.withColumn("finish_reason", reason).select(*[c for c in answers.columns if c != "answer"], "body", "failed", "finish_reason")
 
 
 def envelopes(responses: DataFrame) -> DataFrame:

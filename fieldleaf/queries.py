@@ -89,7 +89,10 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_answers(spark: SparkSession, d: str) -> DataFrame:
-    return flatten.envelopes(flatten.completions(answers(spark, d)))
+    """The answers as they arrive, in files, with status, page and rows."""
+    path = shared_path(spark)
+    answers(spark, d).write.parquet(path)
+    return flatten.envelopes(flatten.completions(spark.read.schema("page_id long, answer string").parquet(path)))
 
 
 def page_reports(batch: DataFrame) -> DataFrame:
