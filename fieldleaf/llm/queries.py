@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldleaf.llm import bpe, decontaminate, language, lines, media, passages, secrets, simhash, substrings, toxicity
+from fieldleaf.llm import bpe, collocations, decontaminate, language, lines, media, passages, secrets, simhash, substrings, toxicity
 from fieldleaf.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_passages, op3_bpe, op4_media, op5_substrings, op6_decontaminate, op7_secrets, op8_toxicity, op9_lines, op10_simhash)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {"op9_lines": lines.SQL}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_passages, op3_bpe, op4_media, op5_substrings, op6_decontaminate, op7_secrets, op8_toxicity, op9_lines, op10_simhash, op13_collocations)}
+
+ORACLES: dict[str, str] = {"op9_lines": lines.SQL, "op13_collocations": collocations.SQL}
