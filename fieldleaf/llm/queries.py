@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldleaf.llm import alignment, bpe, collocations, decontaminate, language, lines, media, passages, secrets, simhash, substrings, toxicity
+from fieldleaf.llm import alignment, bpe, collocations, decontaminate, language, lines, media, passages, personal, secrets, simhash, substrings, toxicity
 from fieldleaf.llm.common import table
 
 
@@ -69,10 +69,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), *token_files())
 
 
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal.find_personal(docs, personal.fit(personal.labelled(docs)))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_passages, op3_bpe, op4_media, op5_substrings, op6_decontaminate, op7_secrets, op8_toxicity, op9_lines, op10_simhash, op11_alignment, op13_collocations)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language, op2_passages, op3_bpe, op4_media, op5_substrings, op6_decontaminate, op7_secrets, op8_toxicity, op9_lines, op10_simhash, op11_alignment, op12_personal, op13_collocations)}
 
 ORACLES: dict[str, str] = {"op9_lines": lines.SQL, "op13_collocations": collocations.SQL}
