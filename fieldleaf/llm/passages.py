@@ -459,7 +459,7 @@ def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: flo
     """Verified links (a, b) between texts ``docs(doc_id, text_hash, text)``, each with its passage; ``reps(text_hash, doc_id)`` names one document of each text."""
     least = min_words - WIDTH + 1
     near = stored(linking.shared(stored(windows(docs, min_words, hashes))).distinct())  # equal texts have equal windows
-    members = stored(linking.shared(signatures(near, least).groupBy("key", "node").agg(F.min("at").alias("at"))))
+    members = stored(linking.shared(signatures(near, least).select("key", "node", "at").distinct()))
     need = members.select(F.col("node").alias("text_hash")).distinct().join(reps, "text_hash")
     texts = stored(packed_texts(docs).join(need, ["text_hash", "doc_id"]).dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("node"), "packed"))
     return linking.links(members, lambda pairs: verify(pairs, texts, min_words, similarity), lambda rest, partners: close_stretches(rest, partners, texts, least, similarity))

@@ -36,6 +36,7 @@ SEED = 42
 CHUNK = 8192
 WIDE = 192  # bits of the fingerprints for similarities
 PIVOTS = 16
+BEST = 2  # partners that each member is tried with before all that are left
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -234,13 +235,14 @@ def sampled_keys(fps: DataFrame, places: np.ndarray) -> DataFrame:
     return fps.mapInArrow(run, "key long, " + ", ".join(f"{n} long" for n in names))
 
 
-def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, bucket_rows: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of ``fps(node, label, f0, f1, ...)`` that meet in a bucket and have different labels and near fingerprints.
+def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, bucket_rows: int, told: str) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of ``fps(node, label, f0, f1, ...)`` that meet in a bucket and have near fingerprints and, unless ``told`` is hubs, different labels.
 
-    In a bucket a member is only told of with the first one near it that none was told of
-    with, so that a bucket gives fewer pairs than it has members; where labels are given
-    (not the node itself) every near pair of different labels is told. A pair that meets in
-    several buckets is told in the first of them only.
+    ``told`` says which of a bucket's pairs: ``hubs`` takes members in turn that are near no
+    earlier hub, and each with all that are near it, so that every member with a partner is
+    told of while a bucket of copies gives fewer pairs than it has members; ``best`` takes
+    each member's ``BEST`` nearest partners; ``all`` takes all, each in the first bucket that
+    it meets in.
     """
     expected = differing(similarity) * WIDE
     radius = int(expected + 2 * math.sqrt(expected * (1 - differing(similarity))))
@@ -276,30 +278,34 @@ def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, b
             sizes = np.diff(edges)
             out: list[tuple[np.ndarray, np.ndarray]] = []
 
-            def near(i: np.ndarray, j: np.ndarray) -> None:
-                keep = (label[i] != label[j]) & (np.abs(table[i] - table[j]).max(axis=1, initial=0) <= radius)
+            def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                keep = np.abs(table[i] - table[j]).max(axis=1, initial=0) <= radius
+                keep &= (label[i] != label[j]) | (told == "hubs")
                 i, j = i[keep], j[keep]
-                keep = apart(fp[i], fp[j]) <= radius
-                tell(i[keep], j[keep])
+                d = apart(fp[i], fp[j])
+                return i[d <= radius], j[d <= radius], d[d <= radius]
 
             def tell(i: np.ndarray, j: np.ndarray) -> None:
-                keep = ~met_before(fp[i] ^ fp[j], number[i])
-                out.append((node[i[keep]], node[j[keep]]))
+                if told == "all":
+                    keep = ~met_before(fp[i] ^ fp[j], number[i])
+                    i, j = i[keep], j[keep]
+                out.append((node[i], node[j]))
 
             twos = edges[:-1][sizes == 2]
-            near(twos, twos + 1)
+            tell(*close(twos, twos + 1)[:2])
             for s, e in zip(edges[:-1][sizes > 2].tolist(), edges[1:][sizes > 2].tolist(), strict=True):
-                if (label[s:e] != node[s:e]).any():
-                    for i in range(s, e - 1):
-                        near(np.full(e - i - 1, i), np.arange(i + 1, e))
-                    continue
-                left = np.arange(s, e)
-                while len(left) > 1:
-                    hub, left = left[0], left[1:]
-                    i = left[np.abs(table[left] - table[hub]).max(axis=1) <= radius]
-                    i = i[apart(fp[i], fp[hub]) <= radius]
-                    tell(np.full(len(i), hub), i)
-                    left = np.setdiff1d(left, i, assume_unique=True)
+                if told == "hubs":
+                    free = np.ones(e - s, bool)
+                    while free.any():
+                        hub = s + int(free.argmax())
+                        _, j, _ = close(np.full(e - s, hub), np.arange(s, e))
+                        free[j - s] = free[hub - s] = False
+                        tell(np.full(len(j) - 1, hub), j[j != hub])
+                elif (label[s:e] != label[s]).any():
+                    for i in range(s, e):
+                        own, j, d = close(np.full(e - s, i), np.arange(s, e))
+                        first = np.argsort(d, kind="stable")[:BEST] if told == "best" else np.flatnonzero(j > i)
+                        tell(own[first], j[first])
             a, b = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in (0, 1))
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
@@ -329,8 +335,10 @@ def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8, rec
     """(node, component) of the texts ``texts(node, text)`` that have a near-duplicate: Jaccard similarity of their shingles of ``similarity`` or more.
 
     Fingerprints of ``WIDE`` bits meet in buckets of sampled bits, pivots and the Hamming
-    distance choose pairs there, and the texts decide. A second pass looks for links between
-    the components of the first.
+    distance choose pairs there, and the texts decide. The first pass tells every text that
+    has a near one in some bucket; the second tries each of those with its nearest partners
+    in other components, the last with all that are left there, so that no link is lost
+    behind a text that is near both its ends and like neither.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,14 +352,16 @@ def similar_texts(texts: DataFrame, width: int = 5, similarity: float = 0.8, rec
     made = stored(texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"{w} long" for w in words) + ", packed binary"))
     n = made.count()
     fps = made.select("node", F.col("node").alias("label"), *words)
-    first = stored(bucket_pairs(fps, n, similarity, recall, bucket_rows))
-    held = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
-    kept = stored(made.select("node", "packed").join(held, "node"))
-    found = stored(similar_enough(first, kept, width, similarity))
-    label = components(found)
-    again = made.select("node", *words).join(held, "node").join(label, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *words)
-    second = stored(bucket_pairs(again, n, similarity, recall, bucket_rows).join(first, ["a", "b"], "left_anti"))
-    return components(found.unionByName(stored(similar_enough(second, kept, width, similarity))))
+    tried = stored(bucket_pairs(fps, n, similarity, recall, bucket_rows, "hubs"))
+    held = stored(tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct())
+    kept = stored(made.join(held, "node"))
+    texts_of = kept.select("node", "packed")
+    found = stored(similar_enough(tried, texts_of, width, similarity))
+    for told in ("best", "all"):
+        own = kept.select("node", *words).join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("label"), *words)
+        fresh = stored(bucket_pairs(own, n, similarity, recall, bucket_rows, told).join(tried, ["a", "b"], "left_anti"))
+        found, tried = found.unionByName(stored(similar_enough(fresh, texts_of, width, similarity))), tried.unionByName(fresh)
+    return components(found)
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -529,6 +529,48 @@ def test_near_duplicate_stage(spark, sf):
     assert got == {i for i, _ in rows} - near | {1000, None}
 
 
+def test_links_behind_other_texts(spark):
+    """Two near-duplicates behind a text that is near both and like neither, and chains of versions of which only neighbours are alike."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+
+    def edited(x, places):
+        return [word() if i in places else w for i, w in enumerate(x)]
+
+    rows, gone = [], set()
+    for k in range(150):
+        x = [word() for _ in range(300)]
+        spots = rng.sample(range(5, 295, 6), 10)
+        rows += [(3 * k, " ".join(edited(x, spots[:5]))), (3 * k + 1, " ".join(edited(x, spots[5:7]))), (3 * k + 2, " ".join(edited(x, spots[7:])))]
+        gone.add(3 * k + 2)
+    for k in range(30):
+        x = [word() for _ in range(300)]
+        places = rng.sample(range(5, 295, 6), 36)
+        order = rng.sample(range(10), 10)
+        for at in range(10):
+            rows.append((1000 + 10 * k + order[at], " ".join(x)))
+            x = edited(x, places[4 * at : 4 * at + 4])
+        gone.update(range(1000 + 10 * k + 1, 1000 + 10 * k + 10))
+    got = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not {i for i, _ in rows} - gone - got
+    assert len(gone & got) <= 0.05 * len(gone)
+
+
+def test_repeated_phrases(spark):
+    """Passages of exactly 50 words whose core also stands earlier in both texts and in others."""
+    rng = random.Random(14)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    rows = []
+    for k in range(20):
+        passage = words(50)
+        core = passage[13:37]
+        rows += [(20 * k + side, " ".join(words(60) + core + words(80) + passage + words(60))) for side in range(2)]
+        rows += [(20 * k + 2 + other, " ".join(words(40) + core + words(40))) for other in range(8)]
+    got = {r["doc_id"]: r["class_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in range(20) if got[20 * k + 1] != 20 * k] == []
+    assert all(got[i] == i for i, _ in rows if i % 20 != 1)
+
+
 def test_simhash(spark, sf):
     got = simhash.near_duplicates(documents(spark, sf)).collect()
     own = texts(spark, sf)
