@@ -334,8 +334,10 @@ def labelled(docs: DataFrame, rows: int = 600, words: int = 24, seed: int = 7) -
     plain, are set into them at random places, up to four to a run. All other words count as outside, those of the
     base patterns too, as their spans are found already.
     """
-    at = F.pmod(F.xxhash64("text"), F.greatest(F.size("w") - words, F.lit(0)) + 1)
-    cut = docs.where("text is not null").select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(rows).withColumn("w", F.split("text", r"\s+")).select(F.slice("w", at.cast("int") + 1, words).alias("w"))
+    own = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text")
+    chosen = own.select("h").distinct().orderBy("h").limit(rows)  # only hashes are shuffled
+    at = F.pmod("h", F.greatest(F.size("w") - words, F.lit(0)) + 1)
+    cut = own.join(F.broadcast(chosen), "h").withColumn("w", F.split("text", r"\s+")).select("h", F.slice("w", at.cast("int") + 1, words).alias("w")).dropDuplicates(["h"])
     rng, out = random.Random(seed), []
     for i, r in enumerate(cut.orderBy("w").collect()):  # bounded: ``rows`` runs
         told = [w for w in r["w"] if w and not w.isspace()]
