@@ -21,9 +21,9 @@ def agreement(compared: DataFrame, *by: str) -> DataFrame:
     return compared.groupBy(*by).agg(F.count("*").alias("cells"), n("equal").alias("equal_cells"), n("differing").alias("differing"), n("only_left").alias("only_left"), n("only_right").alias("only_right"), (n("equal") / F.count("*")).alias("rate"))
 
 
-def models(log: DataFrame) -> DataFrame:
-    """Runs, seconds, tokens and thinking share of each model, and how much slower it is than the fastest on average."""
-    by = log.groupBy("model").agg(F.count("*").alias("runs"), F.min("seconds").alias("least_s"), F.avg("seconds").alias("mean_s"), F.max("seconds").alias("most_s"), F.sum("output_tokens").alias("output_tokens"), F.sum("thought_tokens").alias("thought_tokens"))
+def models(log: DataFrame, scores: DataFrame) -> DataFrame:
+    """Runs, seconds, tokens, thinking share and mean score (of the pages that its runs read, ``scores`` (page_id, score)) of each model, and how much slower it is than the fastest on average."""
+    by = log.join(scores, "page_id", "left").groupBy("model").agg(F.avg("score").alias("mean_score"), F.count("*").alias("runs"), F.min("seconds").alias("least_s"), F.avg("seconds").alias("mean_s"), F.max("seconds").alias("most_s"), F.sum("output_tokens").alias("output_tokens"), F.sum("thought_tokens").alias("thought_tokens"))
     fastest = by.agg(F.min("mean_s").alias("fastest"))  # one row
     return by.join(F.broadcast(fastest), F.lit(True)).withColumns({"thinking_share": F.col("thought_tokens") / F.col("output_tokens"), "slowdown": F.col("mean_s") / F.col("fastest")}).drop("fastest")
 

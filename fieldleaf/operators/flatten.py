@@ -136,22 +136,93 @@ def long_cells(rows: DataFrame) -> DataFrame:
     return rows.select("page_id", "row_no", "position", F.explode(F.filter(cells, lambda c: c["text"] != "")).alias("c")).select("page_id", "row_no", "position", "c.ord", "c.field", "c.text")
 
 
-def unsure_flags(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Flags (page_id, row_no, field) and notes (page_id, row_no, k, name, note) from each row's ``unsure``, a VARIANT: only names of the sheet's columns are flags.
+def read_unsure(unsure: Column) -> Column:
+    """struct(flags array<string>, odd array<struct<k, name, note>>) of a row's ``unsure``, a VARIANT, without exploding it: only names of the sheet's columns are flags.
 
     What stands for nothing (null, false, 0, a blank string, an empty list or object) says
-    nothing; anything else that isn't a list is a note, and so is each entry that isn't a
-    string or names no column.
+    nothing; anything else that isn't a list is odd, and so is each entry that isn't a string
+    or names no column. A string's name is the string, anything else's its JSON text.
     """
-    kind = F.schema_of_variant("unsure")
-    nothing = kind.isNull() | kind.isin("VOID", "OBJECT<>") | F.to_json("unsure").isin("false", "0", '""', "[]")
-    told = rows.where(~nothing).select("page_id", "row_no", "unsure", kind.startswith("ARRAY").alias("is_list"))
-    each = told.select("page_id", "row_no", "is_list", "unsure", F.posexplode_outer(F.when(F.col("is_list"), F.col("unsure").cast("array<variant>"))).alias("k", "e"))
-    name = F.when(F.schema_of_variant("e") == "STRING", F.try_variant_get("e", "$", "string"))
-    each = each.withColumns({"name": name, "known": F.col("is_list") & F.coalesce(name.isin(defs.FIELDS), F.lit(False))})
-    note = F.when(F.col("is_list"), "names no column").otherwise("not a list")
-    notes = each.where(~F.col("known")).select("page_id", "row_no", F.coalesce("k", F.lit(0)).alias("k"), F.coalesce("name", F.to_json(F.coalesce("e", "unsure"))).alias("name"), note.alias("note"))
-    return each.where("known").select("page_id", "row_no", F.col("name").alias("field")).distinct(), notes
+    kind = F.schema_of_variant(unsure)
+    nothing = F.coalesce(kind, F.lit("VOID")).isin("VOID", "OBJECT<>") | F.to_json(unsure).isin("false", "0", '""', "[]")
+    string = lambda e: F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string"))
+    known = lambda e: F.coalesce(string(e).isin(defs.FIELDS), F.lit(False))
+    told = lambda k, name, note: F.struct(k.cast("int").alias("k"), name.alias("name"), F.lit(note).alias("note"))
+    each = F.when(~nothing & kind.startswith("ARRAY"), unsure.cast("array<variant>"))
+    odd = F.filter(F.transform(each, lambda e, k: F.when(~known(e), told(k, F.coalesce(string(e), F.to_json(e), F.lit("null")), "names no column"))), lambda x: x.isNotNull())
+    flags = F.array_distinct(F.transform(F.filter(each, known), string))
+    no_list = F.array(told(F.lit(0), F.to_json(unsure), "not a list"))
+    return F.struct(
+        F.coalesce(flags, F.array().cast("array<string>")).alias("flags"),
+        F.when(nothing, F.slice(no_list, 1, 0)).otherwise(F.coalesce(odd, no_list)).alias("odd"),
+    )
+
+
+def unsure_flags(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Flags (page_id, row_no, field) and notes (page_id, row_no, k, name, note) from each row's ``unsure``, as ``read_unsure`` reads it."""
+    read = rows.select("page_id", "row_no", read_unsure(F.col("unsure")).alias("u"))
+    flags = read.select("page_id", "row_no", F.explode("u.flags").alias("field"))
+    return flags, read.select("page_id", "row_no", F.explode("u.odd").alias("o")).select("page_id", "row_no", "o.*")
+
+
+def note(position: Column, k: Column | int, kind: Column | str, said: Column) -> Column:
+    """What was odd about an answer, by the place at which it is told: the entry's position, and k among those of one entry."""
+    of = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(position, of(k), of(kind), said).cast(ONE_NOTE)
+
+
+ONE_NOTE = "struct<position: int, k: int, kind: string, said: string>"
+NOTE = f"array<{ONE_NOTE}>"
+
+
+def quoted(x: Column) -> Column:
+    return F.concat(F.lit("'"), x, F.lit("'"))
+
+
+def noted_entries(placed: DataFrame) -> DataFrame:
+    """``numbered`` entries with flags (array<string>), notes, and late_notes, which only count for an entry that keeps its number.
+
+    ``unsure`` (VARIANT) and ``odd`` (the JSON text of an entry that is no object) are read
+    where they are there.
+    """
+    at = F.col("position")
+    odd = F.col("odd") if "odd" in placed.columns else F.lit(None).cast("string")
+    read = placed.withColumn("u", read_unsure(F.col("unsure")) if "unsure" in placed.columns else F.lit(None).cast("struct<flags: array<string>, odd: array<struct<k: int, name: string, note: string>>>"))
+    kind = F.when(F.col("row_no").isNotNull(), "position").when(F.col("note").startswith("dropped row "), "range").otherwise("number")
+    notes = F.array(F.when(odd.isNotNull(), note(at, 0, "not_object", F.concat(F.lit("dropped a row that is not an object: "), odd))).when(F.col("note") != "", note(at, 0, kind, F.col("note"))))
+    row = F.concat(F.lit("row "), F.col("row_no").cast("string"), F.lit(": unsure "))
+    said = lambda o: F.when(o["note"] == "not a list", F.concat(F.lit("is not a list: "), o["name"])).otherwise(F.concat(F.lit("names no column of this sheet: "), o["name"]))
+    late = F.transform("u.odd", lambda o: note(at, o["k"] + 2, F.when(o["note"] == "not a list", "unsure_list").otherwise("unsure_name"), F.concat(row, said(o))))
+    return read.withColumns({"flags": F.coalesce("u.flags", F.array().cast("array<string>")), "notes": F.filter(notes, lambda n: n.isNotNull()), "late_notes": F.coalesce(late, F.array().cast(NOTE))}).drop("u")
+
+
+def page_marks(listed: DataFrame) -> DataFrame:
+    """(page_id, marks array<struct<kind, position, row_no, mark, note>>) of ``listed`` (page_id, position, no_raw, kind, mark, odd): ``row_marks``'s rows for whole pages, by one shuffle. The first mark of a row wins."""
+    odd = F.col("odd") if "odd" in listed.columns else F.lit("")
+    whole = as_number(F.col("no_raw"))
+    first = F.when(odd != "", odd).when(whole.isNull(), "number").when(row_number_of(F.col("no_raw")).isNull(), "range").otherwise("")
+    entry = F.struct("kind", "position", F.when(odd == "", row_number_of(F.col("no_raw"))).alias("row_no"), "mark", first.alias("note"), "no_raw")
+    pages = listed.groupBy("page_id").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    earlier = lambda e: F.exists("x", lambda o: (o["kind"] == e["kind"]) & (o["row_no"] == e["row_no"]) & (o["note"] == "") & (o["position"] < e["position"]))
+    told = F.transform("x", lambda e: F.struct(e["kind"].alias("kind"), e["position"].cast("int").alias("position"), e["row_no"].alias("row_no"), e["mark"].alias("mark"), F.when((e["note"] == "") & earlier(e), "second").otherwise(e["note"]).alias("note"), e["no_raw"].alias("no_raw")))
+    return pages.select("page_id", told.alias("marks"))
+
+
+AFTER_ROWS = 1 << 30  # position of what is told after a page's entries
+
+
+def mark_notes(marks: Column) -> Column:
+    """The notes on the odd entries of ``page_marks``'s marks, place marks first; they come after all notes on rows."""
+    said = lambda m: F.concat(
+        m["kind"],
+        F.when(m["note"] == "not a list", " is not a list")
+        .when(m["note"] == "not an object", ": dropped an entry that is not an object")
+        .when(m["note"] == "number", F.concat(F.lit(": dropped a mark for "), quoted(F.coalesce(m["no_raw"], F.lit(""))), F.lit(": not a row number")))
+        .when(m["note"] == "range", F.concat(F.lit(": dropped a mark for row "), as_number(m["no_raw"]).cast("long").cast("string"), F.lit(f": the sheet has {defs.ROWS} rows")))
+        .otherwise(F.concat(F.lit(": dropped a second mark for row "), m["row_no"].cast("string"))),
+    )
+    at = lambda m: F.lit(AFTER_ROWS + 1) + F.array_position(F.array(*map(F.lit, defs.MARKS)), m["kind"]).cast("int")
+    return F.transform(F.filter(marks, lambda m: m["note"] != ""), lambda m: note(at(m), m["position"], "mark", said(m)))
 
 
 def detection_boxes(answers: DataFrame, unsure_below: float = 0.5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PNG = bytes([0x89]) + b"PNG\r\n\x1a\n"
@@ -13,6 +13,19 @@ def triage(content: Column, limit: int, magic: bytes = PNG) -> Column:
     return F.when(F.octet_length(content) > limit, 413).when(F.coalesce(F.substring(content, 1, len(magic)) == F.lit(magic), F.lit(False)), 200).otherwise(415)
 
 
+def files(spark: SparkSession, path: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The files under ``path`` of at most ``limit`` bytes, with their content, and the larger ones without: size is told by the listing, so a file that is too large is never opened. Folders named key=value give columns. Spark lists no empty files, so they give no row."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    keys = [c for c in listed.columns if c not in ("path", "modificationTime", "length", "content")]
+    return listed.where(F.col("length") <= limit).select("path", *keys, "length", "content"), listed.where(F.col("length") > limit).select("path", *keys, "length")
+
+
+def triage_files(spark: SparkSession, path: str, limit: int, magic: bytes = PNG) -> DataFrame:
+    """(path, key columns, length, status) of every file under ``path``."""
+    light, heavy = files(spark, path, limit)
+    return light.withColumn("status", triage(F.col("content"), limit, magic)).drop("content").unionByName(heavy.withColumn("status", F.lit(413)))
+
+
 def requests(asked: DataFrame, engine_models: DataFrame, engine: str) -> DataFrame:
     """``asked`` (engine, model) resolved: blanks take the defaults, and status says what is wrong.
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldleaf.functions import checks
+from fieldleaf.operators import flatten
+from fieldleaf.operators.flatten import quoted
 from fieldleaf.operators.geometry import cell_texts
 from fieldleaf.plans import defs
 
@@ -32,31 +32,51 @@ def told(wide: DataFrame) -> DataFrame:
 
 
 def page_rows(placed: DataFrame) -> DataFrame:
-    """All rows of every page from numbered entries: (page_id, row_no, position, the eleven raw columns), nulls where a row never came.
+    """All rows of every page from numbered entries: (page_id, row_no, position, the eleven raw columns, flags, notes), nulls where a row never came.
 
-    The first entry to claim a number is its row. One shuffle by page, whose partitioning
-    later page totals use again; what comes together is one page's answer.
+    The first entry to claim a number is its row. flags are the columns that its ``unsure``
+    names; the first row carries the page's notes, in the answer's order. One shuffle by
+    page, whose partitioning later page totals use again; what comes together is one page's
+    answer.
     """
-    own = F.struct("row_no", "position", *[F.col(f"`{f}`") for f in defs.FIELDS])
-    listed = placed.groupBy("page_id").agg(F.collect_list(F.when(F.col("row_no").isNotNull(), own)).alias("x"))
-    each = F.transform(F.sequence(F.lit(1), F.lit(defs.ROWS)), lambda r: F.struct(r.alias("row_no"), F.array_min(F.filter("x", lambda e: e["row_no"] == r)).alias("e")))
-    return listed.select("page_id", F.explode(each).alias("c")).select("page_id", "c.row_no", "c.e.position", *[F.col("c.e")[f].alias(f) for f in defs.FIELDS])
-
-
-def checked_rows(read: DataFrame, unsure: Callable[[int], Column]) -> DataFrame:
-    """One row for each page and row number: the eleven checked columns, the cells with what was read and why it was refused, both pairs' disagreements and the gaps. Each column is checked by its own expressions, so nothing is exploded or shuffled.
-
-    ``unsure`` gives the flag of a column by its place, counted from 1.
+    read = flatten.noted_entries(placed)
+    own = F.struct("row_no", "position", *[F.col(f"`{f}`") for f in defs.FIELDS], "flags", "notes", "late_notes")
+    listed = read.groupBy("page_id").agg(F.collect_list(own).alias("x"))
+    rows = F.transform(F.sequence(F.lit(1), F.lit(defs.ROWS)), lambda r: F.array_min(F.filter("x", lambda e: e["row_no"] == r)))
+    told = listed.select("page_id", "x", rows.alias("kept"))
+    first = lambda e: F.coalesce(F.get(F.col("kept"), e["row_no"] - 1)["position"] == e["position"], F.lit(False))
+    second = lambda e: F.array(flatten.note(e["position"], 1, "second", F.concat(F.lit("dropped a second row numbered "), e["row_no"].cast("string"))))
+    of_entry = lambda e: F.concat(e["notes"], F.when(e["row_no"].isNull(), F.array().cast(flatten.NOTE)).when(first(e), e["late_notes"]).otherwise(second(e)))
+    lacking = F.filter(F.sequence(F.lit(1), F.lit(defs.ROWS)), lambda r: F.get(F.col("kept"), r - 1).isNull())
+    missing = F.when(F.size(lacking) > 0, F.array(flatten.note(F.lit(flatten.AFTER_ROWS), 0, "missing", F.concat(F.lit("the page came back without row(s) "), F.array_join(lacking, ", "))))).otherwise(F.array().cast(flatten.NOTE))
+    notes = F.array_sort(F.concat(F.flatten(F.transform("x", of_entry)), missing))
+    told = told.select("page_id", notes.alias("notes"), F.posexplode("kept").alias("r", "e"))
+    none = lambda kind: F.array().cast(kind)
+    return told.select("page_id", (F.col("r") + 1).alias("row_no"), "e.position", *[F.col("e")[f].alias(f) for f in defs.FIELDS], F.coalesce("e.flags", none("array<string>")).alias("flags"), F.when(F.col("r") == 0, F.col("notes")).otherwise(none(flatten.NOTE)).alias("notes"))
+
+
+def checked_rows(read: DataFrame) -> DataFrame:
+    """One row for each page and row number: the eleven checked columns, the cells with what was read and why it was refused, both pairs' disagreements, the gaps and the notes. Each column is checked by its own expressions, so nothing is exploded or shuffled.
+
+    A cell is unsure if ``flags`` name its column and its value stands.
     """
     col = lambda prefix, k: F.col(f"{prefix}{k}")
     numbered = list(enumerate(defs.FIELDS, 1))
-    t = read.select("page_id", "row_no", *[checks.strip(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit(""))).alias(f"raw{k}") for k, f in numbered], *[F.coalesce(unsure(k), F.lit(False)).alias(f"unsure{k}") for k, _ in numbered])
+    t = read.select("page_id", "row_no", "flags", "notes", *[checks.strip(F.coalesce(F.col(f"`{f}`").cast("string"), F.lit(""))).alias(f"raw{k}") for k, f in numbered])
     t = t.withColumns({f"candidate{k}": checks.fold(F.lit(f), col("raw", k)) for k, f in numbered})
     t = t.withColumns({f"reason{k}": checks.reason(F.lit(f), col("candidate", k)) for k, f in numbered})
     t = t.withColumns({f"value{k}": F.when(col("reason", k) == "", col("candidate", k)).otherwise("") for k, _ in numbered})
-    problem = lambda k: F.when((col("raw", k) != "") & (col("value", k) == ""), "rejected").when((col("value", k) != "") & col("unsure", k), "unsure").otherwise("")
-    cells = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(f).alias("field"), col("raw", k).alias("raw"), col("candidate", k).alias("candidate"), col("value", k).alias("value"), col("reason", k).alias("reason"), problem(k).alias("problem")) for k, f in numbered])
-    return told(t.select("page_id", "row_no", *[col("value", k).alias(f) for k, f in numbered], cells.alias("cells")))
+    problem = lambda k, f: F.when((col("raw", k) != "") & (col("value", k) == ""), "rejected").when((col("value", k) != "") & F.array_contains("flags", f), "unsure").otherwise("")
+    cells = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(f).alias("field"), col("raw", k).alias("raw"), col("candidate", k).alias("candidate"), col("value", k).alias("value"), col("reason", k).alias("reason"), problem(k, f).alias("problem")) for k, f in numbered])
+    return told(t.select("page_id", "row_no", *[col("value", k).alias(f) for k, f in numbered], cells.alias("cells"), "notes"))
+
+
+def box_rows(boxes: DataFrame, sheet: str = "v1") -> DataFrame:
+    """``page_rows`` of pages that came as boxes: cell texts by the boxes' centres, flags where any box is unsure. One shuffle by page."""
+    cells = page_cells(boxes, sheet).select("page_id", F.explode(F.sequence(F.lit(1), F.lit(defs.ROWS))).alias("row_no"), "cells")
+    own = lambda k: F.get("cells", (F.col("row_no") - 1) * len(defs.FIELDS) + k)
+    flags = F.filter(F.array(*[F.when(own(k)["unsure"], F.lit(f)) for k, f in enumerate(defs.FIELDS)]), lambda f: f.isNotNull())
+    return cells.select("page_id", "row_no", *[own(k)["raw"].alias(f) for k, f in enumerate(defs.FIELDS)], flags.alias("flags"), F.array().cast(flatten.NOTE).alias("notes"))
 
 
 def problems(late: bool) -> Column:
@@ -90,62 +110,82 @@ def percent(of: Column) -> Column:
     return F.coalesce(F.concat(F.bround(100 * of).cast("int").cast("string"), F.lit("%")), F.lit(""))
 
 
-def reports(wide: DataFrame) -> DataFrame:
-    """One row for each page: the five counts, the score and its percentage."""
+def reports(wide: DataFrame, *more: Column) -> DataFrame:
+    """One row for each page: the five counts, the score and its percentage, and ``more`` aggregates of its rows."""
     n = lambda test: F.sum(F.size(F.filter("cells", test)))
     pairs = sum((F.when(F.col(f"{a}_reads_like") != "", 1).otherwise(0) for a, _ in defs.PAIRS), F.lit(0))
-    counts = wide.groupBy("page_id").agg(n(lambda c: c["raw"] != "").alias("offered"), n(lambda c: c["problem"] == "rejected").alias("rejected"), F.sum(pairs).alias("disagreements"), F.sum(F.size("gaps")).alias("gaps"), n(lambda c: c["problem"] == "unsure").alias("unsure"))
+    counts = wide.groupBy("page_id").agg(n(lambda c: c["raw"] != "").alias("offered"), n(lambda c: c["problem"] == "rejected").alias("rejected"), F.sum(pairs).alias("disagreements"), F.sum(F.size("gaps")).alias("gaps"), n(lambda c: c["problem"] == "unsure").alias("unsure"), *more)
     of = score(*map(F.col, ("offered", "rejected", "disagreements", "gaps", "unsure")))
     return counts.withColumn("score", of).withColumn("percent", percent(F.col("score")))
 
 
-def quoted(x: Column) -> Column:
-    return F.concat(F.lit("'"), x, F.lit("'"))
+ONE_LINE = "struct<stage: int, row_no: int, ord: int, said: string>"
+LINE = f"array<{ONE_LINE}>"
 
 
-def findings(wide: DataFrame, notes: DataFrame | None = None, late: DataFrame | None = None) -> DataFrame:
-    """(page_id, n_findings, findings array<string>): a page's findings in order; pages without any aren't there.
+def line(stage: Column | int, row_no: Column, ord_: Column, said: Column) -> Column:
+    """A finding by the place at which it is told."""
+    return F.struct(stage if isinstance(stage, Column) else F.lit(stage), row_no, ord_, said).cast(ONE_LINE)
 
-    ``notes`` (stage 0, what the engine's answer had odd about it) come first; then for each
-    row its cells in column order and its gaps; then the disagreements; then ``late``: the
-    strip (3), the place marks (4) and the species marks (5). Both have page_id, stage,
-    row_no, ord, said. A page's lines are bounded by its 88 cells and its own notes.
-    """
+
+def row_lines() -> Column:
+    """A checked row's findings: the page's notes (stage 0, with the first row), its cells in column order and its gaps (1), its disagreements (2)."""
     row = F.concat(F.lit("row "), F.col("row_no").cast("string"), F.lit(": "))
     tail = lambda c: F.when(c["reason"] == "characters", "outside the field character set").otherwise("not one of the printed answers")
     said = lambda c: F.when(c["problem"] == "rejected", F.concat(row, c["field"], F.lit(": rejected "), quoted(c["candidate"]), F.lit(", "), tail(c))).otherwise(F.concat(row, c["field"], F.lit(": the engine could not read "), quoted(c["value"]), F.lit(" cleanly")))
-    line = lambda stage, at, ord_, text: F.struct(F.lit(stage).alias("stage"), at.alias("row_no"), ord_.alias("ord"), text.alias("said"))
+    notes = F.transform("notes", lambda n: line(0, n["position"], n["k"], n["said"]))
     cells = F.transform(F.filter("cells", lambda c: c["problem"] != ""), lambda c: line(1, F.col("row_no"), c["ord"], said(c)))
-    gaps = F.when(F.size("gaps") > 0, F.array(line(1, F.col("row_no"), F.lit(99), F.concat(row, F.lit("nothing came back for "), F.array_join("gaps", ", "), F.lit(", but the row is filled in"))))).otherwise(F.array().cast("array<struct<stage:int,row_no:int,ord:int,said:string>>"))
+    gaps = F.when(F.size("gaps") > 0, F.array(line(1, F.col("row_no"), F.lit(99), F.concat(row, F.lit("nothing came back for "), F.array_join("gaps", ", "), F.lit(", but the row is filled in"))))).otherwise(F.array().cast(LINE))
     pairs = F.array(*[F.when(F.col(f"{a}_reads_like") != "", line(2, F.col("row_no"), F.lit(k), F.concat(row, F.lit(f"{a} "), F.upper(F.col(a)), F.lit(f" does not agree with {b} "), quoted(F.col(f"`{b}`")), F.lit(", which reads like "), F.col(f"{a}_reads_like")))) for k, (a, b) in enumerate(defs.PAIRS)])
-    lines = wide.select("page_id", F.explode(F.concat(cells, gaps, F.filter(pairs, lambda x: x.isNotNull()))).alias("x")).select("page_id", "x.*")
-    for more in (notes, late):
-        lines = lines if more is None else lines.unionByName(more.select("page_id", "stage", "row_no", "ord", "said"))
-    return lines.groupBy("page_id").agg(F.count("*").alias("n_findings"), F.transform(F.array_sort(F.collect_list(F.struct("stage", "row_no", "ord", "said"))), lambda x: x["said"]).alias("findings"))
-
-
-def engine_notes(numbered: DataFrame, missing: DataFrame) -> DataFrame:
-    """What an answer's rows had odd about them, as findings of stage 0: in the answer's order what ``numbered`` notes and second claims to a number, then the rows that never came."""
-    order = Window.partitionBy("page_id", "row_no").orderBy("position")
-    second = F.col("row_no").isNotNull() & (F.row_number().over(order) > 1)
-    told = numbered.withColumn("second", second)
-    line = lambda k, said: F.struct(F.lit(k).alias("ord"), said.alias("said"))
-    both = F.array(F.when(F.col("note") != "", line(0, F.col("note"))), F.when(F.col("second"), line(1, F.concat(F.lit("dropped a second row numbered "), F.col("row_no").cast("string")))))
-    of_rows = told.select("page_id", F.lit(0).alias("stage"), F.col("position").cast("int").alias("row_no"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("c")).select("page_id", "stage", "row_no", "c.ord", "c.said")
-    lacking = missing.select("page_id", F.lit(0).alias("stage"), F.lit(1 << 30).alias("row_no"), F.lit(0).alias("ord"), F.concat(F.lit("the page came back without row(s) "), "missing").alias("said"))
-    return of_rows.unionByName(lacking)
-
-
-def late_findings(strip: DataFrame, marks: DataFrame) -> DataFrame:
-    """What was rejected of the strip (``header_values``) and of the marks (``checked_marks``), as findings of stages 3 to 5."""
-    why = F.when(F.col("reason") == "number", "not a number").when(F.col("reason") == "characters", "outside the field character set").otherwise("not one of the printed answers")
-    place = F.array_position(F.array(*map(F.lit, defs.HEADER_FIELDS)), F.col("field")).cast("int")
-    of_strip = strip.where("reason <> ''").select("page_id", F.lit(3).alias("stage"), F.lit(0).alias("row_no"), place.alias("ord"), F.concat(F.lit("header: "), F.col("field"), F.lit(": rejected "), quoted(F.col("raw")), F.lit(", "), why).alias("said"))
-    stage = F.when(F.col("kind") == "outside_minato", 4).otherwise(5)
-    what = F.when(F.col("reason") == "list", "not one of the marks").when(stage == 4, "the row names no place").otherwise("the row names no insect")
-    row = F.concat(F.lit("row "), F.col("row_no").cast("string"), F.lit(": "))
-    of_marks = marks.where("reason <> ''").select("page_id", stage.alias("stage"), "row_no", F.lit(0).alias("ord"), F.concat(row, F.col("kind"), F.lit(": dropped "), quoted(F.coalesce("mark", F.lit(""))), F.lit(", "), what).alias("said"))
-    return of_strip.unionByName(of_marks)
+    return F.concat(notes, cells, gaps, F.filter(pairs, lambda x: x.isNotNull()))
+
+
+def page_reports(wide: DataFrame) -> DataFrame:
+    """Each page as one row, on the partitioning that its rows have already: the report (``reports``), rows array<struct> in order, cells (row, field, problem), and lines, its findings so far."""
+    body = F.struct("row_no", "no", *[F.col(f"`{f}`") for f in defs.FIELDS])
+    bad = F.transform(problems(True), lambda c: F.struct(F.col("row_no").alias("row"), c["field"].alias("field"), c["problem"].alias("problem")))
+    more = [F.array_sort(F.collect_list(body)).alias("rows"), F.array_sort(F.flatten(F.collect_list(bad))).alias("cells"), F.flatten(F.collect_list(row_lines())).alias("lines")]
+    return reports(wide, *more)
+
+
+def with_strip(pages: DataFrame, strip: DataFrame) -> DataFrame:
+    """``page_reports`` with ``strip`` (page_id, the three raw values) checked: strip array<struct<field, raw, value, reason>>, blank for a page without one, and its findings (stage 3). A page of which only the strip came stays, without a report."""
+    raw = strip.select("page_id", *[checks.strip(F.coalesce(f, F.lit(""))).alias(f"raw_{f}") for f in defs.HEADER_FIELDS])
+    joined = pages.join(raw, "page_id", "full").fillna("", [f"raw_{f}" for f in defs.HEADER_FIELDS])
+    joined = joined.withColumn("lines", F.coalesce("lines", F.array().cast(LINE)))
+    parts = []
+    for f in defs.HEADER_FIELDS:
+        value, why = checks.header_value(F.lit(f), F.col(f"raw_{f}"))
+        parts.append(F.struct(F.lit(f).alias("field"), F.col(f"raw_{f}").alias("raw"), value.alias("value"), why.alias("reason")))
+    joined = joined.withColumn("strip", F.array(*parts))
+    why = lambda s: F.when(s["reason"] == "number", "not a number").when(s["reason"] == "characters", "outside the field character set").otherwise("not one of the printed answers")
+    place = lambda s: F.array_position(F.array(*map(F.lit, defs.HEADER_FIELDS)), s["field"]).cast("int")
+    told = F.transform(F.filter("strip", lambda s: s["reason"] != ""), lambda s: line(3, F.lit(0), place(s), F.concat(F.lit("header: "), s["field"], F.lit(": rejected "), quoted(s["raw"]), F.lit(", "), why(s))))
+    return joined.withColumn("lines", F.concat("lines", told)).drop(*[f"raw_{f}" for f in defs.HEADER_FIELDS])
+
+
+def with_marks(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """``page_reports`` with ``flatten.page_marks`` checked against the finished rows: an array of eight for each kind of mark, the findings (stages 4 and 5), and the notes on odd entries of the lists (stage 0)."""
+    joined = pages.join(marks, "page_id", "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<kind: string, position: int, row_no: int, mark: string, note: string, no_raw: string>>")))
+    notes = F.transform(flatten.mark_notes(F.col("marks")), lambda n: line(0, n["position"], n["k"], n["said"]))
+    row_of = lambda m: F.get(F.col("rows"), m["row_no"] - 1)
+    said = lambda m: checks.strip(F.coalesce(m["mark"], F.lit("")))
+    place = lambda m: m["kind"] == "outside_minato"
+    about = lambda m: F.when(place(m), (row_of(m)["location_town"] != "") | (row_of(m)["location_name"] != "")).otherwise(row_of(m)["bug_name"] != "")
+    listed = lambda m: F.when(place(m), said(m).isin(defs.MARKS["outside_minato"])).otherwise(said(m).isin(defs.MARKS["target_species"]))
+    why = lambda m: F.when(said(m) == "", "").when(~listed(m), "list").when(~F.coalesce(about(m), F.lit(False)), "empty").otherwise("")
+    checked = F.transform(F.filter("marks", lambda m: m["note"] == ""), lambda m: F.struct(m["kind"].alias("kind"), m["row_no"].alias("row_no"), m["mark"].alias("mark"), F.when(why(m) == "", said(m)).otherwise("").alias("kept"), why(m).alias("reason")))
+    joined = joined.withColumn("lines", F.concat("lines", notes)).withColumn("marks", checked)
+    what = lambda m: F.when(m["reason"] == "list", "not one of the marks").when(place(m), "the row names no place").otherwise("the row names no insect")
+    text = lambda m: F.concat(F.lit("row "), m["row_no"].cast("string"), F.lit(": "), m["kind"], F.lit(": dropped "), quoted(F.coalesce(m["mark"], F.lit(""))), F.lit(", "), what(m))
+    told = F.transform(F.filter("marks", lambda m: m["reason"] != ""), lambda m: line(F.when(place(m), 4).otherwise(5), m["row_no"], F.lit(0), text(m)))
+    own = lambda kind: F.transform(F.sequence(F.lit(1), F.lit(defs.ROWS)), lambda r: F.coalesce(F.get(F.filter("marks", lambda m: (m["kind"] == kind) & (m["row_no"] == r)), F.lit(0))["kept"], F.lit("")))
+    return joined.withColumn("lines", F.concat("lines", told)).withColumns({kind: own(kind) for kind in defs.MARKS}).drop("marks")
+
+
+def findings(pages: DataFrame) -> DataFrame:
+    """(page_id, n_findings, findings array<string>): a page's findings in order; pages without any aren't there. Notes on the answer come first; then for each row its cells and gaps; then the disagreements, the strip, the place marks and the species marks."""
+    return pages.where(F.size("lines") > 0).select("page_id", F.size("lines").cast("long").alias("n_findings"), F.array_sort("lines")["said"].alias("findings"))
 
 
 def header_values(strip: DataFrame) -> DataFrame:
@@ -164,29 +204,21 @@ def checked_marks(marks: DataFrame, wide: DataFrame) -> DataFrame:
     return both.withColumns({"reason": why, "kept": F.when(why == "", said).otherwise("")}).drop("location_town", "location_name", "bug_name")
 
 
-def documents(wide: DataFrame, told: DataFrame, found: DataFrame, spent: DataFrame, keys: DataFrame, strip: DataFrame | None = None, marks: DataFrame | None = None) -> DataFrame:
-    """(page_id, document): each page as one JSON document.
+def documents(pages: DataFrame, keys: DataFrame, spent: DataFrame) -> DataFrame:
+    """(page_id, document): each of ``page_reports``'s pages as one JSON document.
 
     It has the page's key (``keys``: settings and cache_name), its eight rows, its report
     with the problem cells by row and field name, its findings (an empty list where there are
     none), and what it cost (``spent``: calls, seconds and the three token counts, zeros where
-    nothing is known). A page without a score has a null there. ``strip`` (page_id, field,
-    value) and ``marks`` (page_id, row_no, kind, kept) make it a v2 document: three values
-    more, and two lists of eight marks. Everything is joined on page_id.
+    nothing is known). A page without a score has a null there; one without rows is no document. ``with_strip`` and
+    ``with_marks`` make it a v2 document: three values more, and two lists of eight marks.
     """
-    body = F.struct("no", *[F.col(f"`{f}`") for f in defs.FIELDS])
-    bad = F.transform(problems(True), lambda c: F.struct(F.col("row_no").alias("row"), c["field"].alias("field"), c["problem"].alias("problem")))
-    pages = wide.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("row_no", body.alias("row")))).alias("rows"), F.array_sort(F.flatten(F.collect_list(bad))).alias("cells"))
-    joined = pages.join(told, "page_id").join(keys, "page_id", "left").join(found.select("page_id", "findings"), "page_id", "left").join(spent, "page_id", "left")
+    body = F.transform("rows", lambda r: F.struct(r["no"].alias("no"), *[r[f].alias(f) for f in defs.FIELDS]))
+    joined = pages.where("offered is not null").join(keys, "page_id", "left").join(spent, "page_id", "left")
     report = F.struct(F.col("offered").alias("values"), "rejected", "disagreements", "gaps", "unsure", "score", "percent", "cells")
     usage = F.struct(*[F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) for c, t in (("calls", "long"), ("seconds", "double"), ("prompt_tokens", "long"), ("output_tokens", "long"), ("thought_tokens", "long"))])
-    parts = ["settings", "cache_name", F.col("rows.row").alias("rows"), report.alias("report"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"), usage.alias("usage")]
-    if strip is not None:
-        values = strip.groupBy("page_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in defs.HEADER_FIELDS])
-        joined = joined.join(values, "page_id", "left")
-        parts += [F.coalesce(f, F.lit("")).alias(f) for f in defs.HEADER_FIELDS]
-    if marks is not None:
-        pick = lambda kind, r: F.coalesce(F.max(F.when((F.col("kind") == kind) & (F.col("row_no") == r), F.col("kept"))), F.lit(""))
-        joined = joined.join(marks.groupBy("page_id").agg(*[F.array(*[pick(kind, r) for r in range(1, defs.ROWS + 1)]).alias(kind) for kind in defs.MARKS]), "page_id", "left")
-        parts += [F.coalesce(kind, F.array_repeat(F.lit(""), defs.ROWS)).alias(kind) for kind in defs.MARKS]
+    parts = ["settings", "cache_name", body.alias("rows"), report.alias("report"), F.array_sort("lines")["said"].alias("findings"), usage.alias("usage")]
+    if "strip" in pages.columns:
+        parts += [F.get("strip.value", F.lit(k)).alias(f) for k, f in enumerate(defs.HEADER_FIELDS)]
+    parts += [kind for kind in defs.MARKS if kind in pages.columns]
     return joined.select("page_id", F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("document"))

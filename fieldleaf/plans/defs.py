@@ -109,3 +109,6 @@ def digit_class() -> str:
             b += 1
         out.append(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}")
     return "".join(out)
+
+#: Names of groups, which are no species: the first four are fixed values, the others are those of the listed species' families.
+GROUPS = ["カマキリ", "アゲハチョウ", "トンボ", "チョウノナカマ", "チョウ", "アゲハ", "カメムシ", "タマムシ類", "ヤンマ", "セミ", "バッタ", "クワガタ", "テントウムシ", "コガネムシ", "カミキリムシ", "ハチ", "アリ", "ガ", "シジミ", "タテハ"]

@@ -9,6 +9,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldleaf.functions import checks
 from fieldleaf.operators import compare, flatten, geometry, identity, intake, judge, quality, usage
@@ -45,9 +46,14 @@ def kept(spark: SparkSession, d: str) -> DataFrame:
     return flatten.first_wins(flatten.numbered(entries(spark, d))).where("kept")
 
 
+def unsure_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The entries with their ``unsure`` as the answer has it, parsed."""
+    read = view(spark, d, "survey_unsure").withColumnRenamed("where_", "where")
+    return read.withColumn("unsure", F.try_parse_json("unsure"))
+
+
 def wide(spark: SparkSession, d: str) -> DataFrame:
-    rows = quality.page_rows(flatten.numbered(entries(spark, d)))
-    return quality.checked_rows(rows, flag)
+    return quality.checked_rows(quality.page_rows(flatten.numbered(unsure_entries(spark, d))))
 
 
 def raw_values(spark: SparkSession, d: str) -> DataFrame:
@@ -58,30 +64,49 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return flatten.token_counts(view(spark, d, "attempt_log"))
 
 
-def flag(k: int) -> Column:
-    return (F.col("page_id") + k + F.col("position")) % 9 == 0
-
-
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """(page_id, answer): a chat service's whole answers, made of the entries, the strip and the marks; by page they are fenced, whole pages, cut short, empty, no lists, no completions, or plain lists."""
+    """(page_id, answer): a chat service's answers, made of the entries, the strip and the marks.
+
+    Of 51 pages ten fail in as many ways (cut short, empty, no list, no completion); the
+    others are whole v2 pages, but for a fenced list, a list with an entry that is no object,
+    and a page with odd lists of marks.
+    """
     plain = F.col("no_raw").rlike("^[0-9.]+$") & (F.col("page_id") % 2 == 0)
     no = F.when(plain, F.col("no_raw")).otherwise(F.concat(F.lit('"'), "no_raw", F.lit('"')))
-    unsure = F.get(F.array(*map(F.lit, ['["notice"]', '["symbol","colour"]', "[]", '["where","where",null]', '"notice"'])), ((F.col("page_id") + F.col("position")) % 6).cast("int"))
     fields = F.substring(F.to_json(F.struct(*[F.col(f"`{f}`") for f in defs.FIELDS])), 2, 1 << 30)
-    row = F.concat(F.lit('{"no":'), no, F.coalesce(F.concat(F.lit(',"unsure":'), unsure), F.lit("")), F.lit(',"extra":7.50,'), fields)
-    listed = lambda df, x: df.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("position", x.alias("j"))))["j"], ",").alias("j"))
-    pages = listed(entries(spark, d), row).select("page_id", F.concat(F.lit("["), "j", F.lit("]")).alias("rows"))
+    unsure = F.coalesce(F.concat(F.lit(',"unsure":'), "unsure"), F.lit(""))
+    row = F.concat(F.lit('{"no":'), no, unsure, F.lit(',"extra":7.50,'), fields)
+
+    def listed(df: DataFrame, x: Column) -> DataFrame:
+        in_order = F.array_sort(F.collect_list(F.struct("position", x.alias("j"))))["j"]
+        return df.groupBy("page_id").agg(F.array_join(in_order, ",").alias("j"))
+
+    told = view(spark, d, "survey_unsure").withColumnRenamed("where_", "where")
+    pages = listed(told, row).select("page_id", F.concat(F.lit("["), "j", F.lit("]")).alias("rows"))
     mark = F.to_json(F.struct(F.col("no_raw").alias("no"), "mark"))
-    told = view(spark, d, "survey_marks")
+    marked = view(spark, d, "survey_marks")
     for kind in defs.MARKS:
-        pages = pages.join(listed(told.where(F.col("kind") == kind), mark).withColumnRenamed("j", kind), "page_id", "left")
-    strip = view(spark, d, "survey_header").select("page_id", F.substring(F.to_json(F.struct(*defs.HEADER_FIELDS)), 2, 1 << 30).alias("strip"))
-    pages = pages.join(strip, "page_id", "left")
-    kind, j = F.col("page_id") % 17, F.col("rows")
-    of = lambda k: F.concat(F.lit(f'"{k}":['), F.coalesce(k, F.lit("")), F.lit("],"))
-    whole = F.concat(F.lit('{"rows":'), j, F.lit(","), *[of(k) for k in defs.MARKS], F.coalesce("strip", F.lit('"school":null}')))
-    odd = F.concat(F.lit('{"outside_minato":"none","target_species":["oops",{"mark":"◎"},{"no":"9","mark":"○"},{"no":3,"mark":"○"},{"no":"3.0","mark":"△"}],"rows":'), j, F.lit("}"))
-    content = F.when(kind == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(kind == 1, whole).when(kind == 2, F.substring(j, 1, 40)).when(kind == 3, " ").when(kind == 4, '"no rows here"').when(kind == 9, '{"rows":5}').when(kind == 10, '{"rows":[],"rows":[]}').when(kind == 12, F.concat(F.substring(j, F.lit(1), F.length(j) - 1), F.lit(',"oops"]'))).when(kind == 13, odd).otherwise(j)
+        own = listed(marked.where(F.col("kind") == kind), mark).withColumnRenamed("j", kind)
+        pages = pages.join(own, "page_id", "left")
+    strip = F.substring(F.to_json(F.struct(*defs.HEADER_FIELDS)), 2, 1 << 30).alias("strip")
+    pages = pages.join(view(spark, d, "survey_header").select("page_id", strip), "page_id", "left")
+
+    kind, j = F.col("page_id") % 51, F.col("rows")
+    lists = [F.concat(F.lit(f'"{k}":['), F.coalesce(k, F.lit("")), F.lit("],")) for k in defs.MARKS]
+    whole = F.concat(F.lit('{"rows":'), j, F.lit(","), *lists, F.coalesce("strip", F.lit('"school":null}')))
+    odd_marks = '"target_species":["oops",{"mark":"◎"},{"no":"9","mark":"○"},{"no":3,"mark":"○"},{"no":"3.0","mark":"△"}]'
+    odd = F.concat(F.lit(f'{{"outside_minato":"none",{odd_marks},"rows":'), j, F.lit("}"))
+    content = (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```")))
+        .when(kind == 2, F.substring(j, 1, 40))
+        .when(kind == 3, " ")
+        .when(kind == 4, '"no rows here"')
+        .when(kind == 9, '{"rows":5}')
+        .when(kind == 10, '{"rows":[],"rows":[]}')
+        .when(kind == 12, F.concat(F.substring(j, F.lit(1), F.length(j) - 1), F.lit(',"oops"]')))
+        .when(kind == 13, odd)
+        .otherwise(whole)
+    )
     choice = F.struct(F.when(kind == 3, "length").alias("finish_reason"), F.struct(F.when(kind != 8, content).alias("content")).alias("message"))
     answer = F.to_json(F.struct(F.array(choice).alias("choices")))
     other = F.when(kind == 5, '{"error":"unknown endpoint"}').when(kind == 6, '{"choices":[]}').when(kind == 7, '{"choices":["text"]}').when(kind == 11, "[1]")
@@ -98,7 +123,7 @@ def read_answers(spark: SparkSession, d: str) -> DataFrame:
 def page_reports(batch: DataFrame) -> DataFrame:
     """A batch of answers to page reports: rows placed, checked and counted; pages that failed keep their status."""
     read = flatten.envelopes(flatten.completions(batch))
-    wide_rows = quality.checked_rows(quality.page_rows(flatten.numbered(flatten.answer_rows(read))), flag)
+    wide_rows = quality.checked_rows(quality.page_rows(flatten.numbered(flatten.answer_rows(read))))
     return read.select("page_id", "status", "finish_reason").join(quality.reports(wide_rows), "page_id", "left")
 
 
@@ -106,7 +131,10 @@ def page_reports(batch: DataFrame) -> DataFrame:
 
 
 def a1_intake(spark, d):
-    return longs(table(spark, d, "documents").select("doc_id", intake.triage(F.encode("text", "UTF-8"), 4096, b"The ").alias("status")))
+    """Every document's bytes as a file of its own (text files end in a line break, which the limit allows for), read back as binary files."""
+    path = shared_path(spark)
+    table(spark, d, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    return longs(intake.triage_files(spark, path, 4097, b"The ").select(F.col("doc_id").cast("long").alias("doc_id"), "status"))
 
 
 def a2_requests(spark, d):
@@ -326,16 +354,17 @@ def e7_all_problems(spark, d):
     return longs(quality.all_problems(wide(spark, d)).select("page_id", "row_no", "field", "problem"))
 
 
-def findings(spark: SparkSession, d: str) -> DataFrame:
-    """All six kinds: the answer's own notes, cells, gaps, disagreements, the strip and the marks."""
-    placed = flatten.numbered(entries(spark, d))
-    notes = quality.engine_notes(placed, flatten.missing_rows(placed, placed.where("row_no is not null")))
-    late = quality.late_findings(quality.header_values(strips(spark, d)), checked_marks(spark, d))
-    return quality.findings(wide(spark, d), notes, late)
+def whole_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as one row: its report, rows, strip, marks and findings of all kinds."""
+    odd = view(spark, d, "survey_oddities").select("page_id", "position", "odd")
+    placed = flatten.numbered(unsure_entries(spark, d).unionByName(odd, allowMissingColumns=True))
+    pages = quality.page_reports(quality.checked_rows(quality.page_rows(placed)))
+    pages = quality.with_strip(pages, view(spark, d, "survey_header"))
+    return quality.with_marks(pages, flatten.page_marks(view(spark, d, "survey_marks")))
 
 
 def e8_findings(spark, d):
-    return findings(spark, d).withColumn("findings", F.array_join("findings", "\n"))
+    return quality.findings(whole_pages(spark, d)).withColumn("findings", F.array_join("findings", "\n"))
 
 
 def e9_wide(spark, d):
@@ -345,17 +374,38 @@ def e9_wide(spark, d):
 DOCUMENT = f"settings string, cache_name string, rows array<struct<no: string, {', '.join(f'`{f}`: string' for f in defs.FIELDS)}>>, report struct<values: bigint, rejected: bigint, disagreements: bigint, gaps: bigint, unsure: bigint, score: double, percent: string, cells: array<struct<row: int, field: string, problem: string>>>, findings array<string>, usage struct<calls: bigint, seconds: double, prompt_tokens: bigint, output_tokens: bigint, thought_tokens: bigint>, {', '.join(f'{f} string' for f in defs.HEADER_FIELDS)}, {', '.join(f'{k} array<string>' for k in defs.MARKS)}"
 
 
-def e10_document(spark, d):
-    """The documents, and what is in them as read back from their text."""
-    w = wide(spark, d)
-    told = quality.reports(w)
-    spent = usage.totals(log(spark, d), "page_id")
-    made = quality.documents(w, told, findings(spark, d), spent, page_keys(told), quality.header_values(strips(spark, d)), checked_marks(spark, d))
-    x = made.select("page_id", F.from_json("document", DOCUMENT).alias("x")).select("page_id", "x.*")
+def document_digest(made: DataFrame) -> DataFrame:
+    """What is in documents, as read back from their text."""
+    x = made.select("page_id", F.from_json("document", DOCUMENT).alias("read")).select("page_id", "read.*")
     said = lambda c, f: F.array_join(F.transform(c, f), "\n")
     row = lambda r: F.concat_ws("|", r["no"], *[r[f] for f in defs.FIELDS])
     cell = lambda c: F.concat_ws("|", c["row"].cast("string"), c["field"], c["problem"])
-    return x.select("page_id", "settings", "cache_name", F.md5(said("rows", row)).alias("rows"), F.concat_ws("|", *[F.col(f"report.{c}").cast("string") for c in ("values", "rejected", "disagreements", "gaps", "unsure")], "report.percent").alias("report"), "report.score", said("report.cells", cell).alias("cells"), F.array_join("findings", "\n").alias("findings"), F.size("findings").cast("long").alias("n_findings"), F.col("usage.calls").alias("calls"), F.round("usage.seconds", 3).alias("seconds"), F.concat_ws("|", *[F.col(f"usage.{c}").cast("string") for c in ("prompt_tokens", "output_tokens", "thought_tokens")]).alias("tokens"), F.concat_ws("|", *defs.HEADER_FIELDS).alias("strip"), *[F.array_join(k, "|").alias(k) for k in defs.MARKS])
+    counts = [F.col(f"report.{c}").cast("string") for c in ("values", "rejected", "disagreements", "gaps", "unsure")]
+    tokens = [F.col(f"usage.{c}").cast("string") for c in ("prompt_tokens", "output_tokens", "thought_tokens")]
+    return x.select(
+        "page_id", "settings", "cache_name", F.md5(said("rows", row)).alias("rows"),
+        F.concat_ws("|", *counts, "report.percent").alias("report"), "report.score",
+        said("report.cells", cell).alias("cells"),
+        F.array_join("findings", "\n").alias("findings"), F.size("findings").cast("long").alias("n_findings"),
+        F.col("usage.calls").alias("calls"), F.round("usage.seconds", 3).alias("seconds"), F.concat_ws("|", *tokens).alias("tokens"),
+        F.concat_ws("|", *defs.HEADER_FIELDS).alias("strip"), *[F.array_join(k, "|").alias(k) for k in defs.MARKS],
+    )
+
+
+def e10_document(spark, d):
+    pages = whole_pages(spark, d)
+    spent = usage.totals(log(spark, d), "page_id")
+    return document_digest(quality.documents(pages, page_keys(pages.select("page_id")), spent))
+
+
+def e10_box_document(spark, d):
+    """From boxes to documents: cells by centre, checks, report, findings, and the strip from its own boxes."""
+    pages = quality.page_reports(quality.checked_rows(quality.box_rows(view(spark, d, "survey_boxes"))))
+    found = geometry.header_texts(flatten.header_boxes(view(spark, d, "survey_header")).withColumn("seq", F.lit(0)))
+    strip = found.groupBy("page_id").agg(*[F.max(F.when(F.col("field") == f, F.col("raw"))).alias(f) for f in defs.HEADER_FIELDS])
+    pages = quality.with_strip(pages, strip)
+    spent = usage.totals(log(spark, d), "page_id")
+    return document_digest(quality.documents(pages, page_keys(pages.select("page_id")), spent)).drop(*defs.MARKS)
 
 
 # F: usage.
@@ -397,11 +447,11 @@ def g2_settings(spark, d):
 
 
 def g3_cached(spark, d):
-    name = lambda c: F.when(F.col(c) % 2 == 0, "alpha_m1").otherwise("beta_m2").alias("cache_name")
-    wanted = entries(spark, d).select("page_id", name("page_id")).distinct()
-    read = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("page_id"), name("o_custkey"))
-    hit, miss = identity.cached(wanted, read, ["page_id", "cache_name"])
-    return hit.withColumn("cached", F.lit(True)).unionByName(miss.withColumn("cached", F.lit(False)))
+    """What is wanted under today's settings, against a store of finished pages: a third of them were never read, and a fifth of the others under an older prompt."""
+    pages = page_keys(table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id")))
+    older = F.when(F.col("page_id") % 5 == 0, F.replace("settings", F.lit("prompt=p1"), F.lit("prompt=p0"))).otherwise(F.col("settings"))
+    store = identity.file_store(pages.where("page_id % 3 <> 1").withColumn("settings", older), f"store_{uuid.uuid4().hex}", shared_path(spark), 16)
+    return identity.reusable(pages, store).select("page_id", "cache_name", "settings", "cached")
 
 
 def g4_current(spark, d):
@@ -429,7 +479,8 @@ def h1_compare(spark, d):
 
 
 def h2_models(spark, d):
-    return compare.models(log(spark, d)).withColumns({c: F.round(c, 6) for c in ("mean_s", "thinking_share", "slowdown")})
+    scores = quality.reports(wide(spark, d)).select("page_id", "score")
+    return compare.models(log(spark, d), scores).withColumns({c: F.round(c, 6) for c in ("mean_s", "thinking_share", "slowdown", "mean_score")})
 
 
 def h3_tally(spark, d):
@@ -443,13 +494,16 @@ def h4_open_first(spark, d):
 # I: judgements.
 
 
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    return judge.judged(wide(spark, d).select("page_id", "row_no", "bug_name", "location_town", "location_name"))
+
+
 def i1_species(spark, d):
-    names = wide(spark, d).groupBy("bug_name").agg(F.count("*").alias("n"))
-    return longs(names.withColumn("s", judge.species(F.col("bug_name"))).select("bug_name", "n", "s.mark", "s.species", "s.distance"))
+    return longs(judged(spark, d).select("page_id", "row_no", "bug_name", "judged_name", "mark", "species", "distance"))
 
 
 def i2_places(spark, d):
-    return wide(spark, d).groupBy("location_town", "location_name").agg(F.count("*").alias("n")).withColumn("listed", judge.in_minato(F.col("location_town"), F.col("location_name")))
+    return longs(judged(spark, d).select("page_id", "row_no", "judged_town", "judged_place", "explained", "listed"))
 
 
 def i3_ditto(spark, d):
@@ -480,11 +534,19 @@ def j2_once(spark, d):
 
 
 def j3_totals(spark, d):
+    """Calls and checked rows as one stream of events; a page's rows come with its first call."""
     path = shared_path(spark)
-    view(spark, d, "attempt_log").select(F.col("started_at").cast("timestamp").alias("started_at"), "ok", "seconds").write.parquet(f"{path}/in")
-    stream = streams.arriving(spark, f"{path}/in", "started_at timestamp, ok boolean, seconds double")
-    out = streams.drained(streams.totals(stream, "started_at"), f"{path}/out", f"{path}/checkpoint")
-    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "seconds": F.round("seconds", 3)})
+    calls = view(spark, d, "attempt_log").select("page_id", F.col("started_at").cast("timestamp").alias("at"), F.lit(1).alias("calls"), F.col("ok").cast("long").alias("succeeded"), "seconds", F.lit(0).alias("rows"))
+    came = calls.groupBy("page_id").agg(F.min("at").alias("at"))
+    n = lambda test, name: F.size(F.filter("cells", test)).alias(name)
+    pairs = sum((F.when(F.col(f"{a}_reads_like") != "", 1).otherwise(0) for a, _ in defs.PAIRS), F.lit(0)).alias("disagreements")
+    rows = wide(spark, d).select("page_id", F.lit(1).alias("rows"), n(lambda c: c["raw"] != "", "offered"), n(lambda c: c["problem"] == "rejected", "rejected"), pairs, F.size("gaps").alias("gaps"), n(lambda c: c["problem"] == "unsure", "unsure"))
+    events = calls.unionByName(rows.join(came, "page_id"), allowMissingColumns=True)
+    schema = "page_id long, at timestamp, calls long, succeeded long, seconds double, rows long, " + ", ".join(f"{c} long" for c in streams.COUNTS)
+    events.to(StructType.fromDDL(schema)).write.parquet(f"{path}/in")
+    stream = streams.arriving(spark, f"{path}/in", schema)
+    out = streams.drained(streams.quality_totals(stream, "at"), f"{path}/out", f"{path}/checkpoint")
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "seconds": F.round("seconds", 3), "mean_score": F.round("mean_score", 9)})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -492,7 +554,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "b1_unfence": b1_unfence, "b2_envelope": b2_envelope, "b3_rows": b3_rows, "b4_row_number": b4_row_number, "b5_first_wins": b5_first_wins, "b6_missing": b6_missing, "b7_columns": b7_columns, "b8_unsure": b8_unsure, "b9_detections": b9_detections, "b10_anchored": b10_anchored, "b11_header_boxes": b11_header_boxes, "b12_marks": b12_marks, "b13_tokens": b13_tokens,
     "c1_cell_at": partial(cell_sums, "v1"), "c2_cell_at_v2": partial(cell_sums, "v2"), "c3_header_at": c3_header_at, "c4_dense": c4_dense, "c5_address": c5_address, "c6_cell_text": c6_cell_text, "c7_unsure_cells": c7_unsure_cells, "c8_header_text": strips, "c9_outside": c9_outside,
     "d1_unwrap": partial(whole_values, checks.unwrap), "d2_strip": partial(whole_values, checks.strip), "d3_fold": d3_fold, "d4_characters": d4_characters, "d5_scripts": d5_scripts, "d6_list": d6_list, "d7_check": d7_check, "d8_header": d8_header, "d9_place_marks": partial(page_marks, "outside_minato"), "d10_species_marks": partial(page_marks, "target_species"),
-    "e1_gaps": e1_gaps, "e2_disagreements": e2_disagreements, "e3_finished_problems": e3_finished_problems, "e4_counts": partial(reports, ["offered", "rejected", "disagreements", "gaps", "unsure"]), "e5_score": partial(reports, ["score"]), "e6_percent": partial(reports, ["percent"]), "e7_all_problems": e7_all_problems, "e8_findings": e8_findings, "e9_wide": e9_wide, "e10_document": e10_document,
+    "e1_gaps": e1_gaps, "e2_disagreements": e2_disagreements, "e3_finished_problems": e3_finished_problems, "e4_counts": partial(reports, ["offered", "rejected", "disagreements", "gaps", "unsure"]), "e5_score": partial(reports, ["score"]), "e6_percent": partial(reports, ["percent"]), "e7_all_problems": e7_all_problems, "e8_findings": e8_findings, "e9_wide": e9_wide, "e10_document": e10_document, "e10_box_document": e10_box_document,
     "f1_totals": f1_totals, "f2_spend": f2_spend, "f3_rollup": f3_rollup, "f4_timing": f4_timing, "f5_in_flight": f5_in_flight,
     "g1_fingerprint": g1_fingerprint, "g2_settings": g2_settings, "g3_cached": g3_cached, "g4_current": g4_current, "g5_drift": g5_drift,
     "h1_compare": h1_compare, "h2_models": h2_models, "h3_tally": h3_tally, "h4_open_first": h4_open_first,

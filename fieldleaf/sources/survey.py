@@ -52,6 +52,12 @@ WHERE p.part = 0 OR length(x.raw) > x.h
     "survey_header": """
 SELECT o_orderkey AS page_id, split_part('芝|白金||고|御成門', '|', CAST(1 + o_custkey % 5 AS INT)) AS school,
  split_part('4|④|４|x||年|5', '|', CAST(1 + o_orderkey % 7 AS INT)) AS grade, split_part('2| 1 |ー|⓪|', '|', CAST(1 + o_custkey % 4 AS INT)) AS school_class FROM orders
+""",
+    "survey_unsure": """
+SELECT *, CASE (page_id + position) % 6 WHEN 0 THEN '["notice"]' WHEN 1 THEN '["symbol","colour"]' WHEN 2 THEN '[]' WHEN 3 THEN '["where","where",null]' WHEN 4 THEN '"notice"' END AS unsure FROM survey_entries
+""",
+    "survey_oddities": """
+SELECT l_orderkey AS page_id, count(*) + 1 AS position, '"oops"' AS odd FROM lineitem WHERE l_orderkey % 51 = 12 GROUP BY l_orderkey
 """,
     "survey_marks": """
 SELECT page_id, position, no_raw, k.kind, CASE k.kind WHEN 'outside_minato' THEN split_part('◎|○|△|〇|| ◎ ', '|', CAST(1 + (page_id + position) % 6 AS INT)) ELSE split_part('◎|○|△||', '|', CAST(1 + (page_id + position * 2) % 5 AS INT)) END AS mark
@@ -64,7 +70,7 @@ SELECT user_id AS page_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts,
 FROM events
 """,
 }
-BASE = {"survey_cells": [], "survey_entries": ["lineitem"], "survey_long": ["survey_entries"], "survey_boxes": ["survey_long", "survey_cells"], "survey_header": ["orders"], "survey_marks": ["survey_entries"], "attempt_log": ["events"]}
+BASE = {"survey_cells": [], "survey_entries": ["lineitem"], "survey_long": ["survey_entries"], "survey_boxes": ["survey_long", "survey_cells"], "survey_header": ["orders"], "survey_unsure": ["survey_entries"], "survey_oddities": ["lineitem"], "survey_marks": ["survey_entries"], "attempt_log": ["events"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The sheet's rules on single values and small pages."""
 
+import datetime
 import json
-
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from fieldleaf.functions import checks
 from fieldleaf.operators import compare, flatten, geometry, identity, intake, judge, quality, usage
 from fieldleaf.plans import defs
+from fieldleaf.streaming import streams
 
 VALUES = [
     ("what_doing", "④", "4"), ("what_doing", "⑩", "10"), ("what_doing", "❹", "4"), ("what_doing", "⑪", ""), ("what_doing", "0", ""), ("what_doing", "11", ""),
@@ -51,9 +54,9 @@ def test_score(spark):
 
 
 def page(spark, row, unsure=False):
-    rows = [(1, r, 1, *[row.get(f) if r == 1 else None for f in defs.FIELDS]) for r in range(1, defs.ROWS + 1)]
-    read = spark.createDataFrame(rows, "page_id long, row_no int, position int, " + ", ".join(f"`{f}` string" for f in defs.FIELDS))
-    return quality.checked_rows(read, lambda k: F.lit(unsure))
+    rows = [(1, r, 1, *[row.get(f) if r == 1 else None for f in defs.FIELDS], defs.FIELDS if unsure else [], []) for r in range(1, defs.ROWS + 1)]
+    read = spark.createDataFrame(rows, "page_id long, row_no int, position int, " + ", ".join(f"`{f}` string" for f in defs.FIELDS) + f", flags array<string>, notes {flatten.NOTE}")
+    return quality.checked_rows(read)
 
 
 FULL = dict(zip(defs.FIELDS, ["アゲハ", "か", "花", "④", "8", "3", "芝", "1", "花だん", "C", "いた"], strict=True))
@@ -67,7 +70,7 @@ def test_pages(spark):
     problems = {r["field"]: r["problem"] for r in quality.all_problems(page(spark, FULL | {"found_month": "④", "notice": "", "map_symbol": "B"})).collect()}
     assert problems == {"found_month": "rejected", "notice": "missing", "map_symbol": "disagreement", "location_name": "disagreement"}
     assert quality.reports(page(spark, {})).first()["score"] is None
-    lines = quality.findings(page(spark, FULL | {"found_month": "④", "notice": ""})).first()["findings"]
+    lines = quality.findings(quality.page_reports(page(spark, FULL | {"found_month": "④", "notice": ""}))).first()["findings"]
     assert lines == ["row 1: found_month: rejected '④', outside the field character set", "row 1: nothing came back for notice, but the row is filled in"]
     assert page(spark, FULL).count() == defs.ROWS
 
@@ -129,17 +132,52 @@ def test_page_with_strip_and_marks(spark):
 
 
 def test_document_of_a_blank_page(spark):
-    wide = page(spark, {})
-    told = quality.reports(wide)
     none = spark.createDataFrame([], "page_id long, calls long, seconds double, prompt_tokens long, output_tokens long, thought_tokens long")
     keys = spark.createDataFrame([(1, "engine=x", "x_m1")], "page_id long, settings string, cache_name string")
-    marks = spark.createDataFrame([(1, 2, "outside_minato", "◎")], "page_id long, row_no int, kind string, kept string")
-    strip = spark.createDataFrame([(1, "grade", "4")], "page_id long, field string, value string")
-    got = json.loads(quality.documents(wide, told, quality.findings(wide), none, keys, strip, marks).first()["document"])
-    assert (got["findings"], got["report"]["score"], got["report"]["percent"], got["report"]["cells"], got["usage"]["calls"]) == ([], None, "", [], 0)
-    assert (got["grade"], got["school"], got["outside_minato"], got["target_species"]) == ("4", "", ["", "◎", "", "", "", "", "", ""], [""] * 8)
+    strip = spark.createDataFrame([(1, None, " 4 ", "x")], "page_id long, school string, grade string, school_class string")
+    listed = spark.createDataFrame([(1, 1, "1", "outside_minato", " ◎"), (1, 2, "2", "outside_minato", "◎"), (1, 3, "1", "target_species", "〇")], "page_id long, position int, no_raw string, kind string, mark string")
+
+    def made(row):
+        pages = quality.with_marks(quality.with_strip(quality.page_reports(page(spark, row)), strip), flatten.page_marks(listed))
+        return json.loads(quality.documents(pages, keys, none).first()["document"])
+
+    got = made({})
+    assert (got["report"]["score"], got["report"]["percent"], got["report"]["cells"], got["usage"]["calls"]) == (None, "", [], 0)
+    assert got["findings"] == ["header: school_class: rejected 'x', not a number", "row 1: outside_minato: dropped ' ◎', the row names no place", "row 2: outside_minato: dropped '◎', the row names no place", "row 1: target_species: dropped '〇', not one of the marks"]
+    assert (got["grade"], got["school"], got["outside_minato"], got["target_species"]) == ("4", "", [""] * 8, [""] * 8)
     assert [r["no"] for r in got["rows"]] == list("12345678")
     assert got["cache_name"] == "x_m1"
+    assert made(FULL)["outside_minato"] == ["◎"] + [""] * 7
+
+
+def test_notes_in_order(spark):
+    """All kinds of notes on one answer, and flags of a kept row only; marks for rows that came twice, nowhere, or in no list."""
+    rows = [{"no": 2, "bug_name": "トンボ", "unsure": ["bug_name", "colour", None]}, "oops", {"no": "no.3"}, {"no": 2, "bug_name": "アリ", "unsure": "notice"}, {"no": 9}, {"no": 6, "notice": "いた", "unsure": {"a": 1}}, {"no": 7.0, "symbol": "", "unsure": ["symbol"]}]
+    body = json.dumps({"rows": rows, "outside_minato": [{"no": 2, "mark": "◎"}, 5, {"no": "2", "mark": "○"}, {"no": 12}, {"no": None}], "target_species": {}})
+    read = flatten.envelopes(spark.createDataFrame([(1, body)], "page_id long, body string"))
+    odd = flatten.entries_of(read).where("kind not like 'OBJECT%'").select("page_id", "position", F.col("text").alias("odd"))
+    wide = quality.checked_rows(quality.page_rows(flatten.numbered(flatten.answer_rows(read).unionByName(odd, allowMissingColumns=True))))
+    pages = quality.with_marks(quality.page_reports(wide), flatten.page_marks(flatten.mark_entries(read)))
+    told = pages.first()
+    lines = [x["said"] for x in sorted(told["lines"], key=lambda x: (x["stage"], x["row_no"], x["ord"])) if x["stage"] == 0]
+    assert lines == [
+        "row 2 came back in position 1",
+        "row 2: unsure names no column of this sheet: colour",
+        "row 2: unsure names no column of this sheet: null",
+        "dropped a row that is not an object: oops",
+        "dropped a row: 'no.3' is not a row number",
+        "row 2 came back in position 4",
+        "dropped a second row numbered 2",
+        "dropped row 9: the sheet has 8 rows",
+        'row 6: unsure is not a list: {"a":1}',
+        "the page came back without row(s) 1, 3, 4, 5, 8",
+        "outside_minato: dropped an entry that is not an object",
+        "outside_minato: dropped a second mark for row 2",
+        "outside_minato: dropped a mark for row 12: the sheet has 8 rows",
+        "outside_minato: dropped a mark for '': not a row number",
+        "target_species is not a list",
+    ]
+    assert (told["unsure"], told["rows"][1]["bug_name"], told["outside_minato"]) == (1, "トンボ", [""] * 8)
 
 
 def test_first_row_wins_and_marks(spark):
@@ -166,9 +204,93 @@ def test_attempts(spark):
 
 
 def test_species(spark):
-    rows = [("シオカラトンボ", "◎"), ("しおからとんぼ", "◎"), ("シオカラトンホ", "○"), ("たぶんギンヤンマ", "○"), ("キアゲハの幼虫", "◎"), ("カナブン(オス)", "◎"), ("ハチ", None), ("", None)]
-    df = spark.createDataFrame(rows, "name string, want string")
-    assert df.where(~judge.species(F.col("name"))["mark"].eqNullSafe(F.col("want"))).collect() == []
+    rows = [("シオカラトンボ", "◎"), ("しおからとんぼ", "◎"), ("シオカラトンホ", "○"), ("たぶんギンヤンマ", "○"), ("キアゲハの幼虫", "◎"), ("カナブン(オス)", "◎"), ("ハチ", None), ("", None), (None, None), ("カマキリ", None), ("かまきり", None), ("アゲハチョウ", None), ("トンボ", None), ("チョウのなかま", None), ("アゲハ", None), ("カメムシ", None), ("カマキリの幼虫", None), ("x" * 3000, None), ("オオカマキリ", "◎")]
+    df = spark.createDataFrame([(n, w) for n, w in rows], "name string, want string")
+    got = judge.species(df.select("name"), "name")
+    assert got.count() == len(rows)
+    assert df.join(got, df["name"].eqNullSafe(got["name"])).where("not mark <=> want").collect() == []
+
+
+def test_species_against_all_distances(spark):
+    """The index of deletions finds what comparing with every listed name finds."""
+    rng = random.Random(8)
+    letters = "".join(defs.SPECIES)
+    names = set(defs.SPECIES)
+    for s in defs.SPECIES:
+        for _ in range(12):
+            x = list(s)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randint(0, 1)] = rng.choice(letters) * rng.randint(0, 1)
+            names.add("".join(x))
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+    got = {r["name"]: (r["distance"], r["species"]) for r in judge.species(df, "name").collect()}
+    for n in names:
+        best = min((distance(n, s), k) for k, s in enumerate(defs.SPECIES))
+        want = (best[0], defs.SPECIES[best[1]]) if n and best[0] <= 2 and n not in defs.GROUPS else (None, None)
+        assert got[n] == want, n
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_judged_rows(spark):
+    rows = [(1, 1, "オオカマキリ", "家の前", "バングエド(フィリピン)"), (1, 2, "〃", "〃", "バングエド"), (1, 3, "", "六本木", "〃"), (1, 4, "〃", "", ""), (2, 1, "〃", "道", "バングエド")]
+    df = spark.createDataFrame(rows, "page_id long, row_no int, bug_name string, location_town string, location_name string")
+    got = {(r["page_id"], r["row_no"]): (r["bug_name"], r["judged_name"], r["mark"], r["judged_place"], r["explained"], r["listed"]) for r in judge.judged(df).collect()}
+    assert got == {(1, 1): ("オオカマキリ", "オオカマキリ", "◎", "バングエド(フィリピン)", None, False), (1, 2): ("〃", "オオカマキリ", "◎", "バングエド", "フィリピン", False), (1, 3): ("", "", None, "バングエド", "フィリピン", True), (1, 4): ("〃", "", None, "", None, False), (2, 1): ("〃", "", None, "バングエド", None, False)}
+
+
+def test_files_are_weighed_before_they_are_read(spark, tmp_path):
+    for k, content in enumerate([intake.PNG + b"1", intake.PNG + b"x" * 99, b"GIF", b"\x89PN"]):
+        (tmp_path / f"key={k}").mkdir()
+        (tmp_path / f"key={k}" / "page").write_bytes(content)
+    light, heavy = intake.files(spark, str(tmp_path), 50)
+    assert "content" not in heavy.columns
+    plan = light._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,50)" in plan
+    got = {r["key"]: r["status"] for r in intake.triage_files(spark, str(tmp_path), 50).collect()}
+    assert got == {0: 200, 1: 413, 2: 415, 3: 415}
+
+
+def test_store_is_not_shuffled(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"s{i % 2}", f"c{i % 3}", i) for i in range(60)], "page_id long, settings string, cache_name string, percent int")
+    name = identity.file_store(pages.where("page_id % 2 = 0"), "store_of_a_test", str(tmp_path / "store"), 4)
+    wanted = pages.select("page_id", "settings", "cache_name").unionByName(spark.createDataFrame([(2, "other", "c2")], "page_id long, settings string, cache_name string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = identity.reusable(wanted, name)
+        got = {(r["page_id"], r["settings"]): r["cached"] for r in told.collect()}
+        plan = told._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(i, f"s{i % 2}"): i % 2 == 0 for i in range(60)} | {(2, "other"): False}
+    assert plan.count("Exchange hashpartitioning") == 1 or plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_late_pages_are_dropped(spark, tmp_path):
+    """Files one at a time: a page's rows and calls add up over files, a page that comes after its window went out is lost."""
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    call = lambda p, t, ok=True: (p, t, 1, int(ok), 2.0, 0, None, None, None, None, None)
+    row = lambda p, t, *n: (p, t, 0, 0, 0.0, 1, *n)
+    files = [[call(1, at(1, 5)), row(1, at(1, 6), 4, 1, 0, 0, 0), call(2, at(1, 7), False)], [row(1, at(1, 6), 4, 0, 0, 0, 1)], [row(2, at(5, 0), 0, 0, 0, 0, 0)], [call(8, at(5, 10))], [row(3, at(1, 30), 5, 5, 0, 0, 0)], [call(9, at(9, 0))]]
+    schema = "page_id long, at timestamp, calls long, succeeded long, seconds double, rows long, " + ", ".join(f"{c} long" for c in streams.COUNTS)
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/raw{k}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / f"raw{k}").glob("part-*.parquet"))
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = streams.arriving(spark, f"{tmp_path}/in", schema, files=1)
+    got = [tuple(r)[1:] for r in streams.drained(streams.quality_totals(stream, "at"), f"{tmp_path}/out", f"{tmp_path}/checkpoint").orderBy("start").collect()]
+    assert got == [(2, 1, 4.0, 1, 8, 1, 0, 0, 1, 0.75), (1, 1, 2.0, 1, 0, 0, 0, 0, 0, None)]
 
 
 def test_fingerprints_and_intake(spark):
