@@ -147,6 +147,10 @@ TOWNS = ", ".join(f"('{t}')" for t in defs.TOWNS)
 KANA = "".join(map(chr, range(0x3041, 0x3097))), "".join(map(chr, range(0x30A1, 0x30F7)))
 JUDGED = "SELECT page_id, row_no, COALESCE(last_value(CASE WHEN bug_name <> '〃' THEN bug_name END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY row_no), '') AS judged FROM finished"
 
+ROLLUP = "SELECT page_id, CASE WHEN w IS NOT NULL AND (x IS NULL OR w < x) THEN 'ok' WHEN x IS NOT NULL THEN 'out_of_time' ELSE 'failed' END AS status, count(*) FILTER (WHERE attempt <= last) AS attempts, COALESCE(round(sum(seconds) FILTER (WHERE attempt <= last), 6), 0e0) AS call_seconds FROM (SELECT *, least(COALESCE(w, 4), COALESCE(x - 1, 4)) AS last FROM (SELECT *, min(attempt) FILTER (WHERE ok) OVER (PARTITION BY page_id) AS w, min(attempt) FILTER (WHERE clock >= 240) OVER (PARTITION BY page_id) AS x FROM clocks WHERE attempt <= 4)) GROUP BY page_id, w, x"
+#: A page without an end of its own is given up when the log is 240 seconds and the late hour past its last call.
+ENDED = f"SELECT f.page_id, f.status AS outcome, f.attempts, f.call_seconds FROM ({ROLLUP}) f JOIN (SELECT page_id, max(started_at) AS last FROM attempt_log GROUP BY page_id) l ON l.page_id = f.page_id WHERE f.status <> 'failed' OR f.attempts = 4 OR l.last + INTERVAL 240 second < (SELECT max(started_at) - INTERVAL 1 hour FROM attempt_log) UNION ALL SELECT page_id, 'ok', 1, 0e0 FROM statuses WHERE page_id NOT IN (SELECT page_id FROM attempt_log)"
+
 SELECTS = {
     "a1_intake": "SELECT doc_id, CAST(CASE WHEN strlen(text) > 4096 THEN 413 WHEN starts_with(text, 'The ') THEN 200 ELSE 415 END AS BIGINT) AS status FROM documents",
     "a2_requests": "SELECT request_id, q.engine, CASE WHEN status = 'ok' THEN COALESCE(q.model, standard) END AS model, status FROM (SELECT r.*, CASE r.engine WHEN 'alpha' THEN 'm1' WHEN 'beta' THEN 'm2' END AS standard, CASE WHEN r.engine NOT IN ('alpha', 'beta', 'gamma') THEN 'unknown engine' WHEN r.model IS NULL THEN 'ok' WHEN r.engine = 'gamma' THEN 'engine takes no model' WHEN (r.engine, r.model) NOT IN (('alpha', 'm1'), ('alpha', 'm2'), ('beta', 'm2')) THEN 'model not allowed' ELSE 'ok' END AS status FROM (SELECT event_id AS request_id, ['alpha', 'alpha', 'beta', 'gamma', 'delta'][1 + event_id % 5] AS engine, [NULL, 'm1', 'm2', 'zz'][1 + event_id % 4] AS model FROM events) r) q",
@@ -196,7 +200,7 @@ SELECTS = {
     "e10_box_document": BOX_DOCUMENTS,
     "f1_totals": "SELECT model, count(*) AS calls, round(sum(seconds), 3) AS seconds, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(thought_tokens)::BIGINT AS thought_tokens FROM tokens GROUP BY model",
     "f2_spend": "SELECT page_id, CAST(attempt AS BIGINT) AS attempt, CAST(sum(output_tokens) OVER (PARTITION BY page_id ORDER BY attempt) AS BIGINT) AS total, CAST(output_tokens AS BIGINT) AS spent FROM tokens",
-    "f3_rollup": "SELECT page_id, CASE WHEN w IS NOT NULL AND (x IS NULL OR w < x) THEN 'ok' WHEN x IS NOT NULL THEN 'out_of_time' ELSE 'failed' END AS status, count(*) FILTER (WHERE attempt <= last) AS attempts, COALESCE(round(sum(seconds) FILTER (WHERE attempt <= last), 6), 0e0) AS call_seconds FROM (SELECT *, least(COALESCE(w, 4), COALESCE(x - 1, 4)) AS last FROM (SELECT *, min(attempt) FILTER (WHERE ok) OVER (PARTITION BY page_id) AS w, min(attempt) FILTER (WHERE clock >= 240) OVER (PARTITION BY page_id) AS x FROM clocks WHERE attempt <= 4)) GROUP BY page_id, w, x",
+    "f3_rollup": ROLLUP,
     "f4_timing": "SELECT page_id, CAST(attempt AS BIGINT) AS attempt, attempt > 4 AS one_too_many, clock >= 240 AS after_budget FROM clocks WHERE attempt > 4 OR clock >= 240",
     "f5_in_flight": "SELECT date_trunc('day', make_timestamp(us)) AS bucket, CAST(max(load) AS BIGINT) AS most, CAST(sum(CASE WHEN step > 0 THEN greatest(0, least(change, load - 1)) ELSE 0 END) AS BIGINT) AS over_cap FROM (SELECT *, sum(change) OVER (ORDER BY us, step ROWS UNBOUNDED PRECEDING) AS load FROM (SELECT us, step, step * count(*) AS change FROM (SELECT epoch_us(started_at) AS us, 1 AS step FROM attempt_log UNION ALL SELECT epoch_us(started_at) + CAST(round(seconds * 1e6) AS BIGINT), -1 FROM attempt_log) GROUP BY us, step)) GROUP BY ALL",
     "g1_fingerprint": "SELECT field, left(sha256(string_agg(DISTINCT raw, chr(10) ORDER BY raw)), 8) AS digest, 'any order' AS kind FROM survey_long GROUP BY field UNION ALL SELECT field, left(sha256(string_agg(position || '=' || raw, chr(10) ORDER BY position, raw)), 8), 'in order' FROM (SELECT DISTINCT field, position, raw FROM survey_long) GROUP BY field",
@@ -212,7 +216,7 @@ SELECTS = {
     "i2_places": f"SELECT page_id, CAST(row_no AS BIGINT) AS row_no, judged_town, judged_place, explained, EXISTS (SELECT 1 FROM (VALUES {TOWNS}) AS t(town) WHERE contains(judged_town, town) OR contains(judged_place, town) OR contains(COALESCE(explained, ''), town)) AS listed FROM (SELECT j.*, e.note AS explained FROM judged j LEFT JOIN (SELECT page_id, regexp_extract(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$', 1) AS name, arg_min(regexp_extract(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$', 2), row_no) AS note FROM finished WHERE regexp_matches(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$') GROUP BY ALL) e ON e.page_id = j.page_id AND e.name = j.judged_place)",
     "i3_ditto": f"SELECT page_id, CAST(row_no AS BIGINT) AS row_no, judged FROM ({JUDGED})",
     "i4_explained": "SELECT f.page_id, CAST(f.row_no AS BIGINT) AS row_no, f.location_name AS place, e.note AS explained FROM finished f LEFT JOIN (SELECT page_id, regexp_extract(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$', 1) AS name, arg_min(regexp_extract(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$', 2), row_no) AS note FROM finished WHERE regexp_matches(location_name, '^([^(（]+)[(（]([^)）]+)[)）]$') GROUP BY ALL) e ON e.page_id = f.page_id AND e.name = f.location_name WHERE f.location_name <> ''",
-    "j1_stream": "SELECT s.page_id, s.status, s.finish_reason, r.offered, r.rejected, CAST(r.disagreements AS BIGINT) AS disagreements, CAST(r.gaps AS BIGINT) AS gaps, r.unsure, r.percent FROM statuses s LEFT JOIN reports r ON r.page_id = s.page_id AND s.status = 'ok'",
+    "j1_stream": f"SELECT o.page_id, o.outcome, o.attempts, o.call_seconds, CASE WHEN o.outcome = 'ok' THEN COALESCE(s.status, 'no_completion') END AS status, CASE WHEN o.outcome = 'ok' THEN COALESCE(s.finish_reason, '') END AS finish_reason, r.offered, r.rejected, CAST(r.disagreements AS BIGINT) AS disagreements, CAST(r.gaps AS BIGINT) AS gaps, r.unsure, r.percent FROM ({ENDED}) o LEFT JOIN statuses s ON s.page_id = o.page_id LEFT JOIN reports r ON r.page_id = s.page_id AND s.status = 'ok' AND o.outcome = 'ok'",
     "j2_once": "SELECT event_id, count(*) AS n FROM events GROUP BY event_id",
     "j3_totals": "SELECT start, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(succeeded) AS BIGINT) AS succeeded, round(sum(seconds), 3) AS seconds, count(score) FILTER (WHERE true) + count(*) FILTER (WHERE came AND score IS NULL) AS pages, CAST(sum(offered) AS BIGINT) AS offered, CAST(sum(rejected) AS BIGINT) AS rejected, CAST(sum(disagreements) AS BIGINT) AS disagreements, CAST(sum(gaps) AS BIGINT) AS gaps, CAST(sum(unsure) AS BIGINT) AS unsure, round(avg(score), 9) AS mean_score FROM (SELECT time_bucket(INTERVAL 1 hour, started_at) AS start, count(*) AS calls, count(*) FILTER (WHERE ok) AS succeeded, sum(seconds) AS seconds, false AS came, 0 AS offered, 0 AS rejected, 0 AS disagreements, 0 AS gaps, 0 AS unsure, NULL AS score FROM attempt_log GROUP BY ALL UNION ALL SELECT time_bucket(INTERVAL 1 hour, a.at), 0, 0, 0e0, true, s.offered, s.rejected, s.disagreements, s.gaps, s.unsure, s.score FROM scored s JOIN (SELECT page_id, min(started_at) AS at FROM attempt_log GROUP BY page_id) a ON a.page_id = s.page_id) WHERE start + INTERVAL 1 hour <= (SELECT max(started_at) - INTERVAL 1 hour FROM attempt_log) GROUP BY start",
 }

@@ -121,10 +121,11 @@ def read_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_reports(batch: DataFrame) -> DataFrame:
-    """A batch of answers to page reports: rows placed, checked and counted; pages that failed keep their status."""
-    read = flatten.envelopes(flatten.completions(batch))
+    """A batch of finished pages to reports: the answers' rows placed, checked and counted; pages that failed keep their outcome and status."""
+    read = flatten.envelopes(flatten.completions(batch.where("outcome = 'ok'").select("page_id", "answer")))
     wide_rows = quality.checked_rows(quality.page_rows(flatten.numbered(flatten.answer_rows(read))))
-    return read.select("page_id", "status", "finish_reason").join(quality.reports(wide_rows), "page_id", "left")
+    told = batch.drop("answer").join(read.select("page_id", "status", "finish_reason"), "page_id", "left")
+    return told.join(quality.reports(wide_rows), "page_id", "left")
 
 
 # A: intake and sink.
@@ -519,10 +520,20 @@ def i4_explained(spark, d):
 
 
 def j1_stream(spark, d):
+    """Calls as they arrive, to pages that ended, to reports. Pages that the log doesn't know came at the first call."""
     path = shared_path(spark)
-    answers(spark, d).write.parquet(f"{path}/in")
-    streams.by_page(streams.arriving(spark, f"{path}/in", "page_id long, answer string"), page_reports, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return longs(spark.read.parquet(f"{path}/out").select("page_id", "status", "finish_reason", "offered", "rejected", "disagreements", "gaps", "unsure", "percent"))
+    calls = view(spark, d, "attempt_log").select("page_id", F.col("attempt").cast("int").alias("attempt"), F.col("started_at").cast("timestamp").alias("at"), "seconds", "ok")
+    told = answers(spark, d).alias("told")
+    logged = calls.join(told, "page_id", "left").withColumn("answer", F.when(F.col("ok"), F.col("answer")))
+    first = calls.agg(F.min("at").alias("at"))  # one row
+    others = told.join(calls.select("page_id").distinct(), "page_id", "left_anti").join(F.broadcast(first), F.lit(True))
+    both = logged.unionByName(others.select("page_id", F.lit(1).alias("attempt"), "at", F.lit(0.0).alias("seconds"), F.lit(True).alias("ok"), "answer"))
+    schema = "page_id long, attempt int, at timestamp, seconds double, ok boolean, answer string"
+    both.to(StructType.fromDDL(schema)).write.parquet(f"{path}/in")
+    ended = streams.finished_pages(streams.arriving(spark, f"{path}/in", schema))
+    streams.by_page(ended, page_reports, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{path}/out").withColumn("call_seconds", F.round("call_seconds", 6))
+    return longs(out.select("page_id", "outcome", "attempts", "call_seconds", "status", "finish_reason", "offered", "rejected", "disagreements", "gaps", "unsure", "percent"))
 
 
 def j2_once(spark, d):

@@ -307,3 +307,23 @@ def test_compare(spark):
     cell = "page_id long, row_no int, ord int, text string"
     got = compare.compare(spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 1, 3, "c")], cell), spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "x"), (1, 1, 4, "d")], cell))
     assert {r["ord"]: r["outcome"] for r in got.collect()} == {1: "equal", 2: "differing", 3: "only_left", 4: "only_right"}
+
+
+def test_pages_end_once(spark, tmp_path):
+    """Calls over several files: a success, four failures, a call past the budget, a page that is given up, and calls after a page's end."""
+    t = lambda s: datetime.datetime(2024, 1, 1, 0, 0, 0) + datetime.timedelta(seconds=s)
+    files = [
+        [(1, 1, t(0), 5.0, False, None), (2, 1, t(0), 1.0, False, None), (3, 1, t(0), 239.5, False, None), (4, 1, t(1), 2.0, False, None)],
+        [(1, 2, t(10), 6.0, True, "a"), (2, 2, t(9), 1.0, False, None), (2, 3, t(19), 1.0, False, None), (3, 2, t(250), 1.0, True, "c")],
+        [(2, 4, t(60), 1.0, False, None), (2, 5, t(70), 1.0, True, "b"), (1, 3, t(80), 1.0, True, "z")],
+        [(9, 1, t(90_000), 1.0, True, "n")],
+    ]
+    schema = "page_id long, attempt int, at timestamp, seconds double, ok boolean, answer string"
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/raw{k}")
+        next((tmp_path / f"raw{k}").glob("part-*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    ended = streams.finished_pages(streams.arriving(spark, f"{tmp_path}/in", schema, files=1))
+    got = sorted(tuple(r) for r in streams.drained(ended, f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect())
+    assert got == [(1, "ok", 2, 11.0, "a"), (2, "failed", 4, 4.0, None), (3, "out_of_time", 1, 239.5, None), (4, "failed", 1, 2.0, None), (9, "ok", 1, 1.0, "n")]
