@@ -204,17 +204,17 @@ def checked_marks(marks: DataFrame, wide: DataFrame) -> DataFrame:
     return both.withColumns({"reason": why, "kept": F.when(why == "", said).otherwise("")}).drop("location_town", "location_name", "bug_name")
 
 
-def documents(pages: DataFrame, keys: DataFrame, spent: DataFrame) -> DataFrame:
+def documents(pages: DataFrame, spent: DataFrame) -> DataFrame:
     """(page_id, document): each of ``page_reports``'s pages as one JSON document.
 
-    It has the page's key (``keys``: settings and cache_name), its eight rows, its report
+    It has the page's key (its columns settings and cache_name), its eight rows, its report
     with the problem cells by row and field name, its findings (an empty list where there are
     none), and what it cost (``spent``: calls, seconds and the three token counts, zeros where
     nothing is known). A page without a score has a null there; one without rows is no document. ``with_strip`` and
     ``with_marks`` make it a v2 document: three values more, and two lists of eight marks.
     """
     body = F.transform("rows", lambda r: F.struct(r["no"].alias("no"), *[r[f].alias(f) for f in defs.FIELDS]))
-    joined = pages.where("offered is not null").join(keys, "page_id", "left").join(spent, "page_id", "left")
+    joined = pages.where("offered is not null").join(spent, "page_id", "left")
     report = F.struct(F.col("offered").alias("values"), "rejected", "disagreements", "gaps", "unsure", "score", "percent", "cells")
     usage = F.struct(*[F.coalesce(F.col(c), F.lit(0).cast(t)).alias(c) for c, t in (("calls", "long"), ("seconds", "double"), ("prompt_tokens", "long"), ("output_tokens", "long"), ("thought_tokens", "long"))])
     parts = ["settings", "cache_name", body.alias("rows"), report.alias("report"), F.array_sort("lines")["said"].alias("findings"), usage.alias("usage")]

@@ -146,16 +146,16 @@ def a2_requests(spark, d):
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
-    """(page_id, settings, cache_name) by the engine, model and sheet that a page was read with."""
+    """``pages`` with settings and cache_name by the engine, model and sheet that a page was read with."""
     pick = lambda n, *xs: F.get(F.array(*map(F.lit, xs)), (F.col("page_id") % n).cast("int"))
-    catalog = pages.select("page_id", pick(3, "alpha", "beta", "gamma").alias("engine"), pick(5, "m1", "m1", "m2", "m2", "m2").alias("model"), pick(2, "v1", "v2").alias("sheet"))
-    return identity.settings(catalog.withColumns({k: F.lit(v) for k, v in {"checks": "c1", "grid": "g1", "prompt": "p1", "header": "h1"}.items()})).select("page_id", "settings", "cache_name")
+    catalog = pages.withColumns({"engine": pick(3, "alpha", "beta", "gamma"), "model": pick(5, "m1", "m1", "m2", "m2", "m2"), "sheet": pick(2, "v1", "v2")})
+    return identity.settings(catalog.withColumns({k: F.lit(v) for k, v in {"checks": "c1", "grid": "g1", "prompt": "p1", "header": "h1"}.items()})).select(*pages.columns, "settings", "cache_name")
 
 
 def a3_sink(spark, d):
     path = shared_path(spark)
     told = quality.reports(wide(spark, d)).select("page_id", "percent")
-    intake.file_pages(told.join(page_keys(told), "page_id"), path)
+    intake.file_pages(page_keys(told), path)
     return spark.read.parquet(path).select("page_id", "cache_name", "settings", "percent")
 
 
@@ -396,7 +396,7 @@ def document_digest(made: DataFrame) -> DataFrame:
 def e10_document(spark, d):
     pages = whole_pages(spark, d)
     spent = usage.totals(log(spark, d), "page_id")
-    return document_digest(quality.documents(pages, page_keys(pages.select("page_id")), spent))
+    return document_digest(quality.documents(page_keys(pages), spent))
 
 
 def e10_box_document(spark, d):
@@ -406,7 +406,7 @@ def e10_box_document(spark, d):
     strip = found.groupBy("page_id").agg(*[F.max(F.when(F.col("field") == f, F.col("raw"))).alias(f) for f in defs.HEADER_FIELDS])
     pages = quality.with_strip(pages, strip)
     spent = usage.totals(log(spark, d), "page_id")
-    return document_digest(quality.documents(pages, page_keys(pages.select("page_id")), spent)).drop(*defs.MARKS)
+    return document_digest(quality.documents(page_keys(pages), spent)).drop(*defs.MARKS)
 
 
 # F: usage.

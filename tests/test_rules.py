@@ -133,13 +133,12 @@ def test_page_with_strip_and_marks(spark):
 
 def test_document_of_a_blank_page(spark):
     none = spark.createDataFrame([], "page_id long, calls long, seconds double, prompt_tokens long, output_tokens long, thought_tokens long")
-    keys = spark.createDataFrame([(1, "engine=x", "x_m1")], "page_id long, settings string, cache_name string")
     strip = spark.createDataFrame([(1, None, " 4 ", "x")], "page_id long, school string, grade string, school_class string")
     listed = spark.createDataFrame([(1, 1, "1", "outside_minato", " ◎"), (1, 2, "2", "outside_minato", "◎"), (1, 3, "1", "target_species", "〇")], "page_id long, position int, no_raw string, kind string, mark string")
 
     def made(row):
         pages = quality.with_marks(quality.with_strip(quality.page_reports(page(spark, row)), strip), flatten.page_marks(listed))
-        return json.loads(quality.documents(pages, keys, none).first()["document"])
+        return json.loads(quality.documents(pages.withColumns({"settings": F.lit("engine=x"), "cache_name": F.lit("x_m1")}), none).first()["document"])
 
     got = made({})
     assert (got["report"]["score"], got["report"]["percent"], got["report"]["cells"], got["usage"]["calls"]) == (None, "", [], 0)
