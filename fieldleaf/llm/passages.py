@@ -390,9 +390,19 @@ def overlaps(sets: list[np.ndarray], often: int = 32) -> np.ndarray:
     return out + half + half.T
 
 
-def dense_pairs(own: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: int, similarity: float, rows: int = 1024) -> np.ndarray:
-    """Of the pairs (i, j) of stretches those with a shortest passage of each side, one of which has the share of the other's tokens that two equally similar sides have, and the other at least ``similarity``."""
+def around(x: np.ndarray, places: list[int], least: int) -> np.ndarray:
+    """The tokens of ``x`` that a passage of ``least`` tokens over one of the places (in order) may have, one stretch after another."""
+    parts, end = [], 0
+    for at in places:
+        parts.append(x[max(end, at - least + 1) : at + least])
+        end = max(end, at + least)
+    return np.concatenate(parts)
+
+
+def dense_pairs(own: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: int, similarity: float, held: int = 1 << 23) -> np.ndarray:
+    """Of the pairs (i, j) of stretches those with a shortest passage of each side, one of which has the share of the other's tokens that two equally similar sides have, and the other at least ``similarity``. About ``held`` comparisons, but those of one pair at least, are held at a time."""
     size = max(map(len, own))
+    rows = max(1, held // size**2)
     table = np.zeros((len(own), size), np.uint32)
     for k, x in enumerate(own):
         table[k, : len(x)] = x
@@ -400,7 +410,7 @@ def dense_pairs(own: list[np.ndarray], i: np.ndarray, j: np.ndarray, least: int,
     keep = np.zeros(len(i), bool)
 
     def most(same: np.ndarray) -> np.ndarray:
-        total = np.pad(same, ((0, 0), (1, 0))).cumsum(axis=1, dtype=np.int16)
+        total = np.pad(same, ((0, 0), (1, 0))).cumsum(axis=1, dtype=np.int32)
         return (total[:, least:] - total[:, :-least]).max(axis=1) if size >= least else total[:, -1]
 
     for at in range(0, len(i), rows):
@@ -422,7 +432,7 @@ def close_stretches(rest: DataFrame, partners: int | None, texts: DataFrame, lea
             rows = []
             for node, places, packed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 x = (tokens(unpacked(packed)) & U(0xFFFFFFFF)).astype(np.uint32)
-                rows += [(p["key"], node, p["label"], p["cuts"], x[max(0, p["at"] - least + 1) : p["at"] + least].tobytes()) for p in places]
+                rows += [(p["key"], node, p["label"], p["cuts"], around(x, p["at"], least).tobytes()) for p in places]
             kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()
             for k in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + 10_000]], kind) for i, kind in enumerate(kinds)], ["key", "node", "label", "cuts", "tokens"])
@@ -459,7 +469,7 @@ def links(docs: DataFrame, reps: DataFrame, min_words: int = 50, similarity: flo
     """Verified links (a, b) between texts ``docs(doc_id, text_hash, text)``, each with its passage; ``reps(text_hash, doc_id)`` names one document of each text."""
     least = min_words - WIDTH + 1
     near = stored(linking.shared(stored(windows(docs, min_words, hashes))).distinct())  # equal texts have equal windows
-    members = stored(linking.shared(signatures(near, least).select("key", "node", "at").distinct()))
+    members = stored(linking.shared(signatures(near, least).groupBy("key", "node").agg(F.array_sort(F.collect_set("at")).alias("at"))))
     need = members.select(F.col("node").alias("text_hash")).distinct().join(reps, "text_hash")
     texts = stored(packed_texts(docs).join(need, ["text_hash", "doc_id"]).dropDuplicates(["text_hash"]).select(F.col("text_hash").alias("node"), "packed"))
     return linking.links(members, lambda pairs: verify(pairs, texts, min_words, similarity), lambda rest, partners: close_stretches(rest, partners, texts, least, similarity))
