@@ -238,11 +238,12 @@ def sampled_keys(fps: DataFrame, places: np.ndarray) -> DataFrame:
 def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, bucket_rows: int, told: str) -> DataFrame:
     """Pairs (a, b), a < b, of nodes of ``fps(node, label, f0, f1, ...)`` that meet in a bucket and have near fingerprints and, unless ``told`` is hubs, different labels.
 
-    ``told`` says which of a bucket's pairs: ``hubs`` takes members in turn that are near no
-    earlier hub, and each with all that are near it, so that every member with a partner is
-    told of while a bucket of copies gives fewer pairs than it has members; ``best`` takes
-    each member's ``BEST`` nearest partners; ``all`` takes all, each in the first bucket that
-    it meets in.
+    A pair is told in the first bucket that it meets in, or not at all. ``told`` says which
+    of a bucket's pairs: ``hubs`` takes members in turn that are near no earlier hub, and
+    each with those that are near it: in the first bucket in which a member meets a partner
+    it is told of, as a hub or with one, so that every member with a partner is among the
+    pairs, while a bucket of copies gives fewer pairs than it has members; ``best`` takes
+    each member's ``BEST`` nearest partners; ``all`` takes all.
     """
     expected = differing(similarity) * WIDE
     radius = int(expected + 2 * math.sqrt(expected * (1 - differing(similarity))))
@@ -286,10 +287,8 @@ def bucket_pairs(fps: DataFrame, texts: int, similarity: float, recall: float, b
                 return i[d <= radius], j[d <= radius], d[d <= radius]
 
             def tell(i: np.ndarray, j: np.ndarray) -> None:
-                if told == "all":
-                    keep = ~met_before(fp[i] ^ fp[j], number[i])
-                    i, j = i[keep], j[keep]
-                out.append((node[i], node[j]))
+                keep = ~met_before(fp[i] ^ fp[j], number[i])
+                out.append((node[i[keep]], node[j[keep]]))
 
             twos = edges[:-1][sizes == 2]
             tell(*close(twos, twos + 1)[:2])
