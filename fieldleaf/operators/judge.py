@@ -83,7 +83,8 @@ def without_dittos(rows: DataFrame, column: str) -> DataFrame:
 
 
 def explained(rows: DataFrame) -> DataFrame:
-    """``rows`` (page_id, row_no, place) with explained: the note that some row of the page gives in brackets behind the same name; the first row's if several do."""
+    """``rows`` (page_id, row_no, place) with explained: the note that some row of the page gives in brackets behind the same name; the first row's if several do. One shuffle by page."""
     named = rows.withColumns({"name": F.regexp_extract("place", EXPLAINED, 1), "note": F.regexp_extract("place", EXPLAINED, 2)})
-    told = named.where("name <> ''").groupBy("page_id", F.col("name").alias("place")).agg(F.min_by("note", "row_no").alias("explained"))
-    return rows.join(told, ["page_id", "place"], "left")
+    told = F.collect_list(F.when(F.col("name") != "", F.struct("row_no", "name", "note"))).over(Window.partitionBy("page_id"))
+    first = F.array_min(F.filter("told", lambda e: e["name"] == F.col("place")))
+    return named.withColumn("told", told).select(*rows.columns, first["note"].alias("explained"))
