@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from fieldleaf.operators import flatten, geometry, judge
+from fieldleaf.operators import flatten, geometry, intake, judge
 from fieldleaf.queries import QUERIES
 
 
@@ -39,3 +39,13 @@ def test_explained_is_one_shuffle(spark):
     got = judge.explained(rows)
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted((r["page_id"], r["row_no"], r["explained"]) for r in got.collect()) == [(1, 1, None), (1, 2, None), (1, 3, "x"), (1, 4, None), (2, 1, None)]
+
+
+def test_uploads_are_no_file_each(spark, tmp_path):
+    uploads = spark.range(0, 500, 1, 2).select("id", F.encode(F.when(F.col("id") % 2 == 0, "The x").otherwise("The " + "y" * 99), "UTF-8").alias("content"))
+    intake.store_uploads(uploads, f"{tmp_path}/up")
+    stored = spark.read.parquet(f"{tmp_path}/up")
+    got = intake.triage_uploads(stored, 50, b"The ")
+    assert len(stored.inputFiles()) <= 2
+    assert {tuple(r) for r in got.groupBy("status", "length").count().collect()} == {(200, 5, 250), (413, 103, 250)}
+    assert "ReadSchema: struct<id:bigint,length:bigint>" in got._jdf.queryExecution().executedPlan().toString()
