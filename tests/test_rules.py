@@ -326,3 +326,24 @@ def test_pages_end_once(spark, tmp_path):
     ended = streams.finished_pages(streams.arriving(spark, f"{tmp_path}/in", schema, files=1))
     got = sorted(tuple(r) for r in streams.drained(ended, f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect())
     assert got == [(1, "ok", 2, 11.0, "a"), (2, "failed", 4, 4.0, None), (3, "out_of_time", 1, 239.5, None), (4, "failed", 1, 2.0, None), (9, "ok", 1, 1.0, "n")]
+
+
+def test_pages_move_once(spark, sf):
+    """Entries are brought together by page once, by the columns that are read, and a page's counts need no cells."""
+    from fieldleaf.queries import QUERIES
+
+    plan = QUERIES["e4_counts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "candidate, " not in plan
+
+
+def test_plain_texts(spark):
+    """A text that is plain is one that neither strip nor fold changes and that fits its column; every other case of an answer is known."""
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for field in ("bug_name", "found_day", "map_symbol"):
+        x = F.concat(F.lit("1" if field != "map_symbol" else "a"), "c")
+        same = (checks.candidate(F.lit(field), x) == x) & checks.fits_characters(F.lit(field), x)
+        inner = F.col("c").isin(list(defs.SPACES))  # a space inside isn't plain, though it stays
+        assert spark.createDataFrame([(c,) for c in chars], "c string").where((checks.is_plain(field, x) != same) & ~inner).count() == 0
+    told = F.upper("c").isin([x.upper() for x in defs.CHOICES["map_symbol"]])
+    assert spark.createDataFrame([(c,) for c in chars], "c string").where(checks.on_list(F.lit("map_symbol"), F.col("c")) != told).count() == 0
