@@ -347,3 +347,17 @@ def test_plain_texts(spark):
         assert spark.createDataFrame([(c,) for c in chars], "c string").where((checks.is_plain(field, x) != same) & ~inner).count() == 0
     told = F.upper("c").isin([x.upper() for x in defs.CHOICES["map_symbol"]])
     assert spark.createDataFrame([(c,) for c in chars], "c string").where(checks.on_list(F.lit("map_symbol"), F.col("c")) != told).count() == 0
+
+
+def test_pages_share_state(spark, tmp_path):
+    """256 page numbers are one group, so that Python is called for blocks; a call without a page has its own."""
+    calls = spark.range(600).select(F.col("id").alias("page_id"), F.lit(1).alias("attempt"), F.timestamp_seconds(F.col("id")).alias("at"), F.lit(1.0).alias("seconds"), (F.col("id") % 3 > 0).alias("ok"), F.lit("a").alias("answer"))
+    calls = calls.unionByName(calls.where("page_id = 1").withColumn("page_id", F.lit(None).cast("long")))
+    calls.write.parquet(f"{tmp_path}/in")
+    schema = "page_id long, attempt int, at timestamp, seconds double, ok boolean, answer string"
+    ended = streams.finished_pages(streams.arriving(spark, f"{tmp_path}/in", schema))
+    run = ended.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 4
+    got = spark.read.parquet(f"{tmp_path}/out").where("outcome = 'ok'")
+    assert (got.count(), got.where("page_id is null and answer = 'a'").count()) == (401, 1)
