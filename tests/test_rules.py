@@ -361,3 +361,27 @@ def test_pages_share_state(spark, tmp_path):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 4
     got = spark.read.parquet(f"{tmp_path}/out").where("outcome = 'ok'")
     assert (got.count(), got.where("page_id is null and answer = 'a'").count()) == (401, 1)
+
+
+def test_only_what_came_is_checked(spark):
+    """Page totals and finished rows from the rows that came are those of all eight; a page of which nothing can be placed stays."""
+    rows = [(1, 1, "2", "トンボ"), (1, 2, "2", "セミ"), (1, 3, "x", "ハチ"), (1, 4, "7", " ㋐リ　"), (2, 1, "x", "ガ"), (2, 2, "9", "チョウ"), (3, 1, "1", "고")]
+    e = spark.createDataFrame(rows, "page_id long, position int, no_raw string, bug_name string").withColumns({f: F.lit("" if f == "symbol" else "1").cast("string") for f in defs.FIELDS if f != "bug_name"})
+    e = e.withColumn("unsure", F.try_parse_json(F.lit('["notice","colour","notice",3,null]')))
+    came = quality.checked_rows(quality.page_rows(flatten.numbered(e), notes=False, blanks=False))
+    whole = quality.checked_rows(quality.page_rows(flatten.numbered(e), notes=False))
+    assert came.count() == 5  # two rows of page 1 and one for what has no place on it, one of page 2, one of page 3
+    assert quality.reports(came).orderBy("page_id").collect() == quality.reports(whole).orderBy("page_id").collect()
+    columns = ["page_id", "row_no", "no", *[f"`{f}`" for f in defs.FIELDS]]
+    assert quality.blanks_filled(came).select(*columns).orderBy("page_id", "row_no").collect() == whole.select(*columns).orderBy("page_id", "row_no").collect()
+    assert quality.all_problems(came).orderBy("page_id", "row_no", "ord").collect() == quality.all_problems(whole).orderBy("page_id", "row_no", "ord").collect()
+
+
+def test_short_ways_tell_the_same(spark):
+    """Flags without notes and the quick strip, against the long ways, on odd values."""
+    odd = ["null", "[]", "{}", '"notice"', "7", "false", '["notice"]', '["where","notice","where",null,5,1.50,true]', '[["notice"],{"notice":1},"Notice"," notice","symbol"]', '["\\"notice\\"","notice"]']
+    read = spark.createDataFrame([(x,) for x in [*odd, None]], "x string").select(F.try_parse_json("x").alias("v"))
+    assert read.where(~flatten.sure_flags(F.col("v")).eqNullSafe(flatten.read_unsure(F.col("v"))["flags"])).count() == 0
+    texts = ["", " ", "a", " a", "a　", " ", "あ い", "\x1fあ ", "​あ", "😀 ", *[f"{c}x{c}" for c in defs.SPACES]]
+    both = spark.createDataFrame([(x,) for x in [*texts, None]], "x string")
+    assert both.where(~checks.stripped(F.col("x")).eqNullSafe(checks.strip(F.col("x")))).count() == 0
