@@ -385,3 +385,31 @@ def test_short_ways_tell_the_same(spark):
     texts = ["", " ", "a", " a", "a　", " ", "あ い", "\x1fあ ", "​あ", "😀 ", *[f"{c}x{c}" for c in defs.SPACES]]
     both = spark.createDataFrame([(x,) for x in [*texts, None]], "x string")
     assert both.where(~checks.stripped(F.col("x")).eqNullSafe(checks.strip(F.col("x")))).count() == 0
+
+
+def test_findings_of_what_came(spark):
+    """Only rows that came are checked where findings are told too; report, rows, cells and findings are those of all eight rows, in either order of marks and strip."""
+    rows = [(1, 1, "2", "トンボ"), (1, 2, "2", "セミ"), (1, 3, "x", "ハチ"), (1, 4, "7", " ㋐リ　"), (2, 1, "x", "ガ"), (2, 2, "9", "チョウ"), (3, 1, "1", "고")]
+    e = spark.createDataFrame(rows, "page_id long, position int, no_raw string, bug_name string").withColumns({f: F.lit("" if f == "symbol" else "K" if f == "map_symbol" else "1").cast("string") for f in defs.FIELDS if f != "bug_name"})
+    e = flatten.numbered(e.withColumn("unsure", F.try_parse_json(F.lit('["notice","colour","notice",3,null]'))))
+    strip = spark.createDataFrame([(1, "芝", "x", "1"), (4, None, " 4 ", None)], "page_id long, school string, grade string, school_class string")
+    listed = [(p, i, no, kind, mark) for p in (1, 2, 3) for kind in defs.MARKS for i, (no, mark) in enumerate([("2", "◎"), ("2", "○"), ("7", "?"), ("8", "○"), ("x", "○"), ("12", "")])]
+    marks = flatten.page_marks(spark.createDataFrame(listed, "page_id long, position int, no_raw string, kind string, mark string"))
+    came, whole = (quality.page_reports(quality.checked_rows(quality.page_rows(e, blanks=b))) for b in (False, True))
+    assert quality.page_rows(e, blanks=False).count() == 4  # two rows of page 1, one of pages 2 and 3
+    told = lambda df: [(r["page_id"], r["offered"], r["rejected"], r["percent"], r["rows"], r["cells"], sorted(r["lines"]), r["strip"], *[r[k] for k in defs.MARKS]) for r in df.orderBy("page_id").collect()]
+    got = told(quality.with_strip(quality.with_marks(came, marks), strip))
+    assert got == told(quality.with_marks(quality.with_strip(whole, strip), marks))
+    assert [len(r[4]) for r in got[:3]] == [defs.ROWS] * 3
+    assert got[0][8:] == (["", "◎", *[""] * 6], ["", "◎", *[""] * 6])
+    assert (got[3][1], got[3][8:]) == (None, ([""] * 8, [""] * 8))
+
+
+def test_cells_and_findings_are_told_once(spark, sf):
+    """No filter is pushed down with a copy of what findings are made of, and cells are exploded by generated code."""
+    from fieldleaf import queries
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (size(" not in plan(queries.QUERIES["e8_findings"](spark, sf))
+    assert "lambda" not in plan(flatten.long_cells(queries.kept(spark, sf)))
+    assert spark.range(1).where(F.array_join(F.array(*[checks.capital(F.lit(c)) for x in defs.CHOICES["map_symbol"] for c in checks.cases(x)]), "") != "".join(x for x in defs.CHOICES["map_symbol"] for _ in checks.cases(x))).count() == 0
