@@ -131,13 +131,14 @@ def links(reps: DataFrame, max_bits: int = 4, blocks: int = 7, pivots: int = 16,
 
     A bucket of more than ``bucket_rows`` fingerprints is cut into that many sub-blocks and
     each pair of sub-blocks is a group of its own, so that no task holds a whole hot bucket
-    and no pair is left out.
+    and no pair is left out. The join names its way, as Spark sizes the exploded keys like
+    the fingerprints and would broadcast them.
     """
     spread = reps.repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # few bytes, many keys each
     keyed = spread.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks, blocks - max_bits)])).alias("choice", "bits"))
     sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1").select("choice", "bits", F.ceil(F.col("n") / bucket_rows).cast("int").alias("cuts"))
     part = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
-    met = keyed.join(sizes, ["choice", "bits"]).select("choice", "bits", "fp", "rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.least(o, part) * F.col("cuts") + F.greatest(o, part))).alias("cell"))
+    met = keyed.hint("merge").join(sizes, ["choice", "bits"]).select("choice", "bits", "fp", "rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.least(o, part) * F.col("cuts") + F.greatest(o, part))).alias("cell"))
 
     references = np.random.default_rng(13).integers(0, 1 << 63, pivots, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.arange(pivots, dtype=np.uint64) % np.uint64(2)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldleaf.llm import bpe, decontaminate, language, lines, media, passages, secrets, simhash, substrings, toxicity
-from fieldleaf.llm.common import components
+from fieldleaf.llm.common import components, stored
 from fieldleaf.llm.queries import QUERIES, vocabulary
 from tests.against import assert_same, connect
 
@@ -617,6 +617,13 @@ def test_hot_buckets(spark):
     assert found.count() == len(fps)
 
 
+def test_keys_are_never_broadcast(spark):
+    """Spark sizes exploded keys like the rows that they come from, so small tables must not tempt it to broadcast them."""
+    found = simhash.links(stored(spark.createDataFrame([(i % 7, i) for i in range(50)], "fp long, rep long")))
+    assert found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
