@@ -372,6 +372,42 @@ def test_decontamination_recall(spark, sf, share):
         assert decontaminate.edit_distance(words, " ".join(dict(bench)[r["item_id"]].lower().split())) == r["distance"]
 
 
+def test_decontamination_of_common_words(spark, sf):
+    """Items are found though their words and pairs of words are those of many other items of the block, with a fifth of their characters edited."""
+    rng = random.Random(6)
+    own = [x for x in texts(spark, sf).values() if x]
+    words = [w for x in own for w in x.split()]
+    bench = [(i, " ".join(words[at : at + rng.randint(25, 55)])) for i, at in enumerate(rng.sample(range(len(words) - 60), 1500))]
+    rows = []
+    for _, x in bench[:100]:
+        y = list(x)
+        for _ in range(len(x) // 5):
+            p = rng.randrange(len(y))
+            y[p] = rng.choice(["", rng.choice("abcdefgh"), y[p] + rng.choice("abcdefgh")])
+        rows.append(decontaminate.normal("before it " + "".join(y) + " after it"))
+    items = decontaminate.prepare(bench, 2, 16, 8)
+    hits = {(k, i) for k, i, *_ in decontaminate.matches(rows, items, 0.8)}
+    assert np.mean([(k, k) in hits for k in range(len(rows))]) >= 0.95
+
+
+def test_windows_by_brute_force():
+    """The nearest of all windows that count, and no more than the least distance from the many tables at once; items of few bytes too."""
+    rng = random.Random(8)
+    line = lambda n: ["".join(rng.choices("abé", k=rng.randint(1, 4))) for _ in range(n)]
+    for _ in range(40):
+        item, words = " ".join(line(rng.randint(1, 5))), [w.encode() for w in line(8)]
+        every = [(decontaminate.edit_distance(item, x), s, e) for s in range(8) for e in range(s + 1, 9) if decontaminate.edit_distance(item, x := b" ".join(words[s:e]).decode()) <= 0.4 * max(len(item), len(x)) + 1e-9]
+        assert decontaminate.nearest(words, item, 0.6) == min(every, default=None)
+    bench = [(i, "".join(rng.choices("abc é", k=n))) for i, n in enumerate([2, 5, 9, 17, 40, 63, 64, 65, 130, 700])]
+    items = decontaminate.prepare(bench, 2, 16, 8)
+    text = "".join(rng.choices("abc é", k=1000))
+    n = np.arange(len(items.ids))
+    least = items.least(decontaminate.small(text), n * 7, n * 50 + 300, n)
+    assert all(d <= min(decontaminate.distances(items.texts[i].decode(), text[i * 7 : i * 50 + 300])) for i, d in enumerate(least.tolist()))
+    found = decontaminate.matches([[b"x", *t.split(), b"y"] for t in items.texts], items, 0.8)
+    assert {(i, i, 0) for i in n.tolist()} <= {(k, i, d) for k, i, *_, d in found}
+
+
 def test_long_items():
     """An item of 100,000 characters needs no table that grows with it, and is found with some edits."""
     rng = random.Random(4)
