@@ -49,3 +49,19 @@ def test_uploads_are_no_file_each(spark, tmp_path):
     assert len(stored.inputFiles()) <= 2
     assert {tuple(r) for r in got.groupBy("status", "length").count().collect()} == {(200, 5, 250), (413, 103, 250)}
     assert "ReadSchema: struct<id:bigint,length:bigint>" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_need_no_function_of_elements(spark, sf):
+    plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan("b9_detections")
+    assert "zip_with" not in plan("b10_anchored") and "aggregate(" not in plan("b10_anchored")
+    point = "struct<y: string, x: string, more: string>"
+    rows = [(1, [("a", 0.9, [("1", "5", ""), ("0.5", "7", "")]), (" ", 0.9, []), ("b", 0.1, [("1", "?", "")]), ("c", None, []), ("d", None, None), ("e", None, [("2", "3", ""), None])])]
+    boxes = flatten.detection_boxes(spark.createDataFrame(rows, f"page_id long, detections array<struct<text: string, confidence: double, points: array<{point}>>>"))
+    got = {r["text"]: (r["l"], r["t"], r["r"], r["b"], r["unsure"], r["note"]) for r in boxes.collect()}
+    none = (None,) * 4
+    assert got == {"a": (5, 0.5, 7, 1, False, ""), "b": (*none, True, "unreadable position"), "c": (*none, False, "no position"), "d": (*none, False, "no position"), "e": (*none, False, "unreadable position")}
+    entry = "array<struct<segments: array<struct<start: long, end: long>>, vertices: array<struct<x: double, y: double>>>>"
+    pages = [(1, "ab cd", [([(3, 5)], [(2.0, 3.0)]), ([(None, 1), (4, 5)], []), ([(1, 3)], [(4.0, 1.0), (0.0, 2.0)])], [])]
+    got = [(r["seq"], r["text"], r["l"], r["t"], r["r"], r["b"], r["note"]) for r in flatten.anchored_boxes(spark.createDataFrame(pages, f"page_id long, text string, symbols {entry}, tokens {entry}")).collect()]
+    assert sorted(got) == [(1, "ad", *none, "no position"), (2, "b", 0, 1, 4, 2, ""), (3, "cd", 2, 3, 2, 3, "")]
