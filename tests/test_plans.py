@@ -65,3 +65,9 @@ def test_boxes_need_no_function_of_elements(spark, sf):
     pages = [(1, "ab cd", [([(3, 5)], [(2.0, 3.0)]), ([(None, 1), (4, 5)], []), ([(1, 3)], [(4.0, 1.0), (0.0, 2.0)])], [])]
     got = [(r["seq"], r["text"], r["l"], r["t"], r["r"], r["b"], r["note"]) for r in flatten.anchored_boxes(spark.createDataFrame(pages, f"page_id long, text string, symbols {entry}, tokens {entry}")).collect()]
     assert sorted(got) == [(1, "ad", *none, "no position"), (2, "b", 0, 1, 4, 2, ""), (3, "cd", 2, 3, 2, 3, "")]
+
+
+def test_compared_cells_are_not_moved_again(spark, sf):
+    """The stored cells are bucketed by page: only the other side, and the counts, are shuffled."""
+    plan = QUERIES["h1_compare"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
